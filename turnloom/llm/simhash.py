@@ -254,7 +254,8 @@ def drop_near_duplicates(docs: DataFrame, profile: Profile = SIMILAR, id_col: st
     Of repeated rows with that id one stays. A class whose ids are all null keeps one row.
     """
     classes = near_duplicate_classes(docs, profile, id_col, text_col)
-    kept = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("k")).filter("component_id is not null")
+    named = classes.filter("doc_id is not null")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
     nulls = classes.filter("component_id is null").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
     kept = checkpointed(kept.unionByName(nulls))
