@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc32_mod, table
 from .exact_dedup import content_sort_dedup
+from .language import fit_language, predict_language
+from .lm_score import fit_ngrams, score_documents
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .simhash import EXACT, near_duplicate_classes
 
 
@@ -32,6 +35,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.col("node").alias("fingerprint"), "component_id", "links")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of good quality; background: all documents."""
+    good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    models = fit_ngrams(docs.join(good, F.col("doc_id") == F.col("good_id"), "left"), F.col("good_id").isNotNull())
+    return score_documents(docs, models)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), crc32_mod(F.col("doc_id"), 3) != 1)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= model.threshold).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = fit_language(docs, crc32_mod(F.col("doc_id"), 4) != 2)
+    return predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -39,6 +65,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_lm_score": op3_lm_score,
+    "op4_quality": op4_quality,
+    "op7_language": op7_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
