@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import docs, rows
 from turnloom.llm.exact_dedup import content_sort_dedup
-from turnloom.llm.packing import ChunkEncoder, best_fit_decreasing, pack_documents
+from turnloom.llm.packing import TextEncoder, best_fit_decreasing, pack_documents
 from turnloom.llm.simhash import EXACT, SIMILAR, Profile, drop_near_duplicates, near_duplicate_classes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,9 +27,11 @@ def tokenizer():
     "text",
     ["", " ", "a  b", "a   b", "a \n \n b", "\n\n x", "x \t\x1c y", "don't  it's 　z", "a<|endoftext|> b <|endoftext|>", "é​ ñ 12 3!!", "tail  \n "],
 )
-def test_chunks_give_the_tokenizers_ids(text):
+def test_ids_are_the_tokenizers(text, monkeypatch):
     ids = tokenizer().encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(ChunkEncoder(PATH)(text), "<u4").tolist() == ids
+    assert np.frombuffer(TextEncoder(PATH)(text), "<u4").tolist() == ids
+    monkeypatch.setattr("turnloom.llm.packing.BLOCK_CHARS", 3)
+    assert np.frombuffer(TextEncoder(PATH)(text), "<u4").tolist() == ids
 
 
 def test_packing_round_trip(spark):

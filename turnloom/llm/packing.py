@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,44 +16,54 @@ from pyspark.sql import functions as F
 
 #: White space as the tokenizer's own pattern understands it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
-#: A run of white space with what follows it. The tokenizer always breaks where such a run begins
-#: and its rules look no further than the end of the run, so chunks can be encoded one by one.
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-CACHE_ENTRIES = 200_000
-BLOCK = 100_000
+#: Where a run of white space begins the tokenizer always breaks, and its rules look no further back.
+_BREAK = re.compile(f"(?<![{_WS}])[{_WS}]")
+BLOCK_CHARS = 1 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
-class ChunkEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, with a bounded cache of chunks."""
+class TextEncoder:
+    """Token ids of whole texts as little-endian 32-bit bytes.
+
+    ``path`` is a tokenizer's JSON file. Where the same vocabulary lies beside it as ranks (same
+    name, ``.tiktoken``), the faster library that reads those is used; the ids are equal.
+    """
 
     def __init__(self, path: str):
+        import json
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        ranks = os.path.splitext(path)[0] + ".tiktoken"
+        if not os.path.exists(ranks):
+            import numpy as np
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            tokenizer = Tokenizer.from_file(path)
+            self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids)
+            return
+        import base64
 
-    def _encode(self, chunks: list[str]) -> bytes:
-        import numpy as np
+        import public_tokenizers
+        import tiktoken
 
-        cache = self.cache
-        missing = list({c for c in chunks if c not in cache})
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = list(set(chunks))
-        for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, chunks))
+        with open(path) as f:
+            special = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
+        self.encode = lambda text: fast.encode_to_numpy(text, allowed_special="all")
 
     def __call__(self, text: str) -> bytes:
-        if len(text) < 1 << 20:
-            return self._encode(_CHUNK.findall(text))
-        found = (m[0] for m in _CHUNK.finditer(text))
-        return b"".join(iter(lambda: self._encode(list(islice(found, BLOCK))), b""))
+        if len(text) <= BLOCK_CHARS:
+            return self.encode(text).astype("<u4").tobytes()
+        out, at = [], 0
+        while at < len(text):
+            end = m.start() if (m := _BREAK.search(text, at + BLOCK_CHARS)) else len(text)
+            out.append(self.encode(text[at:end]).astype("<u4").tobytes())
+            at = end
+        return b"".join(out)
 
 
 class OpenWindows:
@@ -116,7 +125,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        encode, step, end = ChunkEncoder(tokenizer_path), 4 * capacity, end_id.to_bytes(4, "little")
+        encode, step, end = TextEncoder(tokenizer_path), 4 * capacity, end_id.to_bytes(4, "little")
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):

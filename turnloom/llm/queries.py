@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, table
+from .decontamination import benchmark_matches
 from .exact_dedup import content_sort_dedup
 from .language import fit_language, predict_language
+from .line_dedup import drop_repeated_lines
 from .lm_score import fit_ngrams, score_documents
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -58,6 +60,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return benchmark_matches(docs, items).select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"), "distance")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of lines taken from each document and a digest of what is left."""
+    edited = drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"), removed_col="lines_removed")
+    return edited.select("doc_id", "lines_removed", F.length("text").cast("long").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -68,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_quality": op4_quality,
     "op7_language": op7_language,
+    "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
