@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, table
@@ -15,8 +15,10 @@ from .language import fit_language, predict_language
 from .line_dedup import drop_repeated_lines
 from .lm_score import fit_ngrams, score_documents
 from .packing import pack_documents
+from .preferences import preference_segments
 from .quality import fit_quality, score_quality
 from .simhash import EXACT, near_duplicate_classes
+from .warc import resolve_revisits
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,6 +55,63 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= model.threshold).cast("int").alias("predicted"))
 
 
+def preference_pairs(turns: DataFrame, spread: int = 64) -> DataFrame:
+    """(conv_id, pair_id, part): conversations that begin with the same turn, two by two in order of id.
+
+    The pair's lower id is the chosen one and names it; a conversation left over is chosen alone.
+    Pairs are first made inside ``spread`` groups of ids and the groups' odd ones then meet, so that
+    a first turn which many conversations share is not gathered in one place.
+    """
+    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("first"))
+    keyed = first.select("conv_id", F.xxhash64("first.role", "first.text").alias("a"), F.md5(F.concat_ws("\x01", "first.role", "first.text")).alias("b"))
+    grouped = keyed.withColumn("g", F.pmod("conv_id", F.lit(spread)))
+    inner = Window.partitionBy("a", "b", "g").orderBy("conv_id")
+    outer = Window.partitionBy("a", "b").orderBy("conv_id")
+
+    def paired(rows: DataFrame, w) -> DataFrame:
+        numbered = rows.withColumn("k", F.row_number().over(w)).withColumn("after", F.lead("conv_id").over(w)).withColumn("before", F.lag("conv_id").over(w))
+        odd = F.col("k") % 2 == 1
+        return numbered.withColumn("pair_id", F.when(odd, F.col("conv_id")).otherwise(F.col("before"))).withColumn("alone", odd & F.col("after").isNull())
+
+    near = paired(grouped, inner)
+    left = paired(near.filter("alone").select("conv_id", "a", "b"), outer)
+    both = near.filter("not alone").select("conv_id", "pair_id").unionByName(left.select("conv_id", "pair_id"))
+    return both.withColumn("part", F.when(F.col("conv_id") == F.col("pair_id"), "chosen").otherwise("rejected"))
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("conv_id is not null")
+    sided = turns.join(preference_pairs(turns), "conv_id")
+    return preference_segments(sided.filter("part = 'chosen'"), sided.filter("part = 'rejected'"))
+
+
+def capture_log(pages: DataFrame) -> DataFrame:
+    """A crawl log derived from ``pages``: a full response of each page and a later revisit of its URL.
+
+    What the revisit's headers name follows from the first hex digit of the page's MD5: a stale
+    ETag (0, 1), a Last-Modified only (e, f), nothing (d), else the response's ETag; c: the revisit
+    came before the response.
+    """
+    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes"))
+    p = p.withColumn("mark", F.substring("digest", 1, 1)).withColumn("at", F.col("page_id") * 3600)
+
+    def fields(*pairs) -> str:
+        return f"filter(array({', '.join(f"named_struct('name', '{n}', 'value', {v})" for n, v in pairs)}), h -> h.value IS NOT NULL)"
+
+    etag, changed = "IF(mark IN ('d', 'e', 'f'), NULL, concat('\"', digest, '\"'))", "concat('day ', cast(page_id as string))"
+    seen = "IF(mark IN ('0', '1'), 'W/\"stale\"', IF(mark IN ('d', 'e', 'f'), NULL, concat('W/\"', digest, '\"')))"
+    sent = fields(("Content-Type", "'text/html'"), ("Content-Length", "cast(bytes as string)"), ("ETag", etag), ("Last-Modified", changed), ("Cache-Control", "'max-age=60'"))
+    again = fields(("Content-Length", "'0'"), ("ETag", seen), ("Last-Modified", f"IF(mark IN ('e', 'f'), {changed}, NULL)"), ("Cache-Control", "'max-age=3600'"), ("Date", "cast(at as string)"))
+    names = ("record_id", "url", "at", "kind", "http_status", "headers", "payload_digest", "payload_bytes")
+    full = p.selectExpr("page_id * 2", "url", "at", "'response'", "200", sent, "digest", "bytes").toDF(*names)
+    back = p.selectExpr("page_id * 2 + 1", "url", "IF(mark = 'c', at - 10, at + 259200)", "'revisit'", "304", again, "cast(NULL as string)", "cast(NULL as bigint)").toDF(*names)
+    return full.unionByName(back)
+
+
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_revisits(capture_log(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -80,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_lm_score": op3_lm_score,
     "op4_quality": op4_quality,
+    "op5_preferences": op5_preferences,
+    "op6_revisits": op6_revisits,
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
@@ -87,6 +148,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_preferences": """
+WITH firsts AS (
+  SELECT conv_id, min({'t': turn, 'r': role, 'x': text}) AS f FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+numbered AS (
+  SELECT conv_id, f.r AS r, f.x AS x,
+         row_number() OVER w AS k, lead(conv_id) OVER w AS after, lag(conv_id) OVER w AS before
+  FROM firsts WINDOW w AS (PARTITION BY f.r, f.x, conv_id % 64 ORDER BY conv_id)),
+left_over AS (
+  SELECT conv_id, row_number() OVER w AS k, lag(conv_id) OVER w AS before
+  FROM numbered WHERE k % 2 = 1 AND after IS NULL WINDOW w AS (PARTITION BY r, x ORDER BY conv_id)),
+pairs AS (
+  SELECT conv_id, CASE WHEN k % 2 = 1 THEN conv_id ELSE before END AS pair_id FROM numbered WHERE NOT (k % 2 = 1 AND after IS NULL)
+  UNION ALL SELECT conv_id, CASE WHEN k % 2 = 1 THEN conv_id ELSE before END FROM left_over),
+sided AS (
+  SELECT pair_id, CASE WHEN c.conv_id = pair_id THEN 'chosen' ELSE 'rejected' END AS part,
+         coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations c JOIN pairs p ON c.conv_id = p.conv_id),
+slots AS (
+  SELECT pair_id, part, turn, string_agg(role || chr(1) || text, chr(2) ORDER BY role, text) AS s FROM sided GROUP BY ALL),
+splits AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, min(coalesce(a.turn, b.turn)) AS split
+  FROM (SELECT * FROM slots WHERE part = 'chosen') a
+  FULL JOIN (SELECT * FROM slots WHERE part = 'rejected') b ON a.pair_id = b.pair_id AND a.turn = b.turn
+  WHERE a.s IS DISTINCT FROM b.s GROUP BY 1),
+placed AS (
+  SELECT s.*, (split IS NULL OR turn < split) AS common FROM sided s LEFT JOIN splits p ON s.pair_id = p.pair_id),
+parts AS (
+  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE part END AS part, turn, role,
+         '<|im_start|>' || role || chr(10) AS header, text || '<|im_end|>' || chr(10) AS body
+  FROM placed WHERE NOT (common AND part = 'rejected'))
+SELECT pair_id, part, turn, role, header || body AS segment,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(header) ELSE length(header || body) END AS loss_from,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(body) ELSE 0 END AS loss_chars
+FROM parts
+""",
+    "op6_revisits": """
+WITH p AS (
+  SELECT page_id, md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS bytes, page_id * 3600 AS t,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages),
+q AS (
+  SELECT *, digest[1] AS mark,
+         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www\\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'),
+                   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS params
+  FROM p),
+c AS (
+  SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url FROM q),
+full_responses AS (
+  SELECT canonical_url, t, max(page_id * 2) AS response_id, arg_max(digest, page_id) AS digest, arg_max(bytes, page_id) AS bytes,
+         arg_max(mark, page_id) AS mark, max(page_id) AS pid FROM c GROUP BY canonical_url, t),
+revisits AS (
+  SELECT page_id * 2 + 1 AS record_id, canonical_url, CASE WHEN mark = 'c' THEN t - 10 ELSE t + 259200 END AS at_s, t AS sent, mark, digest, page_id FROM c),
+met AS (
+  SELECT r.*, f.response_id, f.digest AS f_digest, f.bytes AS f_bytes, f.mark AS f_mark, f.pid
+  FROM revisits r ASOF LEFT JOIN full_responses f ON r.canonical_url = f.canonical_url AND r.at_s > f.t),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'missing'
+    WHEN mark IN ('0', '1') THEN 'mismatch'
+    WHEN mark IN ('e', 'f') THEN CASE WHEN page_id = pid THEN 'resolved' ELSE 'mismatch' END
+    WHEN mark = 'd' THEN 'unverified'
+    WHEN f_mark NOT IN ('d', 'e', 'f') AND f_digest = digest THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM met)
+SELECT record_id, canonical_url, at_s AS "at", response_id, status,
+  CASE WHEN status IN ('resolved', 'unverified') THEN
+    'cache-control: max-age=3600' || chr(10) || 'content-length: ' || f_bytes || chr(10) || 'content-type: text/html' || chr(10)
+    || 'date: ' || sent
+    || CASE WHEN mark NOT IN ('d', 'e', 'f') THEN chr(10) || 'etag: W/"' || digest || '"'
+            WHEN f_mark NOT IN ('d', 'e', 'f') THEN chr(10) || 'etag: "' || f_digest || '"' ELSE '' END
+    || chr(10) || 'last-modified: day ' || pid END AS headers,
+  CASE WHEN status IN ('resolved', 'unverified') THEN f_digest END AS payload_digest,
+  CASE WHEN status IN ('resolved', 'unverified') THEN f_bytes END AS payload_bytes
+FROM judged
+""",
     "op10_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER g AS keep_id,
