@@ -43,7 +43,9 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality; background: all documents."""
     good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    models = fit_ngrams(docs.join(good, F.col("doc_id") == F.col("good_id"), "left"), F.col("good_id").isNotNull())
+    # the labels grow with the documents: both sides are exchanged by id at every size
+    marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    models = fit_ngrams(marked, F.col("good_id").isNotNull())
     return score_documents(docs, models)
 
 
