@@ -37,6 +37,12 @@ def seq_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio_udf(name: pd.Series, words: pd.Series) -> pd.Series:
+    """The best ratio of a name with one of some words; 0 without any."""
+    return pd.Series([max((ratio(n or "", w) for w in set(ws)), default=0.0) for n, ws in zip(name, words, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def window_ratio_udf(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([best_window_ratio((q or "").split(), (t or "").split()) for q, t in zip(quote, text, strict=True)], dtype="float64")

@@ -7,16 +7,19 @@ the end. A rule's regular expressions are literals and its text work is shared t
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions import clinical_terms as K
 from turnloom.functions import cues as C
 from turnloom.functions import text as T
-from turnloom.functions.fuzzy import window_ratio_udf
+from turnloom.functions.fuzzy import best_ratio_udf, window_ratio_udf
 from turnloom.functions.spoken import number_candidates_udf
 from turnloom.operators.relational import id_window, texts_of
+from turnloom.operators.risk import ESCALATION, SUICIDAL, clinical_score, first_flags, risk_scan
 
 RADIUS = 2
 REPAIRABLE = 0.9
@@ -151,6 +154,85 @@ def _bullet_rules() -> tuple[list[Column], list[Column]]:
     return found, counts
 
 
+def _term_rules() -> tuple[list[Column], list[Column]]:
+    """V8: a clinical term of the summary that the call never mentions, or only by a loose synonym."""
+    named = F.filter("facts", lambda f: f["type"].isin("symptom", "pertinent_negative", "vital", "context"))
+    said = F.concat_ws(" ", "text", F.array_join(F.transform(named, lambda f: F.coalesce(f["name"], F.lit(""))), " "))
+    call, path = F.array_join("texts", " "), F.concat("path", F.lit(".text"))
+    found, counts = [], []
+    for term, in_summary, in_call in K.TERMS:
+        used, known = said.rlike(f"(?i){in_summary}"), call.rlike(f"(?i){in_call}")
+        severity = "WARN" if term in K.GENERIC_TERMS else "ERROR"
+        found.append(_finding(used & ~known, "V8", severity, path, f"'{term}' is in the summary but nothing in the call mentions it"))
+        if term in K.SPECIFIC_TERMS:
+            found.append(_finding(used & known & ~call.rlike(f"(?i){in_summary}"), "V8", "WARN", path, f"the call has only a loose synonym of '{term}'"))
+        counts.append(_counter("clinical_terms_supported", known, used))
+    return found, counts
+
+
+def _drug_findings(b: DataFrame, drugs: list[str]) -> DataFrame:
+    """V7: drugs that a bullet names and the call, or the turns around those cited, do not."""
+    long = sorted({d for d in drugs if len(d) > 3}, key=lambda d: (-len(d), d))
+    in_text = F.regexp_extract_all(F.lower("text"), F.lit(r"\b(" + "|".join(re.escape(d) for d in long) + r")\b"), 1)
+    typed = F.transform(F.filter("facts", lambda f: f["type"] == "medication"), lambda f: f["name"])
+    acted = F.flatten(F.transform(F.filter("facts", lambda f: f["type"] == "action"), lambda f: F.array(f["med_name"], f["medication"])))
+    names = F.filter(F.concat(in_text, typed, acted), lambda n: F.coalesce(n, F.lit("")) != "")
+    near = T.normalize(T.collapse_spelled(texts_of(F.col("window"), F.col("texts"))))
+    rows = b.select(*KEYS, "path", F.explode(names).alias("drug"), F.array_join("norms", " ").alias("call"), near.alias("near")).withColumn("plain", T.normalize(F.col("drug")))
+    words = F.split("plain", " ")
+
+    def stands(text: str) -> Column:
+        return T.padded_contains(F.col(text), F.col("plain")) | ((F.col("plain") != "") & (F.size(F.array_except(words, F.split(F.col(text), " "))) == 0))
+
+    rows = rows.withColumn("in_call", stands("call")).withColumn("in_near", F.col("in_call") & stands("near"))
+    rows = rows.withColumn("alike", F.when(F.col("in_call"), F.lit(1.0)).otherwise(best_ratio_udf("plain", F.filter(F.split("call", " "), lambda w: F.length(w) > 3))))
+    said = lambda text: F.concat(F.lit("drug "), "drug", F.lit(text))
+    found = F.concat(
+        _finding(~F.col("in_call") & (F.col("alike") >= 0.8), "V7", "WARN", F.col("path"), said(" differs from the spelling in the call")),
+        _finding(~F.col("in_call") & (F.col("alike") < 0.8), "V7", "ERROR", F.col("path"), said(" is not in the call")),
+        _finding(F.col("in_call") & ~F.col("in_near"), "V7", "INFO", F.col("path"), said(" is in the call but not near the cited turns")),
+    )
+    return rows.select(*KEYS, found.alias("findings"), F.concat(_counter("drugs_in_call", F.col("in_call")), _counter("drugs_in_window", F.col("in_near"))).alias("counters"))
+
+
+def _flag_findings(s: DataFrame, turns: DataFrame, drugs: list[str]) -> DataFrame:
+    """V13 to V15: rule hits without a flag, the Not-Applicable gate, promises without a response."""
+    strong = (SUICIDAL, ESCALATION)
+    flags = first_flags(risk_scan(turns, drugs)).groupBy("call_id").agg(F.collect_set("category").alias("hit"))
+    promise = r"(?i)\b(send|page|message|call|schedule|order|notify|arrange|contact|submit)\b"
+    made = (F.col("speaker") == "Nurse") & C.says(F.col("text"), C.FUTURE) & F.col("text").rlike(promise)
+    size = turns.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(made).alias("promised"))
+    r = s.join(size, "call_id").join(clinical_score(turns, drugs), "call_id").join(flags, "call_id", "left")
+    hit, root = F.coalesce("hit", F.array().cast("array<string>")), F.lit("risk_flags")
+    own = F.coalesce(F.transform("s.risk_flags", lambda f: f["category"]), F.array().cast("array<string>"))
+    na = F.coalesce(F.col("s.not_applicable.is_na"), F.lit(False))
+    urgent = F.arrays_overlap(hit, F.array(*map(F.lit, strong)))
+    buried, thin = na & ((F.col("score") >= 4) | urgent), ~na & (F.col("score") <= 1) & (F.col("n") < 20)
+    missed = F.array_except(hit, own)
+    name = lambda category: F.concat(F.lit("a rule found "), category, F.lit(" but the output has no such flag"))
+    say = lambda c: F.struct(F.lit("V13").alias("rule"), F.when(c.isin(*strong), "ERROR").otherwise("WARN").alias("severity"), root.alias("path"), name(c).alias("message"))
+    none = F.array().cast("array<struct<rule:string,severity:string,path:string,message:string>>")
+    found = F.concat(
+        F.when(na, none).otherwise(F.transform(missed, say)),
+        _finding(~na & F.array_contains(own, SUICIDAL) & ~F.array_contains(hit, SUICIDAL), "V13", "WARN", root, "suicidal_statement flag without such wording"),
+        _finding(buried, "V14", "ERROR", F.lit("not_applicable"), "marked Not Applicable but the call has clinical content"),
+        _finding(thin, "V14", "WARN", F.lit("not_applicable"), "summarized as clinical but the call has almost no clinical content"),
+        _finding(~na & F.col("promised") & (F.coalesce(F.size("s.response"), F.lit(0)) == 0), "V15", "WARN", F.lit("response"), "the nurse promised actions but the response section is empty"),
+    )
+    covered = lambda c, kind: F.struct(F.lit(kind).alias("name"), F.array_contains(own, c).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))
+    is_strong = lambda c: c.isin(*strong)
+    counts = F.concat(
+        F.when(na, F.array().cast("array<struct<name:string,ok:bigint,total:bigint>>")).otherwise(
+            F.concat(
+                F.transform(F.filter(hit, is_strong), lambda c: covered(c, "rule_flags_covered_strong")),
+                F.transform(F.filter(hit, lambda c: ~is_strong(c)), lambda c: covered(c, "rule_flags_covered_loose")),
+            )
+        ),
+        _counter("na_gate_ok", ~buried & ~thin),
+    )
+    return r.select(*KEYS, found.alias("findings"), counts.alias("counters"))
+
+
 def _negation_findings(b: DataFrame) -> DataFrame:
     """V12: a negative finding whose whole name stands in the text without any negation."""
     facts = b.select(*KEYS, "path", "text", F.explode("facts").alias("f")).filter((F.col("f.type") == "pertinent_negative") | ((F.col("f.type") == "symptom") & (F.col("f.present") == "false")))
@@ -188,18 +270,22 @@ def _summary_rules(s: DataFrame) -> DataFrame:
     return s.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
 
 
-def validate(summaries: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, counters) of JSON ``summaries`` (system, call_id, summary) over ``turns`` (call_id, turn_id, speaker, text).
 
     findings: system, call_id, rule, severity, path, message. counters: system, call_id, name, ok,
-    total, summed. A summary without the required keys gets no rule on its bullets.
+    total, summed. A summary without the required keys gets no rule on its bullets. With ``drugs``
+    (names in lower case) V7 and V13 to V15 run as well.
     """
     s = parsed(summaries)
     whole = s.filter(F.col("keys").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), "keys")) == 0))
     b = _prepared(bullets(whole), call_context(turns))
-    found, counts = _bullet_rules()
+    (found, counts), (more, sums) = _bullet_rules(), _term_rules()
+    found, counts = found + more, counts + sums
     rows = b.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
     said = rows.unionByName(_negation_findings(b)).unionByName(_summary_rules(s))
+    if drugs is not None:
+        said = said.unionByName(_drug_findings(b, drugs)).unionByName(_flag_findings(whole, turns, drugs))
     findings = said.select(*KEYS, F.explode("findings").alias("f")).select(*KEYS, "f.*")
     counters = said.select(*KEYS, F.explode("counters").alias("c")).groupBy(*KEYS, "c.name").agg(F.sum("c.ok").alias("ok"), F.sum("c.total").alias("total"))
     return findings, counters
