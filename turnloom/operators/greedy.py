@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnloom.functions.fuzzy import ratio
 
@@ -36,4 +37,6 @@ def greedy_match(gold: DataFrame, predicted: DataFrame, keys: list[str], order:
     names = [*keys, order, value]
     types = {f.name: f.dataType.simpleString() for f in gold.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", match_order long"
-    return gold.select(*names).groupBy(*keys).cogroup(predicted.select(*names).groupBy(*keys)).applyInPandas(run, schema)
+    # fresh column identities: both sides may come from one table
+    left, right = (side.select(*(F.col(c).alias(f"__{c}") for c in names)).toDF(*names) for side in (gold, predicted))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)

@@ -25,11 +25,13 @@ RADIUS = 2
 REPAIRABLE = 0.9
 SECTIONS = ("assessment", "response", "education")
 NUMBER_FIELDS = ("dose", "strength", "severity", "value", "supply", "last_dose", "frequency", "timeframe", "duration", "onset")
-_FIELDS = ("type", "name", "status", "certainty", "present", "med_name", "medication", *NUMBER_FIELDS)
+_FIELDS = ("type", "name", "status", "certainty", "present", "med_name", "medication", "item", "unit", "action_type", "education_type", *NUMBER_FIELDS)
 FACT = ", ".join(f"{c}: string" for c in _FIELDS)
 BULLET = f"text: string, reason: string, speaker: string, turns: array<int>, quote: string, explanation: string, facts: array<struct<{FACT}>>"
+IDENTITY = ("patient_name", "patient_dob", "caller_name", "relationship", "callback_phone")
 SUMMARY = (
     "not_applicable struct<is_na: boolean, reason: string>, "
+    f"identity struct<{', '.join(f'{k}: struct<value: string, certainty: string>' for k in IDENTITY)}>, "
     f"chief_complaint struct<{BULLET}>, "
     + ", ".join(f"{s} array<struct<{BULLET}>>" for s in SECTIONS)
     + ", risk_flags array<struct<category: string, turns: array<int>, quote: string>>"
