@@ -55,7 +55,7 @@ def collapse_spelled(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Trimmed, non-empty sentences: the text splits after . ? or ! before white space."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.?!])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.?!])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def tokens(c: Column) -> Column:

@@ -22,7 +22,7 @@ def strict_turns(calls: DataFrame, id_col: str = "call_id", text_col: str = "tra
     rows = _lines(calls, id_col, text_col)
     good = F.when(F.col("line").rlike(TURN), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a turn: "), "line")))
     rows = rows.withColumn("line", good).withColumn("turn_id", F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
-    tags = F.filter(F.transform(F.split(F.regexp_extract("line", TURN, 3), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.regexp_extract("line", TURN, 3), ","), lambda x: F.trim(x)), lambda t: t != "")
     parsed = rows.select(id_col, "turn_id", F.regexp_extract("line", TURN, 1).alias("speaker"), F.trim(F.regexp_extract("line", TURN, 2)).alias("text"), tags.alias("tags"))
     return parsed.withColumn("label_error", F.array_contains("tags", "label_error")).withColumn("tags", F.filter("tags", lambda t: t != "label_error"))
 
