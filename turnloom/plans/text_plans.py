@@ -16,8 +16,10 @@ _PLAIN = "trim(regexp_replace(replace(lower(translate({0}, '’‘“”–—',
 
 
 def sql_normalize(column: str) -> str:
-    words = f"string_split({_PLAIN.format(column)}, ' ')"
-    return f"array_to_string(list_filter({words}, lambda w, i: i = 1 OR w <> {words}[i - 1]), ' ')"
+    # the one-element list binds the words, which a lambda would else split again for every word
+    words = f"[string_split({_PLAIN.format(column)}, ' ')]"
+    kept = "list_filter(list_zip(ws, list_prepend(NULL, ws)), lambda p: p[1] IS DISTINCT FROM p[2])"
+    return f"list_transform({words}, lambda ws: array_to_string(list_transform({kept}, lambda p: p[1]), ' '))[1]"
 
 
 _SENTENCES = (
