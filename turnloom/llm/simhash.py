@@ -14,7 +14,7 @@ Two profiles:
   more. SimHash distances spread, so no radius that can be indexed holds every pair at 0.8; the
   README gives the share of pairs found.
 
-A posting above ``POSTING`` members is never paired: see ``_crowded_exact`` and ``_crowded_similar``.
+A posting above the profile's limit of members is never paired: see ``_crowded_exact`` and ``_crowded_similar``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .graph import connected_components
 
-POSTING = 32
 BLOCK_WORDS = 1 << 16
 
 
@@ -42,6 +41,7 @@ class Profile:
     tables: tuple[tuple[int, ...], ...]  # byte positions keyed together
     radius: int  # differing bits of a link (EXACT) or of a pair worth verifying (SIMILAR)
     similarity: float | None  # Jaccard of distinct shingles that a link needs, None: the radius decides
+    posting: int = 32  # members up to which a posting is paired
 
     @property
     def guaranteed(self) -> int:
@@ -58,7 +58,7 @@ def _cyclic_triples(size: int, differences: tuple[tuple[int, int], ...]) -> tupl
 #: together in at most one table, which makes the tables' misses as independent as they can be.
 DIFFERENCES = ((1, 2), (4, 5), (6, 11), (7, 12), (8, 10))
 EXACT = Profile(3, 1, tuple((2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)), 2, None)
-SIMILAR = Profile(5, 4, _cyclic_triples(32, DIFFERENCES), 56, 0.8)
+SIMILAR = Profile(5, 4, _cyclic_triples(32, DIFFERENCES), 56, 0.8, posting=8)
 
 
 def shingle_hashes(text: bytes | None, size: int) -> list[int]:
@@ -210,7 +210,7 @@ def near_duplicate_classes(
     table = checkpointed(fingerprints(docs, profile, id_col, text_col))
     nodes = table.groupBy("node").agg(*(F.first(c).alias(c) for c in _words(profile)))
     postings = checkpointed(_postings(nodes, profile))
-    few, crowded = postings.filter(F.col("members") <= POSTING), postings.filter(F.col("members") > POSTING)
+    few, crowded = postings.filter(F.col("members") <= profile.posting), postings.filter(F.col("members") > profile.posting)
     pairs = _side(few, "a_", profile).join(_side(few, "b_", profile), "key").filter((F.col("a_node") < F.col("b_node")) & _near(profile))
     pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     if profile.similarity is None:
