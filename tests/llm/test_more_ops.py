@@ -260,6 +260,42 @@ def test_ngram_losses_against_brute_force(spark):
         assert r.score == pytest.approx(loss[("target", d)] - loss[("background", d)], rel=1e-6, abs=1e-9)
 
 
+def test_ngram_keys_are_exact(spark, monkeypatch):
+    """More distinct words and pairs than the slots named; target ids mark like a target column."""
+    from turnloom.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", 64)
+    rng = random.Random(4)
+    names = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(names, k=rng.randint(0, 90))) for _ in range(150)]
+    given = [(k, t, *[None] * 6) for k, t in enumerate(texts)] + [(3, texts[3], *[None] * 6), (None, texts[7], *[None] * 6), (200, None, *[None] * 6)]
+    df = docs(spark, given)
+    uni, bi, good_uni, good_bi = Counter(), Counter(), Counter(), Counter()
+    for r in given:
+        w = (r[1] or "").split()
+        for words, pairs in [(uni, bi)] + [(good_uni, good_bi)] * (r[0] is not None and r[0] % 3 == 0):
+            words.update(w)
+            pairs.update(zip(w, w[1:], strict=False))
+    assert len(uni) > 256 and len(bi) > 1024
+
+    def loss(text, words, pairs):
+        w = text.split()
+        p = [0.3 * (words[b] + 0.1) / (sum(words.values()) + 0.1 * len(uni)) for b in w]
+        for k in range(1, len(w)):
+            p[k] += 0.7 * pairs[(w[k - 1], w[k])] / (words[w[k - 1]] + 0.1)
+        return -sum(map(math.log, p)) / len(w) if w else 0.0
+
+    want = sorted((-1 if r[0] is None else r[0], loss(r[1] or "", good_uni, good_bi), loss(r[1] or "", uni, bi)) for r in given)
+    by_column = fit_ngrams(df, F.col("doc_id") % 3 == 0, slots=1 << 8, pair_slots=1 << 10)
+    ids = spark.createDataFrame([(k,) for k in range(0, 150, 3)] + [(3,), (None,), (999,)], "doc_id long")
+    by_id = fit_ngrams(df, F.lit(False), slots=1 << 8, pair_slots=1 << 10, target_ids=ids)
+    for out in (score_documents(df, by_column), lm_score.score_counted(by_id)):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.target_loss, r.background_loss) for r in out.collect())
+        assert len(got) == len(want)
+        for a, b in zip(got, want, strict=True):
+            assert a == pytest.approx(b, rel=1e-6, abs=1e-9)
+
+
 def test_held_out_accuracy(spark):
     from turnloom.llm.queries import op4_quality, op7_language
 

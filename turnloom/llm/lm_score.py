@@ -1,54 +1,206 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Words are lower-cased and hashed into one vocabulary of slots that both models share; both are
-bigram models interpolated with unigrams, of the same shape and smoothing, and differ only in the
-text counted. The counts cover every word of every document. A document's score is the mean
-over its words of the target model's loss less the background model's: lower is more like the target.
+Words are lower-cased. Both models are bigram models interpolated with unigrams, of the same shape
+and smoothing, and differ only in the text counted. The counts cover every word of every document.
+A document's score is the mean over its words of the target model's loss less the background
+model's: lower is more like the target.
 
-A task counts into arrays of fixed size and emits their non-zero slots, which are summed by an
-exchange; the final arrays have a fixed size too (``slots`` and ``pair_slots``) and are broadcast.
+Words and pairs are counted exactly, each under its own 63-bit hash; the table grows with the input.
+Documents are packed into chunks of about ``CHUNK_WORDS`` words. A chunk sends each of its distinct
+keys once, with its counts, to the bucket of the key's first bits; a bucket adds up what all chunks
+sent and answers each chunk with the sums. A hot word is one key of each chunk like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_WORDS = 1 << 16
+from .common import checkpointed, tasks
+
+CHUNK_WORDS = 1 << 20
+
+CHUNKS = "chunk long, ids array<long>, data binary"
+SENT = "bucket int, chunk long, keys binary, background binary, target binary"
+SUMS = "bucket int, chunk long, background binary, target binary, words long, background_words long, target_words long"
 
 
 @dataclass(frozen=True)
 class NgramModels:
-    """Counts of the background (row 0) and the target (row 1)."""
+    """The counted chunks, from which buckets sum the models' counts."""
 
-    words: Any  # (2, slots)
-    pairs: Any  # (2, pair_slots)
+    chunks: DataFrame
+    sent: DataFrame  # the counts of each chunk by bucket
+    bits: int  # of a bucket's number
+    vocabulary: int  # words that the smoothing assumes at least
     weight: float  # of the bigram estimate
     smoothing: float
 
 
-def _word_slots(text: str | None, slots: int) -> Any:
+def _pack(values: Any) -> bytes:
+    """Integers as compressed planes of bytes."""
     import numpy as np
-    from xxhash import xxh32_intdigest
+    import zstandard as z
 
-    words = (text or "").lower().encode("utf-8", "replace").split()
-    return np.fromiter(map(xxh32_intdigest, words), dtype=np.int64, count=len(words)) & (slots - 1)
+    v = np.ascontiguousarray(values, dtype="<u8")
+    return z.compress(v.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _pair_slots(w: Any, pair_slots: int) -> Any:
-    """Slots of (previous word, word); the first word follows the start sign."""
+def _unpack(data: bytes) -> Any:
     import numpy as np
+    import zstandard as z
+
+    planes = np.frombuffer(z.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _chunks(docs: DataFrame, is_target: Column, id_col: str, text_col: str) -> DataFrame:
+    """Chunks of whole documents; ``data`` holds targets, word numbers and word keys (even)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        import numpy as np
+        import zstandard as z
+        from pyspark import TaskContext
+        from xxhash import xxh3_64_intdigest
+
+        first = TaskContext.get().partitionId() << 32
+        schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
+
+        def packed(ids: list, targets: list, words: list, number: int) -> pa.RecordBatch:
+            lengths = np.array([len(w) for w in words], dtype=np.int64)
+            keys, at = np.unique(np.concatenate(words), return_inverse=True)
+            common = np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")  # small numbers for common words
+            rank = np.empty(len(keys), dtype=np.int64)
+            rank[common] = np.arange(len(keys))
+            data = z.compress(pickle.dumps((np.array(targets, dtype=bool), lengths, _pack(rank[at]), keys[common])), 1)
+            return pa.RecordBatch.from_arrays([pa.array([first + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([data])], schema=schema)
+
+        ids, targets, words, size, number = [], [], [], 0, 0
+        for b in batches:
+            for i, target, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                w = (text.as_py() or "").lower().encode("utf-8", "replace").split()
+                ids.append(i)
+                targets.append(target)
+                words.append(np.fromiter(map(xxh3_64_intdigest, w), dtype=np.uint64, count=len(w)) & np.uint64(2**64 - 2))
+                size += len(w)
+                if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS:
+                    yield packed(ids, targets, words, number)
+                    ids, targets, words, size, number = [], [], [], 0, number + 1
+        if ids:
+            yield packed(ids, targets, words, number)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_target, F.lit(False)).alias("t"), F.col(text_col).alias("text"))
+    return checkpointed(rows.mapInArrow(run, CHUNKS))
+
 
-    before = np.empty(len(w), dtype=np.uint64)
-    before[:1] = 0
-    before[1:] = w[:-1].astype(np.uint64) + np.uint64(1)
-    x = (before * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(31))) & np.uint64(pair_slots - 1)).astype(np.int64)
+def _ngrams(data: bytes) -> tuple[Any, ...]:
+    """A chunk's targets, lengths, word numbers, whether each word has a predecessor, keys, and each
+    word's and pair's place among the keys.
+
+    The keys are distinct and in order: words are even, pairs odd.
+    """
+    import pickle
+
+    import numpy as np
+    import zstandard as z
+
+    targets, lengths, at, words = pickle.loads(z.decompress(data))
+    at = _unpack(at).astype(np.int64)
+    follows = np.ones(len(at), dtype=bool)
+    starts = np.cumsum(lengths) - lengths
+    follows[starts[lengths > 0]] = False
+    w = words[at]
+    later = np.flatnonzero(follows)
+    mixed = (w[later - 1] * np.uint64(0x9E3779B97F4A7C15) + w[later]) | np.uint64(1)
+    pairs, pair_at = np.unique(mixed, return_inverse=True)
+    keys = np.concatenate([words, pairs])
+    order = np.argsort(keys)
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.arange(len(keys))
+    return targets, lengths, follows, keys[order], place[: len(words)][at], place[len(words) :][pair_at]
+
+
+def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
+    """One row per chunk and bucket that it has keys of; zero counts unless ``counted``.
+
+    Ids in the list ``targets`` of a chunk, if there is one, are targets too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for row in range(b.num_rows):
+                chunk, ids, data, more = (b.column(k)[row] for k in range(4))
+                targets, lengths, follows, keys, word_at, pair_at = _ngrams(data.as_py())
+                if more.is_valid and len(more):
+                    known = ids.values.is_valid().to_numpy(zero_copy_only=False)
+                    targets = targets | known & np.isin(ids.values.fill_null(0).to_numpy(), more.values.to_numpy())
+                of_target = np.repeat(targets, lengths)
+                everything = np.concatenate([word_at, pair_at])
+                background = np.bincount(everything, minlength=len(keys))
+                target = np.bincount(everything[np.concatenate([of_target, of_target[follows]])], minlength=len(keys))
+                if not counted:
+                    background, target = background * 0, target * 0
+                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
+                out = []
+                for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                    steps = np.diff(keys[start:stop], prepend=np.uint64(0))
+                    out.append((int(bucket[start]), chunk.as_py(), _pack(steps), _pack(background[start:stop]), _pack(target[start:stop])))
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "keys", "background", "target"])
+
+    rows = chunks if "targets" in chunks.columns else chunks.withColumn("targets", F.lit(None).cast("array<long>"))
+    return rows.select("chunk", "ids", "data", "targets").mapInArrow(run, SENT)
+
+
+def _summed(sent: DataFrame) -> DataFrame:
+    """The sums of each bucket's keys, for each chunk named; one row of totals per bucket."""
+
+    def sums(bucket: int, rows: Iterable[tuple]) -> pa.RecordBatch:
+        import numpy as np
+
+        chunks, steps, background, target = zip(*(r[1:] for r in rows), strict=True)
+        keys = [np.cumsum(_unpack(s), dtype=np.uint64) for s in steps]
+        ends = np.cumsum([len(k) for k in keys])
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = []
+        for column in (background, target):
+            total = np.zeros(len(keys), dtype=np.int64)
+            start = 0
+            for packed, end in zip(column, ends, strict=True):  # a chunk's keys are distinct
+                total[at[start:end]] += _unpack(packed).astype(np.int64)
+                start = end
+            totals.append(total)
+        word = keys % np.uint64(2) == 0
+        seen = int((word & (totals[0] > 0)).sum())
+        out = [(bucket, None, None, None, seen, int(totals[0][word].sum()), int(totals[1][word].sum()))]
+        start = 0
+        for chunk, end in zip(chunks, ends, strict=True):
+            if chunk is not None:
+                out.append((bucket, chunk, *(_pack(t[at[start:end]]) for t in totals), None, None, None))
+            start = end
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3)
+        names = ["bucket", "chunk", "background", "target", "words", "background_words", "target_words"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for bucket, of_bucket in groupby(rows, key=lambda r: r[0]):
+            yield sums(bucket, of_bucket)
+
+    dealt = sent.repartition(tasks(sent.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return checkpointed(dealt.mapInArrow(run, SUMS))
 
 
 def fit_ngrams(
@@ -58,45 +210,59 @@ def fit_ngrams(
     pair_slots: int = 1 << 20,
     weight: float = 0.7,
     smoothing: float = 0.1,
+    id_col: str = "doc_id",
     text_col: str = "text",
+    target_ids: DataFrame | None = None,
 ) -> NgramModels:
-    """Count all documents (background) and those of ``is_target`` (target).
+    """Count all documents (background) and those of ``is_target`` or with an id in ``target_ids`` (target).
 
-    ``slots`` and ``pair_slots`` are powers of two. Null texts count as empty.
+    Smoothing assumes a vocabulary of ``slots`` words, or of the distinct words counted where they
+    are more. Keys are exact, so ``pair_slots`` bounds nothing; it is accepted for older callers.
+    Null texts count as empty. There are at least 1,024 buckets and eight for each shuffle
+    partition; a task holds the keys of one bucket.
     """
-    import numpy as np
+    chunks = _chunks(docs, is_target, id_col, text_col)
+    marked = chunks
+    if target_ids is not None:
+        ids = target_ids.toDF("id").distinct()
+        found = chunks.select("chunk", F.explode("ids").alias("id")).distinct().join(ids.hint("merge"), "id")
+        marked = chunks.join(found.groupBy("chunk").agg(F.collect_list("id").alias("targets")).hint("merge"), "chunk", "left")
+    bits = max(10, (8 * tasks(docs.sparkSession) - 1).bit_length())
+    return NgramModels(chunks, _by_bucket(marked, bits, True), bits, slots, weight, smoothing)
+
+
+def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels) -> DataFrame:
+    totals = sums.agg(F.sum("words"), F.sum("background_words"), F.sum("target_words")).first()
+    vocabulary, background_words, target_words = (v or 0 for v in totals)
+    vocabulary, weight, smoothing = max(vocabulary, models.vocabulary), models.weight, models.smoothing
+    names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((2, slots), dtype=np.int64), np.zeros((2, pair_slots), dtype=np.int64)]
         for b in batches:
-            for target, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = _word_slots(text.as_py(), slots)
-                for table, found in zip(sums, (w, _pair_slots(w, pair_slots)), strict=True):
-                    at, times = np.unique(found, return_counts=True)
-                    table[0, at] += times
-                    if target:
-                        table[1, at] += times
-        for kind, table in enumerate(sums):
-            at = np.flatnonzero(table[0])
-            for k in range(0, len(at), 1 << 16):
-                cut = at[k : k + (1 << 16)]
-                kinds = np.full(len(cut), kind, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds), pa.array(cut.astype(np.int32)), pa.array(table[0, cut]), pa.array(table[1, cut])], names
-                )
-
-    names = ["kind", "slot", "background", "target"]
-    rows = docs.select(F.coalesce(is_target, F.lit(False)).alias("t"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(count, "kind int, slot int, background long, target long")
-    summed = parts.groupBy("kind", "slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    tables = [np.zeros((2, slots), dtype=np.int64), np.zeros((2, pair_slots), dtype=np.int64)]
-    for b in summed.toArrow().to_batches():  # at most slots + pair_slots rows
-        kind, slot = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for k, table in enumerate(tables):
-            mine = kind == k
-            table[0, slot[mine]] = b.column(2).to_numpy()[mine]
-            table[1, slot[mine]] = b.column(3).to_numpy()[mine]
-    return NgramModels(tables[0], tables[1], weight, smoothing)
+            for row in range(b.num_rows):
+                ids, data, sums = (b.column(k)[row] for k in range(3))
+                _, lengths, follows, _, word_at, pair_at = _ngrams(data.as_py())
+                parts, doc, mean = sums.as_py() or [], np.repeat(np.arange(len(lengths)), lengths), []
+                for column, total in (("target", target_words), ("background", background_words)):
+                    counts = np.concatenate([np.zeros(0), *(_unpack(p[column]) for p in parts)])
+                    n = counts[word_at] + smoothing
+                    p = (1 - weight) * n / (total + smoothing * vocabulary)
+                    later = np.flatnonzero(follows)
+                    p[later] += weight * np.minimum(counts[pair_at] / n[later - 1], 1.0)
+                    loss = np.bincount(doc, weights=-np.log(p), minlength=len(lengths))
+                    mean.append(loss / np.maximum(lengths, 1))
+                yield pa.RecordBatch.from_arrays([ids.values, *map(pa.array, (lengths, *mean, mean[0] - mean[1]))], names)
+
+    asked = sums.filter("chunk is not null").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "background", "target"))).alias("sums"))
+    rows = chunks.join(asked.hint("merge"), "chunk", "left").select("ids", "data", "sums")
+    return rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+
+
+def score_counted(models: NgramModels) -> DataFrame:
+    """``score_documents`` of the documents that ``models`` counted, whose keys travel once."""
+    return _scored(models.chunks, _summed(models.sent), models)
 
 
 def score_documents(docs: DataFrame, models: NgramModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,38 +271,6 @@ def score_documents(docs: DataFrame, models: NgramModels, id_col: str = "doc_id"
     Losses are natural-log means per word; a text without words (or a null one) has 0 words, zero
     losses and score 0. Repeated rows score alike; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((models.words, models.pairs, models.weight, models.smoothing))  # of fixed size, see fit_ngrams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        word_counts, pair_counts, weight, smoothing = shared.value
-        slots, pair_slots = word_counts.shape[1], pair_counts.shape[1]
-        uni = (word_counts + smoothing) / (word_counts.sum(axis=1, keepdims=True) + smoothing * slots)
-        seen = word_counts + smoothing
-        for b in batches:
-            out = []
-            for text in b.column(1):
-                w = _word_slots(text.as_py(), slots)
-                n = len(w)
-                if not n:
-                    out.append((0, 0.0, 0.0, 0.0))
-                    continue
-                loss = np.zeros(2)
-                pairs = _pair_slots(w, pair_slots)
-                for at in range(0, n, BLOCK_WORDS):
-                    cut = w[at : at + BLOCK_WORDS]
-                    before = w[max(0, at - 1) : at + len(cut) - 1]
-                    for k in range(2):
-                        p = (1 - weight) * uni[k, cut]
-                        bigram = pair_counts[k, pairs[at : at + len(cut)]][len(cut) - len(before) :] / seen[k, before]
-                        p[len(cut) - len(before) :] += weight * np.minimum(bigram, 1.0)
-                        loss[k] -= np.log(p).sum()
-                out.append((n, loss[1] / n, loss[0] / n, (loss[1] - loss[0]) / n))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            types = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
-
-    names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    chunks = _chunks(docs, F.lit(False), id_col, text_col)
+    counted = models.sent.withColumn("chunk", F.lit(None).cast("long"))
+    return _scored(chunks, _summed(counted.unionByName(_by_bucket(chunks, models.bits, False))), models)

@@ -13,7 +13,7 @@ from .decontamination import benchmark_matches
 from .exact_dedup import content_sort_dedup
 from .language import fit_language, predict_language
 from .line_dedup import drop_repeated_lines
-from .lm_score import fit_ngrams, score_documents
+from .lm_score import fit_ngrams, score_counted
 from .packing import pack_documents
 from .preferences import preference_segments
 from .quality import fit_quality, score_quality
@@ -41,12 +41,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality; background: all documents."""
-    good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").select("doc_id")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    # the labels grow with the documents: both sides are exchanged by id at every size
-    marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    models = fit_ngrams(marked, F.col("good_id").isNotNull())
-    return score_documents(docs, models)
+    models = fit_ngrams(docs, F.lit(False), target_ids=good)
+    return score_counted(models)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
