@@ -155,6 +155,18 @@ def test_near_copies_keep_one(spark):
     assert kept[0].asDict().keys() == docs(spark).first().asDict().keys()
 
 
+def test_repeated_phrases_do_not_part_near_copies(spark):
+    """The same distinct shingles, a phrase of one line repeated more often in one of two documents."""
+    rng = np.random.default_rng(8)
+    given = []
+    for k in range(10):
+        words = " ".join(f"w{x}" for x in rng.integers(0, 100_000, 300))
+        phrase = " ".join(f"p{x}" for x in rng.integers(0, 100_000, 5))
+        given += [(2 * k + j, " ".join([words, *[phrase] * n]), *[None] * 6) for j, n in enumerate((40, 5))]
+    kept = sorted(r.doc_id for r in drop_near_duplicates(docs(spark, given), SIMILAR).collect())
+    assert kept == list(range(0, 20, 2))
+
+
 def test_crowded_similar_postings(spark):
     kept = {r.doc_id for r in drop_near_duplicates(docs(spark), replace(SIMILAR, posting=1)).collect()}
     assert kept == {r.doc_id for r in drop_near_duplicates(docs(spark), replace(SIMILAR, posting=1000)).collect()}

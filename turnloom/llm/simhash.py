@@ -104,7 +104,10 @@ def fingerprints(docs: DataFrame, profile: Profile, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(shingle_hashes(t.as_py(), profile.shingle), profile.words) for t in b.column(2)]
+            shingles = [shingle_hashes(t.as_py(), profile.shingle) for t in b.column(2)]
+            if profile.similarity is not None:  # of the sets that the verification compares
+                shingles = [list(set(h)) for h in shingles]
+            prints = [fingerprint(h, profile.words) for h in shingles]
             words = [pa.array([p[k] for p in prints], pa.int64()) for k in range(profile.words)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *words], names)
 
