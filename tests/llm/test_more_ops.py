@@ -37,10 +37,8 @@ def line_rows():
     return out + [(92, "\n".join([line] * 30), *[None] * 6)]
 
 
-def test_line_dedup_against_brute_force(spark):
-    given = line_rows()
-    got = {(r.doc_id, r.n_chars): r for r in drop_repeated_lines(docs(spark, given), removed_col="removed").collect()}
-    assert len(drop_repeated_lines(docs(spark, given)).collect()) == len(given)
+def repeated_lines(given):
+    """The line numbers of each document that stand in a run of 50 words with an earlier place."""
     signed = lambda t: (v := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (v >> 63)
     whole = {}
     for r in given:
@@ -48,7 +46,7 @@ def test_line_dedup_against_brute_force(spark):
         lines = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
         whole[(r[0] is not None, r[0] or 0, signed(text))] = (r, lines)
     keys = sorted(whole)
-    must, may = defaultdict(set), defaultdict(set)
+    must = defaultdict(set)
     for b in keys:
         lb = whole[b][1]
         for a in keys[: keys.index(b) + 1]:
@@ -61,30 +59,57 @@ def test_line_dedup_against_brute_force(spark):
                     if p < len(lb) and 0 <= p + shift < len(la) and lb[p][1] == la[p + shift][1]:
                         run.append(p)
                         continue
-                    n = sum(len(lb[q][1].split()) for q in run)
-                    if n >= 50:
+                    if sum(len(lb[q][1].split()) for q in run) >= 50:
                         must[b].update(lb[q][0] for q in run)
-                    if n >= 40:
-                        may[b].update(lb[q][0] for q in run)
                     run = []
-    assert sum(map(len, must.values())) > 30
-    for k, (r, _) in whole.items():
+    return {k: (r, must[k]) for k, (r, _) in whole.items()}
+
+
+def assert_lines(got, wanted):
+    for r, gone in wanted.values():
         out = got[(r[0], r[4])]
-        text = r[1]
-        if text is None:
-            assert out.text is None and out.removed == 0
-            continue
-        left = text.split("\n")
-        # the guarantee is on finding a run; its ends beyond the first place's run may stay
-        for q in sorted(may[k] | must[k], reverse=True):
-            del left[q]
-        assert [x for x in left if x.strip()] == [x for x in out.text.split("\n") if x.strip() and x.strip() in {y.strip() for y in left}] or out.removed
-        assert out.removed == len(text.split("\n")) - len(out.text.split("\n")) or out.text == ""
-        assert out.removed <= len(may[k])
-        if must[k]:
-            assert out.removed > 0
-    firsts = {x for r, lines in whole.values() for _, x in lines}
-    assert firsts == {x.strip() for r in got.values() for x in (r.text or "").split("\n") if x.strip()}
+        assert out.removed == len(gone)
+        left = None if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone)
+        assert out.text == left
+
+
+def test_line_dedup_against_brute_force(spark):
+    given = line_rows()
+    got = {(r.doc_id, r.n_chars): r for r in drop_repeated_lines(docs(spark, given), removed_col="removed").collect()}
+    assert len(drop_repeated_lines(docs(spark, given)).collect()) == len(given)
+    wanted = repeated_lines(given)
+    assert sum(len(gone) for _, gone in wanted.values()) > 30
+    assert_lines(got, wanted)
+
+
+def test_a_run_repeated_from_a_second_place_goes_whole(spark):
+    """A holds four shared lines of ten words, B and C all five: C keeps none of them."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    given = []
+    for g in range(30):
+        shared = [" ".join(rng.choices(vocabulary, k=10)) for _ in range(5)]
+        for k, part in enumerate((shared[:4], shared, shared)):
+            own = [" ".join(rng.choices(vocabulary, k=7)) for _ in range(2)]
+            given.append((3 * g + k, "\n".join([own[0], *part, own[1]]), *[None] * 6))
+    out = {r.doc_id: r for r in drop_repeated_lines(docs(spark, given), removed_col="removed").collect()}
+    assert [out[k].removed for k in range(90)] == [0, 0, 5] * 30
+
+
+def test_line_dedup_is_linear_in_a_document(spark):
+    import time
+
+    rng = random.Random(3)
+    took = []
+    for n in (4000, 8000):
+        lines = [" ".join(f"w{rng.randrange(9999)}" for _ in range(10)) for _ in range(n)]
+        other = [x if k % 100 else "changed here" for k, x in enumerate(lines)]
+        df = docs(spark, [(1, "\n".join(lines), *[None] * 6), (2, "\n".join(other), *[None] * 6)])
+        start = time.perf_counter()
+        out = {r.doc_id: r.removed for r in drop_repeated_lines(df, removed_col="removed").collect()}
+        took.append(time.perf_counter() - start)
+        assert out == {1: 0, 2: n - n // 100}
+    assert took[1] < 2.5 * took[0] + 2
 
 
 def test_long_passages_go_from_later_documents(spark):

@@ -40,6 +40,19 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def private_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that no column of ``df`` bears, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

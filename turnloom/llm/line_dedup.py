@@ -2,12 +2,19 @@
 
 A *gram* of a line is the run of lines from it that first reaches ``gram_words`` words; it is known
 by the hash of its line hashes. Among the grams that begin within ``slack`` words the least hash is
-selected (winnowing), so any repeated run of at least ``gram_words + slack - 1`` words holds a
-selected gram in all its places. Selected grams are joined to the first place of the same gram, the
-match is extended line by line both ways, and the later run is deleted.
-
-Only DataFrame and SQL functions are used. Lines travel as hashes and word counts; the text moves
-once, when the deletions are applied.
+selected (winnowing), so any repeated run of at least ``gram_words + slack - 1`` words (the *reach*)
+holds a selected gram in all its places.
+
+1. The places of equal selected grams are joined; documents without a gram of several places hold no
+   repeated run of the reach and are done.
+2. In the others the match is extended both ways: from each line the least run of the reach is taken
+   onwards and backwards. Any run of the reach or more is covered by such runs inside it, and each of
+   them has all the places that the run has.
+3. Of the places of one run the first stays; the lines of the later ones are deleted.
+
+No pairs of documents are drawn: a passage of a million places is one group that is summed before
+the exchange. Only DataFrame and SQL functions are used. Lines travel as hashes and word counts; the
+text moves once, when the deletions are applied.
 """
 
 from __future__ import annotations
@@ -15,14 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, private_names
 
 GRAM_WORDS = 40
 SLACK = 11
 
 
 def _text(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
 def _line_hashes(text: Column) -> Column:
@@ -37,56 +44,70 @@ def _line_hashes(text: Column) -> Column:
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, digest, lines): rows of the same id and text are one document."""
     text = _text(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), _line_hashes(text).alias("lines"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("digest"), _line_hashes(text).alias("lines"))
+
 
+def _grams(documents: DataFrame, gram_words: int, slack: int) -> DataFrame:
+    """One row per non-blank line: (id, digest, line, chosen, chosen_line, ahead, ahead_line, behind, behind_line).
 
-def _selected_grams(documents: DataFrame, gram_words: int, slack: int) -> DataFrame:
-    """(id, digest, pos, gram): selected grams; pos numbers the non-blank lines from 0."""
-    rows = documents.select("id", "digest", F.posexplode_outer("lines").alias("pos", "l")).select("id", "digest", "pos", "l.h", "l.words").filter("pos is not null")
+    ``chosen`` is the gram that the line's window selects, ``chosen_line`` where it begins; ``ahead`` and ``behind`` are the hashes of
+    the least runs of the reach that begin and end here, with the number of their other end's line,
+    null where the document has no such run.
+    """
+    reach = gram_words + slack - 1
+    rows = documents.select("id", "digest", F.posexplode_outer("lines").alias("pos", "l"))
+    rows = rows.select("id", "digest", "pos", "l.line", "l.h", "l.words").filter("pos is not null")
     # one row of each line where a document is repeated; the windows below use the same exchange
-    lines = rows.repartition("id", "digest").groupBy("id", "digest", "pos").agg(F.first("h").alias("h"), F.first("words").alias("words"))
+    lines = rows.repartition("id", "digest").groupBy("id", "digest", "pos").agg(*(F.first(c).alias(c) for c in ("line", "h", "words")))
     doc = Window.partitionBy("id", "digest")
-    before = F.coalesce(F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.withColumn("at", before)
-    ahead = doc.orderBy("at").rangeBetween(0, gram_words - 1)
-    grams = placed.withColumn("size", F.sum("words").over(ahead)).withColumn("gram", F.xxhash64(F.collect_list("h").over(ahead)))
-    full = F.when(F.col("size") >= gram_words, F.struct("gram", (-F.col("pos")).alias("back")))
-    near = doc.orderBy("at").rangeBetween(0, slack - 1)
-    chosen = grams.withColumn("chosen", F.min(full).over(near)).filter("chosen is not null")
-    return chosen.select("id", "digest", (-F.col("chosen.back")).alias("pos"), F.col("chosen.gram").alias("gram")).distinct()
+    upto = F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = lines.withColumn("upto", upto).withColumn("at", F.col("upto") - F.col("words"))
+
+    def run(name: str, over) -> dict[str, Column]:
+        return {f"{name}_words": F.sum("words").over(over), f"{name}_hash": F.xxhash64(F.collect_list("h").over(over))}
+
+    onwards = doc.orderBy("at").rangeBetween(0, reach - 1)
+    back = doc.orderBy("upto").rangeBetween(1 - reach, 0)
+    spans = placed.withColumns(run("gram", doc.orderBy("at").rangeBetween(0, gram_words - 1)) | run("ahead", onwards))
+    spans = spans.withColumn("ahead_line", F.max("line").over(onwards)).withColumns(run("behind", back)).withColumn("behind_line", F.min("line").over(back))
+    full = F.when(F.col("gram_words") >= gram_words, F.struct("gram_hash", (-F.col("line")).alias("back")))
+    spans = spans.withColumn("least", F.min(full).over(doc.orderBy("at").rangeBetween(0, slack - 1)))
+    return spans.select(
+        "id",
+        "digest",
+        "line",
+        F.col("least.gram_hash").alias("chosen"),
+        (-F.col("least.back")).alias("chosen_line"),
+        *(F.when(F.col(f"{n}_words") >= reach, F.col(c)).alias(a) for n in ("ahead", "behind") for c, a in ((f"{n}_hash", n), (f"{n}_line", f"{n}_line"))),
+    )
 
 
 def repeated_runs(
     docs: DataFrame, gram_words: int = GRAM_WORDS, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, digest, lines): per document the numbers of the lines to delete; documents without any are left out."""
-    documents = _documents(docs, id_col, text_col)
-    grams = checkpointed(_selected_grams(documents, gram_words, slack))
-    place = F.struct(F.col("id"), F.col("digest"), F.col("pos"))
-    firsts = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
-    later = grams.join(firsts, "gram").filter(place != F.col("first"))
-    matches = later.groupBy("id", "digest", F.col("first.id").alias("from_id"), F.col("first.digest").alias("from_digest")).agg(
-        F.collect_set(F.struct("pos", (F.col("first.pos") - F.col("pos")).alias("shift"))).alias("found")
-    )
-    matches = checkpointed(matches)
-    # the line hashes of the documents on either side of a match, one row each
-    sides = matches.select("id", "digest").unionByName(matches.select(F.col("from_id").alias("id"), F.col("from_digest").alias("digest"))).distinct()
-    same = (F.col("d.id").eqNullSafe(F.col("s.id"))) & (F.col("d.digest") == F.col("s.digest"))
-    hashes = documents.alias("d").join(sides.alias("s"), same, "left_semi").select("id", "digest", F.col("lines.h").alias("h"), F.col("lines.line").alias("line"))
-    hashes = checkpointed(hashes.groupBy("id", "digest").agg(F.first("h").alias("h"), F.first("line").alias("line")))
-    mine = matches.alias("m").join(hashes.alias("a"), F.col("m.id").eqNullSafe(F.col("a.id")) & (F.col("m.digest") == F.col("a.digest")))
-    both = mine.join(
-        hashes.select(F.col("id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("h").alias("bh")),
-        F.col("m.from_id").eqNullSafe(F.col("b_id")) & (F.col("m.from_digest") == F.col("b_digest")),
-    )
-    one = both.select("m.id", "m.digest", "a.h", "a.line", "bh", F.explode("found").alias("f")).select("id", "digest", "h", "line", "bh", "f.pos", "f.shift")
-    # positions before and after which the two documents stop agreeing along the match
-    valid = "p + shift >= 0 AND p + shift < size(bh) AND get(h, p) = get(bh, p + shift)"
-    start = F.expr(f"coalesce(array_max(filter(sequence(-1, pos), p -> p < 0 OR NOT ({valid}))), -1) + 1")
-    stop = F.expr(f"coalesce(array_min(filter(sequence(pos, size(h)), p -> p >= size(h) OR NOT ({valid}))), size(h)) - 1")
-    spans = one.withColumn("start", start).withColumn("stop", stop)
-    gone = spans.select("id", "digest", F.expr("slice(line, start + 1, stop - start + 1)").alias("gone"))
-    return gone.groupBy("id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("lines"))
+    """(id, digest, spans): per document the spans (first, last) of line numbers that repeat an earlier place.
+
+    Spans are disjoint and in order; documents without any are left out.
+    """
+    grams = checkpointed(_grams(_documents(docs, id_col, text_col), gram_words, slack))
+    place = F.struct("id", "digest", "chosen_line")
+    chosen = grams.filter("chosen is not null").groupBy("chosen").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("chosen")
+    met = grams.select("id", "digest", "chosen").join(chosen, "chosen", "left_semi").select("id", "digest").distinct()
+    same = F.col("g.id").eqNullSafe(F.col("m.id")) & (F.col("g.digest") == F.col("m.digest"))
+    candidates = grams.alias("g").join(met.alias("m"), same, "left_semi")
+    ends = [("ahead", "line", "ahead_line"), ("behind", "behind_line", "line")]
+    runs = candidates.select("id", "digest", F.inline(F.array(*(F.struct(F.col(k).alias("run"), F.col(a).alias("start"), F.col(b).alias("stop")) for k, a, b in ends))))
+    runs = checkpointed(runs.filter("run is not null"))
+    begin = F.struct("id", "digest", "start")
+    firsts = runs.groupBy("run").agg(F.min(begin).alias("first"), F.max(begin).alias("last")).filter("first <> last").select("run", "first")
+    later = runs.join(firsts, "run").filter(begin != F.col("first")).select("id", "digest", "start", "stop").distinct()
+    # overlapping and touching spans of one document become one
+    order = Window.partitionBy("id", "digest").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
+    islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = islands.groupBy("id", "digest", "island").agg(F.min("start").alias("first"), F.max("stop").alias("last"))
+    return whole.groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
 def drop_repeated_lines(
@@ -94,18 +115,27 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``docs`` with the later places of repeated line runs deleted from ``text_col``.
 
-    Lines are compared by their trimmed text; blank lines belong to no run and stay. Every run of at
-    least ``gram_words + slack - 1`` words is found, none below ``gram_words``. The first place, by
-    (id, text hash, line), stays; a null id comes first. Within a document a later repeat of its own
-    lines goes too. All rows and columns stay, null texts stay null, a text may become empty; rows of
-    the same id and text are one document, so that copies of it change alike. With ``removed_col``
-    the number of deleted lines is added under that name.
+    A line goes exactly if it stands in a run of at least ``gram_words + slack - 1`` words that has an
+    earlier place. Lines are compared by their trimmed text; blank lines belong to no run and stay.
+    The first place, by (id, text hash, line), stays; a null id comes first. Within a document a later
+    repeat of its own lines goes too. All rows and columns stay, whatever their names; null texts stay
+    null, a text may become empty, an empty table stays empty; rows of the same id and text are one
+    document, so that copies of it change alike. With ``removed_col`` the number of deleted lines is
+    added (or replaces the column of that name).
     """
+    own_id, own_digest, own_spans = private_names(docs, "id", "digest", "spans")
     runs = checkpointed(repeated_runs(docs, gram_words, slack, id_col, text_col))
-    runs = runs.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("lines").alias("__gone"))
-    joined = docs.join(runs, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(_text(text_col)) == F.col("__digest")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    edited = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    removed = {removed_col: F.coalesce(F.size("__gone"), F.lit(0)).cast("long")} if removed_col else {}
+    runs = runs.select(F.col("id").alias(own_id), F.col("digest").alias(own_digest), F.col("spans").alias(own_spans))
+    joined = docs.join(runs, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(_text(text_col)) == F.col(own_digest)), "left")
+    # whether each line is in a span, as one array: the work is linear in the text
+    gap = f"transform({own_spans}, (s, k) -> concat(array_repeat(false, int(s.first - IF(k = 0, 0, get({own_spans}, k - 1).last + 1))), array_repeat(true, int(s.last - s.first + 1))))"
+    blank = r"regexp_replace(x, '^\\s+|\\s+$', '') = ''"
+    lines = f"filter(split(`{text_col}`, '\\n'), (x, i) -> NOT coalesce(get(m, i), false) OR {blank})"
+    kept = F.expr(f"element_at(transform(array(flatten({gap})), m -> array_join({lines}, '\\n')), 1)")
+    edited = F.when(F.col(own_spans).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     names = [c for c in docs.columns if c != removed_col]
-    return joined.select(*((edited.alias(c) if c == text_col else F.col(c)) for c in names), *(v.alias(k) for k, v in removed.items()))
+    if not removed_col:
+        return joined.select(*(edited.alias(c) if c == text_col else F.col(f"`{c}`") for c in names))
+    taken = F.expr(f"size(filter(element_at(transform(array(flatten({gap})), m -> transform(split(`{text_col}`, '\\n'), (x, i) -> coalesce(get(m, i), false) AND NOT ({blank}))), 1), v -> v))")
+    removed = F.when(F.col(own_spans).isNull(), 0).otherwise(taken).cast("long")
+    return joined.select(*(edited.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), removed.alias(removed_col))
