@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lane_sums, majority_bits
+from .common import checkpointed, lane_sums, majority_bits, private_names
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -62,7 +62,10 @@ def _document_hashes(docs: DataFrame, id_col: str, text_col: str, k: int) -> Dat
 
 
 def _windows(docs: DataFrame, items: DataFrame, rows: int, similarity: float, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, n_words, start, window): windows that may hold an item; window is its shingle hashes."""
+    """(id, digest, n_words, start, before, window): windows that may hold an item.
+
+    ``window`` is its shingle hashes, ``before`` as many or fewer ahead of it.
+    """
     hashes = _document_hashes(docs, id_col, text_col, k)
     known = items.select("n_words", F.explode("item").alias("g")).distinct()
     anchors = hashes.select("id", "digest", F.size("h").alias("n"), F.posexplode_outer("h").alias("pos", "g")).join(_small(known, rows), "g")
@@ -86,7 +89,7 @@ def _windows(docs: DataFrame, items: DataFrame, rows: int, similarity: float, k:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(text_col).alias("text"))
     found = texts.join(wanted, of_doc, "left_semi").dropDuplicates(["id", "digest"])
     found = found.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"), _shingles("text", k).alias("h"))
-    return starts.join(found, of_doc).select("id", "digest", "n_words", "start", F.expr("slice(h, start + 1, size)").alias("window"))
+    return starts.join(found, of_doc).select("id", "digest", "n_words", "start", F.expr("slice(h, greatest(start - size + 1, 0) + 1, least(start, size - 1))").alias("before"), F.expr("slice(h, start + 1, size)").alias("window"))
 
 
 def _fingerprint(rows: DataFrame, keys: list[str], array: str) -> DataFrame:
@@ -122,7 +125,7 @@ def benchmark_matches(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, digest, item_id, start, n_words, similarity, distance): the best window of each document and item.
+    """(doc_id, digest, item_id, start, n_words, similarity): the best window of each document and item.
 
     ``digest`` is the hash of the document's text and tells rows of the same id apart; ``start``
     counts words from 0; of equal windows the first is given. Words are split at white space and
@@ -144,7 +147,7 @@ def benchmark_matches(
         )
         cells = prints.select(*keys, "fp", _blocks(radius).alias("cell"))
         near = cells.join(_small(item_prints, rows * (radius + 1)), ["n_words", "cell"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-        near = near.filter(F.col("distance") <= radius).select(*keys, "item_id", "hash", "distance").distinct()
+        near = near.filter(F.col("distance") <= radius).select(*keys, "item_id", "hash").distinct()
         pairs = near.alias("n").join(
             windows.alias("w"),
             F.col("n.id").eqNullSafe(F.col("w.id"))
@@ -154,20 +157,28 @@ def benchmark_matches(
         )
         known = _small(mine.select(F.col("item_id").alias("i"), F.xxhash64("item").alias("i_hash"), "item"), rows)
         pairs = pairs.join(known, F.col("n.item_id").eqNullSafe(F.col("i")) & (F.col("n.hash") == F.col("i_hash")))
-        scored = pairs.select("n.id", "n.digest", "n.item_id", "n.start", "n.n_words", "n.distance", "window", "item").withColumn("m", F.expr(_shared_weight("window", "item")))
+        scored = pairs.select("n.id", "n.digest", "n.item_id", "n.start", "n.n_words", "before", "window", "item").withColumn("m", F.expr(_shared_weight("window", "item")))
         scored = scored.withColumn("similarity", F.col("m") / (F.size("window") + F.size("item") - F.col("m"))).filter(F.col("similarity") >= similarity - 1e-12)
-        best = scored.groupBy("id", "digest", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "distance")).alias("b"))
-        part = best.select(F.col("id").alias("doc_id"), "digest", "item_id", "b.start", "b.n_words", (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("long").alias("distance"))
+        best = scored.groupBy("id", "digest", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "m", "before", "window", "item")).alias("b"))
+        # windows are only begun where a shingle is known; an earlier one may be as similar
+        moved = _shared_weight("slice(x, size(x) - size(b.window) - d + 1, size(b.window))", "b.item")
+        back = F.expr(f"element_at(transform(array(concat(b.before, b.window)), x -> array_max(filter(sequence(0, size(b.before)), d -> {moved} = b.m))), 1)")
+        part = best.select(F.col("id").alias("doc_id"), "digest", "item_id", (F.col("b.start") - back).alias("start"), "b.n_words", (-F.col("b.s")).alias("similarity"))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        schema = "doc_id long, digest long, item_id long, start int, n_words int, similarity double, distance long"
+        schema = "doc_id long, digest long, item_id long, start int, n_words int, similarity double"
         return docs.sparkSession.createDataFrame([], schema)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item of ``benchmark``."""
+    """The rows of ``docs``, all columns whatever their names, whose text holds no item of ``benchmark``.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; whole texts are
+    searched. Without items all rows stay.
+    """
+    own_id, own_digest = private_names(docs, "id", "digest")
     found = checkpointed(benchmark_matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", "digest").distinct())
-    found = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__digest"))
+    found = found.select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col(own_digest))
     return docs.join(found, same, "left_anti")

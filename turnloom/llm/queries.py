@@ -121,7 +121,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
-    return benchmark_matches(docs, items).select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"), "distance")
+    return benchmark_matches(docs, items).select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
