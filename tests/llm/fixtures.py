@@ -20,5 +20,15 @@ def rows(seed: int = 1, n: int = 60) -> list[tuple]:
     return out + [out[12], out[12], (None, base[0], None, None, None, None, None, None), (None, base[0], None, None, None, None, None, None)]
 
 
+#: Names that operators might use for columns of their own.
+CLASHES = "wanted kept_id kept_node again_id __node __id __digest __gone __spans id digest h n size comp component row __score lang_pred removed".split()
+
+
 def docs(spark, given=None):
-    return spark.createDataFrame(rows() if given is None else given, DDL)
+    df = spark.createDataFrame(rows() if given is None else given, DDL)
+    return df.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES))
+
+
+def intact(df):
+    """Whether every clashing column still holds its own value."""
+    return all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in df.collect() for c in CLASHES)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.llm.fixtures import docs, rows
+from tests.llm.fixtures import docs, intact, rows
 from turnloom.llm.exact_dedup import content_sort_dedup
 from turnloom.llm.packing import TextEncoder, best_fit_decreasing, pack_documents
 from turnloom.llm.simhash import EXACT, SIMILAR, Profile, drop_near_duplicates, near_duplicate_classes
@@ -35,6 +35,15 @@ def test_ids_are_the_tokenizers(text, monkeypatch):
     assert np.frombuffer(TextEncoder(PATH)(text), "<u4").tolist() == ids
 
 
+def test_ids_of_all_documents(spark):
+    """The ids of every text of a whole table are those of the tokenizer's own file."""
+    t, encode = tokenizer(), TextEncoder(PATH)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert len(texts) > 900
+    for text, own in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encode(text), "<u4").tolist() == own.ids
+
+
 def test_packing_round_trip(spark):
     given = rows()
     out = pack_documents(docs(spark), PATH, capacity=64).collect()

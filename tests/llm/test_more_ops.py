@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.llm.fixtures import WORDS, docs, rows
+from tests.llm.fixtures import WORDS, docs, intact, rows
 from turnloom.llm.decontamination import benchmark_matches, drop_contaminated
 from turnloom.llm.line_dedup import drop_repeated_lines
 from turnloom.llm.lm_score import fit_ngrams, score_documents
@@ -76,6 +76,7 @@ def assert_lines(got, wanted):
 def test_line_dedup_against_brute_force(spark):
     given = line_rows()
     got = {(r.doc_id, r.n_chars): r for r in drop_repeated_lines(docs(spark, given), removed_col="removed").collect()}
+    assert intact(drop_repeated_lines(docs(spark, given)))
     assert len(drop_repeated_lines(docs(spark, given)).collect()) == len(given)
     wanted = repeated_lines(given)
     assert sum(len(gone) for _, gone in wanted.values()) > 30
@@ -167,6 +168,7 @@ def test_decontamination_against_brute_force(spark):
     for k, (j, s) in want.items():
         assert found[k].similarity == pytest.approx(j)
         assert found[k].start == s
+    assert intact(drop_contaminated(docs(spark, given), bench))
     left = drop_contaminated(docs(spark, given), bench).collect()
     assert Counter(r.doc_id for r in left) == Counter(r[0] for r in given if not any((r[0], i) in want for i, _ in items))
 
@@ -332,6 +334,98 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in named) / len(named) > 0.97
 
 
+def test_language_against_brute_force(spark):
+    """Counts and posteriors of a plain naive Bayes over the same buckets, held-out rows included."""
+    from turnloom.llm.language import fit_language, gram_buckets, predict_language
+
+    rng = random.Random(6)
+    alphabets = {"aa": "abcde fgh", "bb": "defgh ij.", "cc": "äöüßab cd"}
+    given = []
+    for k in range(120):
+        lang = rng.choice(sorted(alphabets))
+        text = "".join(rng.choices(alphabets[lang], k=rng.choice([0, 1, 5, 40, 3000])))
+        given.append((k, text, lang if k % 7 else None, *[None] * 5))
+    given += [given[8], (500, None, "aa", *[None] * 5), (501, "12 34", "aa", *[None] * 5)]
+    used = [r for r in given if r[1] is not None and r[2] is not None and r[0] % 3]
+    buckets, counts, priors = 1 << 10, defaultdict(Counter), Counter()
+    grams = lambda t: [int(x) for b in gram_buckets(t, buckets) for x in b]
+    for r in used:
+        priors[r[2]] += 1
+        counts[r[2]].update(grams(r[1]))
+    df = docs(spark, given)
+    model = fit_language(df, F.col("doc_id") % 3 != 0, buckets=buckets)
+    assert model.languages == tuple(sorted(priors))
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in predict_language(df, model).collect())
+    want = Counter()
+    for r in given:
+        if not any(c.isalpha() for c in r[1] or ""):
+            want[(r[0], "und", 0.0)] += 1
+            continue
+        logs = {}
+        for lang in sorted(priors):
+            total = sum(counts[lang].values()) + 0.5 * buckets
+            logs[lang] = math.log(priors[lang] / len(used)) + sum(math.log((counts[lang][g] + 0.5) / total) for g in grams(r[1]))
+        best = max(sorted(logs), key=logs.get)
+        want[(r[0], best, round(1 / sum(math.exp(v - logs[best]) for v in logs.values()), 4))] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 100])
+def test_blocks_give_the_same_grams(block, monkeypatch):
+    import numpy as np
+
+    from turnloom.llm import language
+
+    text = "Ab  12 cΣ dΣ, é..x" * 60 + "   "
+    whole = np.concatenate(list(language.gram_buckets(text, 1 << 16)))
+    monkeypatch.setattr(language, "BLOCK_CHARS", block)
+    cut = np.concatenate(list(language.gram_buckets(text, 1 << 16)))
+    assert Counter(cut.tolist()) == Counter(whole.tolist()) and len(whole) > 1000
+
+
+def test_quality_against_brute_force(spark):
+    """The whole fit and every score again, in plain Python."""
+    import struct
+
+    import zstandard as z
+
+    from turnloom.llm import quality
+
+    rng = random.Random(12)
+    good, bad = [[w + x for w in WORDS] for x in ("ly", "zz")]
+    given = [(k, " ".join(rng.choices(good if k % 2 else bad, k=rng.choice([3, 40, 40, 900]))), *[None] * 6) for k in range(240)]
+    given += [(300, None, *[None] * 6), (301, "", *[None] * 6), given[4]]
+    labels = {k: k % 2 for k in range(0, 240) if k % 5}
+    ddl = "doc_id long, quality int, toxic int"
+    df, marks = docs(spark, given), spark.createDataFrame([(k, q, 0) for k, q in labels.items()], ddl)
+    limits = {"rows_per_class": 60, "chars_per_class": 60_000}
+    model = quality.fit_quality(df, marks, F.col("doc_id") % 3 != 1, **limits)
+    signed = lambda i: (v := xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) - (1 << 64) * (v >> 63)
+    texts, sample = {r[0]: r[1] for r in given}, {}
+    for q in (0, 1):
+        ids, held, sample[q] = sorted((i for i, v in labels.items() if v == q and i % 3 != 1), key=signed)[:60], 0, []
+        for i in ids:
+            if held + len(texts[i]) <= 60_000:
+                held += len(texts[i])
+                sample[q].append(texts[i].encode())
+        assert 0 < len(sample[q]) < len(ids)
+    dicts = {q: quality._dictionary(sample[q][::2], 112_640) for q in (0, 1)}
+
+    def sizes(text):
+        flags = {"level": 3, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
+        plain, of_good, of_bad = (len(z.ZstdCompressor(dict_data=d, **flags).compress(text)) for d in (None, z.ZstdCompressionDict(dicts[1]), z.ZstdCompressionDict(dicts[0])))
+        d, ratio = (of_bad - of_good) / max(plain, 1), math.log((plain + 16) / (len(text) + 16))
+        return (1.0, d, d * math.log1p(len(text)) / 8, ratio, max(0.0, -1.2 - ratio), math.log1p(len(text)) / 8)
+
+    x, y = [sizes(t) for q in (0, 1) for t in sample[q][1::2]], [q for q in (0, 1) for _ in sample[q][1::2]]
+    probability = lambda f: 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, f, strict=True))))
+    for k in range(6):  # at the optimum of the penalised likelihood its gradient is zero
+        gradient = sum((t - probability(f)) * f[k] for f, t in zip(x, y, strict=True)) - 1e-3 * model.weights[k]
+        assert abs(gradient) < 1e-6
+    got = Counter((r.doc_id, round(r.score, 6)) for r in quality.score_quality(df, model).collect())
+    assert got == Counter((r[0], round(probability(sizes((r[1] or "").encode())), 6)) for r in given)
+
+
 def test_models_on_awkward_rows(spark):
     from turnloom.llm.language import fit_language, predict_language
     from turnloom.llm.quality import fit_quality, score_quality
@@ -342,6 +436,7 @@ def test_models_on_awkward_rows(spark):
         model = fit_quality(given, labels, F.lit(True))
         out = score_quality(df, model).collect()
         assert len(out) == len(rows()) and all(0 <= float(r.score) <= 1 for r in out)
+        assert intact(score_quality(df, model))
         langs = fit_language(given, F.lit(True))
         out = predict_language(df, langs).collect()
         assert len(out) == len(rows()) and all(0 <= r.score <= 1 for r in out)

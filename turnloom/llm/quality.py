@@ -80,28 +80,39 @@ def fit_quality(
     labels: DataFrame,
     allowed: Column,
     rows_per_class: int = 1600,
-    max_chars: int = 16_384,
+    chars_per_class: int = 1600 << 14,
     dict_bytes: int = 112_640,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> QualityModel:
     """Fit on a bounded sample of labelled rows.
 
-    ``rows_per_class`` rows of each label, in the order of their ids' hash, among those for which
-    ``allowed`` holds; texts over ``max_chars`` are left out of the sample, so the driver holds at
-    most ``2 * rows_per_class * max_chars`` characters. Every other row of the sample builds the
-    dictionaries, the rest calibrates. Rows with a null id, text or label are not used. Without
-    rows of both labels every score is 0.5 or the share of good rows.
+    Of each label, ``rows_per_class`` documents in the order of their ids' hash, whatever their
+    length, among those for which ``allowed`` holds; from where they exceed ``chars_per_class``
+    characters together, those are passed over that do not fit. So the driver holds at most
+    ``2 * chars_per_class`` characters. Every other document of the sample builds the dictionaries,
+    the rest calibrates. Rows with a null id, text or label are not used, and of repeated rows one;
+    an id with both labels stands in both samples; other columns are ignored. Without rows of both
+    labels every score is 0.5 or the share of good rows.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n")).filter((F.col("n") <= max_chars) & allowed)
+    text = F.col(f"`{text_col}`")
+    known = docs.filter(allowed & text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.length(text).alias("n"))
     marked = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
-    usable = known.join(marked, "id").select("id", "quality")
-    picks = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for q in (0, 1)]
-    picked = {(r.id, r.quality) for p in picks for r in p.collect()}  # bounded by the limits
-    wanted = docs.sparkSession.createDataFrame(sorted({i for i, _ in picked} or {-1}), "long").withColumnRenamed("value", "wanted")
-    rows = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("wanted"), "left_semi").filter(F.length(text_col) <= max_chars)
-    found = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
-    texts = {q: [r.text.encode() for r in found if (r.id, q) in picked] for q in (0, 1)}
+    usable = known.join(marked.distinct(), "id").groupBy("id", "quality").agg(F.max("n").alias("n"))
+    picked: dict[int, list[int]] = {}
+    for q in (0, 1):
+        first = usable.filter(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(rows_per_class).collect()  # bounded by the limit
+        picked[q], held = [], 0
+        for r in first:
+            if held + r.n <= chars_per_class:
+                picked[q].append(r.id)
+                held += r.n
+    ids = sorted({*picked[0], *picked[1]})
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids or [None]], "id long")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), allowed.alias("allowed")).filter("allowed and text is not null")
+    found = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()
+    by_id = {r.id: r.text.encode("utf-8", "replace") for r in found}
+    texts = {q: [by_id[i] for i in picked[q]] for q in (0, 1)}
     dicts = {q: _dictionary(texts[q][::2], dict_bytes) for q in (0, 1)}
     sizes = _Sizes(dicts[1], dicts[0])
     y = [q for q in (0, 1) for _ in texts[q][1::2]]
@@ -113,7 +124,8 @@ def fit_quality(
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: good likelier) added or replaced, without an exchange.
 
-    Whole texts are scored; a null text counts as empty. Columns of ``docs`` named ``score`` are replaced.
+    Whole texts are scored; a null text counts as empty; repeated rows are scored alike; an empty
+    table gives an empty result. All other columns stay, a column of ``docs`` named ``score`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))  # two dictionaries and six numbers
     rows = docs.drop("score")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,9 +21,7 @@ from .warc import resolve_revisits
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """A vocabulary file of the installed public tokenizers; TURNLOOM_TOKENIZER names another."""
-    if given := os.environ.get("TURNLOOM_TOKENIZER"):
-        return given
+    """A vocabulary file of the installed public tokenizers."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
