@@ -116,7 +116,7 @@ def test_simhash_classes(spark):
     got = near_duplicate_classes(docs(spark), EXACT).collect()
     assert len(got) == len(given)
     for r in got:
-        assert want[(r.doc_id, int(r.node, 16))] == r.component_id
+        assert want[(r.doc_id, r.f0 % (1 << 64))] == r.component_id
 
 
 def test_crowded_postings_lose_no_link(spark):
@@ -132,21 +132,92 @@ def test_crowded_postings_lose_no_link(spark):
             v ^= 1 << int(b)
         values.add(v)
     prints = list(enumerate(sorted(values)))
-    signed = [(i, f"{v:016x}", v - (1 << 64) if v >> 63 else v) for i, v in prints]
-    nodes = spark.createDataFrame(signed, "doc_id long, node string, f0 long")
-    crowded = s._postings(nodes, EXACT)
+    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in prints]
+    nodes = spark.createDataFrame(signed, "node long, f0 long")
     from turnloom.llm.graph import connected_components
 
-    links = s._crowded_exact(crowded)
+    links = s._crowded_exact(s._postings(nodes, EXACT))
     comps = {r.node: r.component for r in connected_components(links).collect()}
     want = brute_classes(prints)
     groups = defaultdict(set)
     for i, v in prints:
-        groups[want[(i, v)]].add(comps.get(f"{v:016x}", f"{v:016x}"))
+        groups[want[(i, v)]].add(comps.get(i, i))
     assert all(len(g) == 1 for g in groups.values())
     assert len(set().union(*groups.values())) == len(groups)
 
 
+def similar_rows(seed, n):
+    """Texts cut and edited from each other, many of them close to a similarity of 0.8."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: [f"v{x}" for x in rng.integers(0, 3000, k)]
+    texts, licence = [], word(40)
+    for _ in range(n):
+        base = word(int(rng.integers(0, 90)))
+        texts.append(base)
+        for _ in range(int(rng.integers(0, 4))):
+            base = list(base if rng.random() < 0.5 else texts[int(rng.integers(len(texts)))])
+            for _ in range(int(rng.integers(0, 3))):
+                at = int(rng.integers(0, len(base) + 1))
+                base[at : at + int(rng.integers(0, 3))] = word(int(rng.integers(0, 3)))
+            texts.append(base + (licence if rng.random() < 0.2 else []))
+    return [(k, " ".join(t), *[None] * 6) for k, t in enumerate(texts)]
+
+
+def brute_similar(given, at=0.8):
+    sets = {}
+    for r in given:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (r[1] or "").encode()).split()
+        sets[r[0]] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    parent = {i: i for i in sets}
+
+    def find(v):
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    links = 0
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= at * len(sets[a] | sets[b]) - 1e-9):
+                links += 1
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in sets}, links
+
+
+@pytest.mark.parametrize("posting", [1, 8])
+def test_similar_classes_lose_no_link(spark, posting):
+    given = similar_rows(posting, 150)
+    want, links = brute_similar(given)
+    assert links > 100
+    got = {r.doc_id: r.component_id for r in near_duplicate_classes(docs(spark, given), replace(SIMILAR, posting=posting)).collect()}
+    assert got == want
+
+
+def test_completion_alone_loses_no_link(spark):
+    """With a radius of zero the fingerprint index finds next to nothing."""
+    given = similar_rows(5, 150)
+    got = {r.doc_id: r.component_id for r in near_duplicate_classes(docs(spark, given), replace(SIMILAR, radius=0, posting=2)).collect()}
+    assert got == brute_similar(given)[0]
+
+
+def test_heavy_keys_are_dealt_out(spark, monkeypatch):
+    from turnloom.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)], "key long, v long").checkpoint()
+    keyed = spark.createDataFrame([(k, f"n{k}") for k in range(200)], "key long, name string")
+    got = Counter((r.key, r.v, r.name) for r in common.spread_join(rows, keyed, "key").collect())
+    assert got == Counter((k, v, f"n{k}") for k, v in ((k % 3 if k < 90 else k, k) for k in range(100)))
+    given = [*rows_of_copies(), *similar_rows(5, 40)]
+    got = {r.doc_id: r.component_id for r in near_duplicate_classes(docs(spark, given), SIMILAR).collect()}
+    assert got == brute_similar(given)[0]
+
+
+def rows_of_copies():
+    return [(10_000 + k, "one text of many copies that are all alike", *[None] * 6) for k in range(60)]
+
+
 def test_near_copies_keep_one(spark):
     kept = drop_near_duplicates(docs(spark), SIMILAR).collect()
     ids = [r.doc_id for r in kept]
@@ -162,6 +233,7 @@ def test_near_copies_keep_one(spark):
     for k, i in enumerate(near):
         assert (i in ids) == (jaccard(8 + k, i) < 0.8)
     assert kept[0].asDict().keys() == docs(spark).first().asDict().keys()
+    assert intact(drop_near_duplicates(docs(spark), SIMILAR))
 
 
 def test_repeated_phrases_do_not_part_near_copies(spark):

@@ -53,6 +53,39 @@ def private_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Parts that the rows of a heavy key are dealt to.
+PARTS = 32
+#: A key is heavy above this many rows and above a ten-thousandth of all rows, so at most 10,000 keys are heavy.
+HEAVY_ROWS = 1000
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The heavy values of ``key``, at most 10,000; None if there are none."""
+    counts = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY_ROWS))
+    if counts.isEmpty():
+        return None
+    total = rows.count()
+    heavy = counts.filter(F.col("n") > total / 10_000).select(key)
+    return None if heavy.isEmpty() else heavy
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per ``key``; a heavy key's rows are dealt to ``PARTS`` tasks.
+
+    The list of heavy keys is bounded by its definition and broadcast; only their rows of ``keyed``
+    are repeated. ``rows``, or ``keys`` if they hold the same keys, are read several times and should
+    be checkpointed.
+    """
+    heavy = heavy_keys(rows if keys is None else keys, key)
+    if heavy is None:
+        return rows.join(keyed, key, how)
+    mark = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
+    dealt = rows.join(mark, key, "left").withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))).otherwise(0).cast("int"))
+    copies = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = keyed.join(mark, key, "left").withColumn("part", F.explode(copies)).drop("heavy")
+    return dealt.drop("heavy").join(repeated, [key, "part"], how).drop("part")
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

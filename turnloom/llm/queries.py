@@ -33,7 +33,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"), EXACT)
-    return classes.select("doc_id", F.col("node").alias("fingerprint"), "component_id", "links")
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

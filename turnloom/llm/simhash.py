@@ -10,11 +10,12 @@ Two profiles:
 
 * ``EXACT``: 64 bits, radius 2. Two bits touch at most two bytes, so at least six of eight bytes
   agree and, of four two-byte blocks, at least two: the six block pairs find every pair.
-* ``SIMILAR``: 256 bits and 160 tables of three bytes, for five-word shingles at Jaccard 0.8 or
-  more. SimHash distances spread, so no radius that can be indexed holds every pair at 0.8; the
-  README gives the share of pairs found.
+* ``SIMILAR``: 256 bits and 64 tables of three bytes, for five-word shingles at Jaccard 0.8 or
+  more. SimHash distances spread, so no radius that can be indexed holds every pair at 0.8. What
+  this index leaves apart is therefore searched once more without loss (``_completed``): two sets
+  of similarity 0.8 share a shingle among the first fifth of each in any common order.
 
-A posting above the profile's limit of members is never paired: see ``_crowded_exact`` and ``_crowded_similar``.
+A posting above the profile's limit of members is never paired: see ``_crowded_exact`` and ``_star_pairs``.
 """
 
 from __future__ import annotations
@@ -23,15 +24,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import PARTS, checkpointed, private_names, spread_join
 from .graph import connected_components
 
 BLOCK_WORDS = 1 << 16
+#: Counters of the shingle sketch: a fixed size, whatever the input.
+SKETCH = 1 << 20
+SKETCH_SLICES = 64
+#: Rows of a key list up to which it is broadcast; more are joined by exchange.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -54,9 +61,9 @@ def _cyclic_triples(size: int, differences: tuple[tuple[int, int], ...]) -> tupl
     return tuple(tuple(sorted((i, (i + a) % size, (i + a + b) % size))) for a, b in differences for i in range(size))
 
 
-#: The differences between the bytes of a table, 1 to 15 modulo 32, each occur once: two bytes stand
-#: together in at most one table, which makes the tables' misses as independent as they can be.
-DIFFERENCES = ((1, 2), (4, 5), (6, 11), (7, 12), (8, 10))
+#: The differences between the bytes of a table each occur once: two bytes stand together in at most
+#: one table, which makes the tables' misses as independent as they can be.
+DIFFERENCES = ((1, 2), (4, 5))
 EXACT = Profile(3, 1, tuple((2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)), 2, None)
 SIMILAR = Profile(5, 4, _cyclic_triples(32, DIFFERENCES), 56, 0.8, posting=8)
 
@@ -96,43 +103,82 @@ def fingerprint(hashes: list[int], words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, profile: Profile, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, f0, f1, ...) of every row, without an exchange.
+    """(doc_id, key, f0, f1, ..., slice, sketch) of every row, without an exchange.
 
-    A node stands for documents that need no comparison: equal fingerprints where the radius alone
-    decides, else equal texts (by MD5).
+    ``key`` is shared by documents that need no comparison: those of equal fingerprints where the
+    radius alone decides, else of equal texts (their MD5). Where a similarity decides, each task adds
+    rows with ``slice`` and ``sketch``, its counts of shingles by the low bits of their hash.
     """
+    similar = profile.similarity is not None
+    names = ["doc_id", "key", *_words(profile), "slice", "sketch"]
+    types = [pa.int64(), pa.binary(), *[pa.int64()] * profile.words, pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import zstandard as z
+
+        counts = np.zeros(SKETCH, dtype=np.int64) if similar else None
         for b in batches:
             shingles = [shingle_hashes(t.as_py(), profile.shingle) for t in b.column(2)]
-            if profile.similarity is not None:  # of the sets that the verification compares
+            if similar:  # of the sets that the verification compares
                 shingles = [list(set(h)) for h in shingles]
+                slots = [np.array(h, dtype=np.uint64) & np.uint64(SKETCH - 1) for h in shingles]
+                np.add.at(counts, np.concatenate(slots), 1)
             prints = [fingerprint(h, profile.words) for h in shingles]
             words = [pa.array([p[k] for p in prints], pa.int64()) for k in range(profile.words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *words], names)
+            none = [pa.nulls(b.num_rows, t) for t in types[-2:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *words, *none], names)
+        if similar and counts.any():
+            parts = [z.compress(p.tobytes(), 1) for p in np.split(counts, SKETCH_SLICES)]
+            blank = [pa.nulls(SKETCH_SLICES, t) for t in types[:-2]]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts)], names)
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text_key(text_col, similar), _text(text_col).alias("text"))
+    out = rows.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"f{k} long" for k in range(profile.words)) + ", slice int, sketch binary")
+    return out if similar else out.withColumn("key", F.unhex(F.lpad(F.hex("f0"), 16, "0")))
+
 
-    names = ["doc_id", "node", *(f"f{k}" for k in range(profile.words))]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    node = F.lit(None).cast("string") if profile.similarity is None else F.md5(text.cast("binary"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node.alias("node"), text.cast("binary").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, node string, " + ", ".join(f"f{k} long" for k in range(profile.words)))
-    return out if profile.similarity is not None else out.withColumn("node", F.lower(F.lpad(F.hex("f0"), 16, "0")))
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+
+
+def _text_key(text_col: str, similar: bool = True) -> Column:
+    return (F.unhex(F.md5(_text(text_col))) if similar else F.lit(None).cast("binary")).alias("key")
 
 
 def _byte(position: int, prefix: str = "") -> Column:
     return F.shiftrightunsigned(F.col(f"{prefix}f{position // 8}"), 8 * (position % 8)).bitwiseAND(F.lit(255).cast("long"))
 
 
+def _long_enough(profile: Profile, nodes: int) -> tuple[tuple[int, ...], ...]:
+    """The profile's tables, with further bytes until fewer than one other node shares a key by chance.
+
+    Only where a similarity decides, as ``_completed`` finds what longer keys miss.
+    """
+    tables = profile.tables
+    while profile.similarity is not None and len(tables[0]) < 7 and 256 ** len(tables[0]) < nodes:
+        free = [[p % (8 * profile.words) for p in range(t[-1] + 7, t[-1] + 7 + 8 * profile.words) if p % (8 * profile.words) not in t] for t in tables]
+        tables = tuple((*t, f[0]) for t, f in zip(tables, free, strict=True))
+    return tables
+
+
 def _postings(nodes: DataFrame, profile: Profile) -> DataFrame:
-    """One row per node and table, with the number of nodes under its key."""
+    """One row per node and table, with the number of nodes under its key, of keys with several nodes."""
     keys = []
-    for k, positions in enumerate(profile.tables):
+    for k, positions in enumerate(_long_enough(profile, nodes.count())):
         key = F.lit(k).cast("long")
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(p))
         keys.append(key)
     rows = nodes.select("node", *_words(profile), F.explode(F.array(*keys)).alias("key"))
-    return rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1")
+    # bare keys are counted first, so that the fingerprints of lone nodes are not exchanged
+    shared = checkpointed(nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    return rows.join(_small(shared), "key")
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Marked for a broadcast if the checkpointed rows are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def _words(profile: Profile, prefix: str = "") -> list[str]:
@@ -170,8 +216,21 @@ def _crowded_exact(crowded: DataFrame) -> DataFrame:
     return meets.join(least, "value").filter("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, profile: Profile, text_col: str, id_col: str) -> DataFrame:
-    """The pairs (a, b) whose distinct shingles have the profile's Jaccard similarity."""
+def _star_pairs(crowded: DataFrame, profile: Profile) -> DataFrame:
+    """Each member of a crowded posting with the posting's least member (its hub)."""
+    hubs = crowded.groupBy("key").agg(F.min(F.struct("node", *_words(profile))).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.node").alias("b_node"), *(F.col(f"hub.f{k}").alias(f"b_f{k}") for k in range(profile.words)))
+    return _near_pairs(spread_join(_side(crowded, "a_", profile), hubs, "key"), profile)
+
+
+def _near_pairs(met: DataFrame, profile: Profile) -> DataFrame:
+    """(a, b) of a join of two sides, by the count filter and the radius."""
+    near = met.filter((F.col("a_node") != F.col("b_node")) & _near(profile))
+    return near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, profile: Profile, text_col: str, id_col: str) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes (key, node, first_id), from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -183,96 +242,178 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, profile: Prof
                 sets.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    firsts = table.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(met, "node")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("node"), text.alias("text"))
-    wanted = firsts.select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted"))
-    found = texts.join(wanted, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = checkpointed(found.select("node", "text").mapInArrow(run, "node string, shingles array<long>").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text_key(text_col), _text(text_col).alias("text"))
+    asked = wanted.select(F.col("key").alias("asked"), "first_id", "node")
+    found = texts.join(asked, (F.col("key") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return checkpointed(found.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, profile: Profile, text_col: str, id_col: str) -> DataFrame:
+    """The pairs (a, b) whose distinct shingles have the profile's Jaccard similarity."""
+    pairs = checkpointed(pairs.distinct())
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _shingle_sets(docs, nodes.select("key", "node", "first_id").join(met, "node", "left_semi"), profile, text_col, id_col)
+    both = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    # the heavy keys of the second side are found in the pairs, not in the rows that carry sets
+    both = spread_join(both, sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b", keys=pairs)
     shared = F.size(F.array_intersect("sa", "sb"))
     # no word at all: equal to each other
     union = F.greatest(F.size("sa") + F.size("sb") - shared, F.lit(1))
     alike = ((F.size("sa") == 0) & (F.size("sb") == 0)) | (shared / union >= profile.similarity - 1e-12)
-    return both.filter(alike).select("a", "b")
+    return checkpointed(both.filter(alike).select("a", "b"))
+
+
+def _sketch(table: DataFrame) -> Any:
+    """The summed shingle counts of all tasks: ``SKETCH`` numbers, added up slice by slice in tasks."""
+    import numpy as np
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import zstandard as z
+
+        sums: dict[int, Any] = {}
+        for b in batches:
+            for k, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part = np.frombuffer(z.decompress(data), dtype=np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()])], ["slice", "sketch"])
+
+    parts = table.filter("slice is not null").select("slice", "sketch").repartition("slice").mapInArrow(add, "slice int, sketch binary").collect()
+    counts = np.zeros((SKETCH_SLICES, SKETCH // SKETCH_SLICES), dtype=np.int64)
+    for p in parts:
+        counts[p.slice] = np.frombuffer(p.sketch, dtype=np.int64)
+    return counts.ravel()
+
+
+def _prefixes(docs: DataFrame, counts: Any, profile: Profile, text_col: str) -> DataFrame:
+    """(key, size, prefix): the shingles of each text that any similar text must share one of.
+
+    Shingles are ordered by their count in the sketch, the rarest first, then by hash. Any order that
+    all texts share loses no pair, so the sketch's errors cost time only. Of equal texts a task gives
+    one. A text without words has the one shingle 0.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from math import ceil
+
+        import numpy as np
+
+        counts, seen = shared.value, set()
+        for b in batches:
+            out: list[tuple] = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                h = np.unique(np.array(shingle_hashes(text.as_py(), profile.shingle), dtype=np.uint64))
+                prefix = h[np.lexsort((h, counts[h & np.uint64(SKETCH - 1)]))][: len(h) - ceil(len(h) * profile.similarity - 1e-9) + 1]
+                out.append((key, len(h), prefix.view(np.int64) if len(h) else np.zeros(1, dtype=np.int64)))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            types = (pa.binary(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "size", "prefix"])
+
+    return docs.select(_text_key(text_col), _text(text_col).alias("text")).mapInArrow(run, "key binary, size int, prefix array<long>")
+
+
+def _completed(
+    links: DataFrame, marked: DataFrame, nodes: DataFrame, docs: DataFrame, profile: Profile, text_col: str, id_col: str
+) -> DataFrame:
+    """``links`` and those between their components, so that none of the profile's similarity is lost.
+
+    Nodes of several components that share a prefix shingle are candidates. A posting of few such
+    nodes is paired; a crowded one is first compared with its least node, and only what is then still
+    in several components is paired.
+    """
+    comps = connected_components(links)
+    least = F.coalesce("component", "node").alias("comp")
+    texts = _prefixes(docs, _sketch(marked), profile, text_col).dropDuplicates(["key"]).join(nodes.select("key", "node"), "key")
+    texts = checkpointed(texts.join(comps, "node", "left").select("node", least, "size", "prefix"))
+    rows = texts.select("node", "comp", "size", F.explode("prefix").alias("h"))
+    shared = checkpointed(rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
+    members = checkpointed(rows.join(_small(shared), "h"))
+    stats = members.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("comp", "node", "size")).alias("hub"))
+    members = checkpointed(spread_join(members, stats, "h"))
+    few, crowded = members.filter(F.col("members") <= profile.posting), members.filter(F.col("members") > profile.posting)
+
+    def comparable(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs of two sides (node, comp, size) that sizes allow and no component joins."""
+        sides = [side.select(*on, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "size"))) for p, side in (("a", a), ("b", b))]
+        met = sides[0].join(sides[1], on)
+        fits = (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * profile.similarity - 1e-9) & (F.col("a_comp") != F.col("b_comp"))
+        return met.filter(fits).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+    paired = comparable(few, few, ["h"])
+    star = crowded.select("h", "node", "comp", "size", F.struct("h", "node").alias("own"), "hub")
+    hubs = star.select("own", F.col("hub.node").alias("node"), F.col("hub.comp").alias("comp"), F.col("hub.size").alias("size"))
+    tried = checkpointed(paired.unionByName(comparable(star, hubs, ["own"])).distinct())
+    links = checkpointed(links.unionByName(_verified(tried, nodes, docs, profile, text_col, id_col)))
+    if crowded.isEmpty():
+        return links
+    comps = connected_components(links)
+    again = crowded.select("h", "node", "size").join(comps, "node", "left").select("h", "node", "size", least)
+    apart = checkpointed(again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
+    loose = checkpointed(again.join(_small(apart), "h"))
+    # each posting is dealt to several tasks
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    rest = comparable(loose.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), loose.withColumn("part", parts), ["h", "part"])
+    rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(rest, nodes, docs, profile, text_col, id_col))
 
 
 def near_duplicate_classes(
     docs: DataFrame, profile: Profile = EXACT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: doc_id, f0.. (signed fingerprint words), node, component_id, links.
+    """One row per input row: doc_id, f0.. (signed fingerprint words), key, component_id.
 
-    ``component_id`` is the smallest id reachable over links, ``links`` the number of other nodes
-    that the row's node was linked to. Null texts count as empty; documents without words have the
-    zero fingerprint and link like any other; rows with null ids are classed like others, and a
-    class of null ids alone has a null ``component_id``. Repeated rows are in one class. Other
-    columns are ignored; an empty table gives an empty result.
+    ``component_id`` is the smallest id reachable over links. Null texts count as empty; documents
+    without words have the zero fingerprint and link like any other (where a similarity decides, to
+    each other); rows with null ids are classed like others, and a class of null ids alone has a null
+    ``component_id``. Repeated rows are in one class. Whole texts count, however long. Other columns
+    are ignored; an empty table gives an empty result.
     """
-    table = checkpointed(fingerprints(docs, profile, id_col, text_col))
-    nodes = table.groupBy("node").agg(*(F.first(c).alias(c) for c in _words(profile)))
+    marked = checkpointed(fingerprints(docs, profile, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    table = marked.filter("slice is null").drop("slice", "sketch")
+    firsts = (F.first(c).alias(c) for c in _words(profile))
+    nodes = checkpointed(table.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), *firsts))
     postings = checkpointed(_postings(nodes, profile))
     few, crowded = postings.filter(F.col("members") <= profile.posting), postings.filter(F.col("members") > profile.posting)
-    pairs = _side(few, "a_", profile).join(_side(few, "b_", profile), "key").filter((F.col("a_node") < F.col("b_node")) & _near(profile))
-    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = _near_pairs(_side(few, "a_", profile).join(_side(few, "b_", profile), "key"), profile)
     if profile.similarity is None:
         links = pairs.unionByName(_crowded_exact(crowded)).distinct()
     else:
-        links = _similar_links(pairs, crowded, docs, table, profile, text_col, id_col)
-    comps = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    firsts = table.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    classed = firsts.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = classed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = classed.join(ids, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return table.join(of_node, "node").select("doc_id", *_words(profile), "node", "component_id", "links")
-
-
-def _similar_links(
-    pairs: DataFrame, crowded: DataFrame, docs: DataFrame, table: DataFrame, profile: Profile, text_col: str, id_col: str
-) -> DataFrame:
-    """Verified links; a crowded posting keeps its connections without pairing all its members.
-
-    Every member is verified against the posting's least member (its hub). Members that are not
-    like the hub are compared with all members of the posting, with the fingerprint filter inside
-    the join, so whatever connects two members of a posting is found.
-    """
-    hubs = crowded.groupBy("key").agg(F.min(F.struct("node", *_words(profile))).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.node").alias("b_node"), *(F.col(f"hub.f{k}").alias(f"b_f{k}") for k in range(profile.words)))
-    spokes = _side(crowded, "a_", profile).join(hubs, "key").filter((F.col("a_node") > F.col("b_node")) & _near(profile))
-    spokes = checkpointed(spokes.select("key", F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    first = pairs.unionByName(spokes.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    good = checkpointed(_verified(checkpointed(first), docs, table, profile, text_col, id_col))
-    held = spokes.select("key", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").alias("node"))
-    held = held.join(good, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_semi").select("key", "node")
-    hub_rows = hubs.select("key", F.col("b_node").alias("node"))
-    loose = crowded.join(held.unionByName(hub_rows), ["key", "node"], "left_anti")
-    more = _side(loose, "a_", profile).join(_side(crowded, "b_", profile), "key").filter((F.col("a_node") != F.col("b_node")) & _near(profile))
-    more = checkpointed(more.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
-    more = more.join(good, ["a", "b"], "left_anti")
-    return checkpointed(good.unionByName(_verified(checkpointed(more), docs, table, profile, text_col, id_col)))
+        links = _verified(pairs.unionByName(_star_pairs(crowded, profile)), nodes, docs, profile, text_col, id_col)
+        links = _completed(links, marked, nodes, docs, profile, text_col, id_col)
+    comps = checkpointed(connected_components(links))
+    least = comps.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = spread_join(comps, least, "component").select("node", "component_id")
+    of_key = nodes.select("key", "node", "first_id").join(named, "node", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"))
+    return spread_join(table, of_key, "key").select("doc_id", *_words(profile), "key", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, profile: Profile = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each class stays: its least id.
+    """The rows of ``docs``, all columns whatever their names, of which one of each class stays: its least id.
 
-    Of repeated rows with that id one stays. A class whose ids are all null keeps one row.
+    Of repeated rows with that id one stays. A class whose ids are all null keeps one row. Null texts
+    count as empty; documents without words are one class.
     """
-    classes = near_duplicate_classes(docs, profile, id_col, text_col)
-    named = classes.filter("doc_id is not null")
-    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
-    nulls = classes.filter("component_id is null").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
+    text_key, kept_id, kept_key = private_names(docs, "key", "kept_id", "kept_key")
+    classes = checkpointed(near_duplicate_classes(docs, profile, id_col, text_col))
+    # the key tells texts of one id apart; a class of null ids alone is named by none, so its keys are
+    named = classes.filter("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("k"))
+    kept = named.select(F.col("k.doc_id").alias(kept_id), F.col("k.key").alias(kept_key))
+    nulls = classes.filter("component_id is null").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)).distinct()
     kept = checkpointed(kept.unionByName(nulls))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("__node", F.md5(text.cast("binary")))
-    mine = (F.col("__node") == F.col("kept_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("kept_id"))
-    stay = keyed.join(kept, mine, "left_semi")
-    again = classes.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = checkpointed(again.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")), "left_semi"))
-    again = again.select(F.col("doc_id").alias("again_id"), F.col("node").alias("again_node"))
-    twice = (F.col("__node") == F.col("again_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("again_id"))
-    once = stay.join(again, twice, "left_anti")
-    repeated = stay.join(again, twice, "left_semi").dropDuplicates([id_col, "__node"])
-    return once.unionByName(repeated).drop("__node")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    keyed = docs.withColumn(text_key, F.unhex(F.md5(_text(text_col))))
+
+    def of(rows: DataFrame) -> Column:
+        return (F.col(text_key) == rows[kept_key]) & own_id.eqNullSafe(rows[kept_id])
+
+    stay = keyed.join(kept, of(kept), "left_semi")
+    times = classes.groupBy(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = checkpointed(times)
+    once = stay.join(again, of(again), "left_anti")
+    repeated = stay.join(again, of(again), "left_semi").dropDuplicates([id_col, text_key])
+    return once.unionByName(repeated).drop(text_key)
