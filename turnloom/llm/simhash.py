@@ -37,6 +37,7 @@ BLOCK_WORDS = 1 << 16
 #: Counters of the shingle sketch: a fixed size, whatever the input.
 SKETCH = 1 << 20
 SKETCH_SLICES = 64
+_PARITY = ("p0", "p1", "p2", "p3")
 #: Rows of a key list up to which it is broadcast; more are joined by exchange.
 BROADCAST_ROWS = 200_000
 
@@ -287,11 +288,12 @@ def _sketch(table: DataFrame) -> Any:
 
 
 def _prefixes(docs: DataFrame, counts: Any, profile: Profile, text_col: str) -> DataFrame:
-    """(key, size, prefix): the shingles of each text that any similar text must share one of.
+    """(key, size, prefix, p0..p3): the shingles of each text that any similar text must share one of.
 
     Shingles are ordered by their count in the sketch, the rarest first, then by hash. Any order that
     all texts share loses no pair, so the sketch's errors cost time only. Of equal texts a task gives
-    one. A text without words has the one shingle 0.
+    one. A text without words has the one shingle 0. ``p0``.. are the parities of the shingles' counts
+    in 256 cells: two texts differ in at most as many cells as there are shingles in one of them only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers
 
@@ -309,12 +311,14 @@ def _prefixes(docs: DataFrame, counts: Any, profile: Profile, text_col: str) ->
                 seen.add(key)
                 h = np.unique(np.array(shingle_hashes(text.as_py(), profile.shingle), dtype=np.uint64))
                 prefix = h[np.lexsort((h, counts[h & np.uint64(SKETCH - 1)]))][: len(h) - ceil(len(h) * profile.similarity - 1e-9) + 1]
-                out.append((key, len(h), prefix.view(np.int64) if len(h) else np.zeros(1, dtype=np.int64)))
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            types = (pa.binary(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "size", "prefix"])
+                cells = np.bincount((h >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                parity = np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8").tolist()
+                out.append((key, len(h), prefix.view(np.int64) if len(h) else np.zeros(1, dtype=np.int64), *parity))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            types = (pa.binary(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "size", "prefix", *_PARITY])
 
-    return docs.select(_text_key(text_col), _text(text_col).alias("text")).mapInArrow(run, "key binary, size int, prefix array<long>")
+    return docs.select(_text_key(text_col), _text(text_col).alias("text")).mapInArrow(run, "key binary, size int, prefix array<long>, " + ", ".join(f"{p} long" for p in _PARITY))
 
 
 def _completed(
@@ -329,30 +333,39 @@ def _completed(
     comps = connected_components(links)
     least = F.coalesce("component", "node").alias("comp")
     texts = _prefixes(docs, _sketch(marked), profile, text_col).dropDuplicates(["key"]).join(nodes.select("key", "node"), "key")
-    texts = checkpointed(texts.join(comps, "node", "left").select("node", least, "size", "prefix"))
-    rows = texts.select("node", "comp", "size", F.explode("prefix").alias("h"))
+    texts = checkpointed(texts.join(comps, "node", "left").select("node", least, "size", "prefix", *_PARITY))
+    rows = texts.select("node", "comp", "size", *_PARITY, F.posexplode("prefix").alias("pos", "h"))
     shared = checkpointed(rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
     members = checkpointed(rows.join(_small(shared), "h"))
-    stats = members.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("comp", "node", "size")).alias("hub"))
+    own = ("comp", "node", "size", "pos", *_PARITY)
+    stats = members.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*own)).alias("hub"))
     members = checkpointed(spread_join(members, stats, "h"))
     few, crowded = members.filter(F.col("members") <= profile.posting), members.filter(F.col("members") > profile.posting)
+    share = profile.similarity / (1 + profile.similarity)
 
     def comparable(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        """Pairs of two sides (node, comp, size) that sizes allow and no component joins."""
-        sides = [side.select(*on, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "comp", "size"))) for p, side in (("a", a), ("b", b))]
-        met = sides[0].join(sides[1], on)
-        fits = (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * profile.similarity - 1e-9) & (F.col("a_comp") != F.col("b_comp"))
-        return met.filter(fits).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+        """Pairs of two sides that no component joins and that can be similar as far as sizes,
+        places in the order and parities tell; no similar pair fails all the shingles that it shares."""
+        sides = [side.select(*on, *(F.col(c).alias(f"{p}_{c}") for c in own)) for p, side in (("a", a), ("b", b))]
+        both = F.col("a_size") + F.col("b_size")
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _PARITY))
+        fits = (
+            (F.col("a_comp") != F.col("b_comp"))
+            & (F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= both * share - 1e-9)
+            & (apart <= both * (1 - 2 * share) + 1e-9)
+        )
+        met = sides[0].join(sides[1], on).filter(fits)
+        return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
     paired = comparable(few, few, ["h"])
-    star = crowded.select("h", "node", "comp", "size", F.struct("h", "node").alias("own"), "hub")
-    hubs = star.select("own", F.col("hub.node").alias("node"), F.col("hub.comp").alias("comp"), F.col("hub.size").alias("size"))
-    tried = checkpointed(paired.unionByName(comparable(star, hubs, ["own"])).distinct())
+    place = F.struct("h", "node").alias("place")
+    hubs = crowded.select(place, *(F.col(f"hub.{c}").alias(c) for c in own))
+    tried = checkpointed(paired.unionByName(comparable(crowded.select(place, *own), hubs, ["place"])).distinct())
     links = checkpointed(links.unionByName(_verified(tried, nodes, docs, profile, text_col, id_col)))
     if crowded.isEmpty():
         return links
     comps = connected_components(links)
-    again = crowded.select("h", "node", "size").join(comps, "node", "left").select("h", "node", "size", least)
+    again = crowded.select("h", *own[1:]).join(comps, "node", "left").select("h", least, *own[1:])
     apart = checkpointed(again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
     loose = checkpointed(again.join(_small(apart), "h"))
     # each posting is dealt to several tasks
