@@ -257,66 +257,53 @@ def test_revisits(spark, bucket):
         assert (o.payload_digest, o.payload_bytes) == (f[6], f[7])
 
 
-def test_ngram_losses_against_brute_force(spark):
-    given = [r for r in rows() if r[0] is not None and len(r[1] or "") < 3000][:80]
-    target = {r[0] for r in given if r[0] % 3 == 0}
-    df = docs(spark, given)
-    models = fit_ngrams(df, F.col("doc_id") % 3 == 0, slots=1 << 18, pair_slots=1 << 22, weight=0.7, smoothing=0.1)
-    got = {r.doc_id: r for r in score_documents(df, models).collect()}
-    words = {r[0]: (r[1] or "").lower().split() for r in given}
-    loss = {}
-    for name, ids in (("background", list(words)), ("target", sorted(target))):
-        uni, bi = Counter(), Counter()
-        for r in given:
-            if r[0] in ids:
-                w = words[r[0]]
-                uni.update(w)
-                bi.update(zip([None, *w], w, strict=False))
-        total = sum(uni.values())
-        for d, w in words.items():
-            s = 0.0
-            for a, b in zip([None, *w], w, strict=False):
-                p = 0.3 * (uni[b] + 0.1) / (total + 0.1 * (1 << 18))
-                if a is not None:
-                    p += 0.7 * min(1.0, bi[(a, b)] / (uni[a] + 0.1))
-                s -= math.log(p)
-            loss[(name, d)] = s / len(w) if w else 0.0
-    for d, r in got.items():
-        assert r.n_words == len(words[d])
-        assert r.target_loss == pytest.approx(loss[("target", d)], rel=1e-6)
-        assert r.score == pytest.approx(loss[("target", d)] - loss[("background", d)], rel=1e-6, abs=1e-9)
-
-
-def test_ngram_keys_are_exact(spark, monkeypatch):
-    """More distinct words and pairs than the slots named; target ids mark like a target column."""
+def ngram_losses(given, target, loo, scored=None):
+    """(id, target loss, background loss) of each row, by plain counting."""
+    marks = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    held = {True: (Counter(), Counter()), False: (Counter(), Counter())}
+    for r in given:
+        w = marks(r[1])
+        held[r[0] in target][0].update(w)
+        held[r[0] in target][1].update(zip(w, w[1:], strict=False))
+    vocabulary = len({w for words, _ in held.values() for w in words} - {"<s>"})
+    out = []
+    for r in given if scored is None else scored:
+        w, losses = marks(r[1]), []
+        for side in (True, False):
+            words, pairs = (Counter(c) for c in held[side])
+            if loo and (r[0] in target) == side:
+                words.subtract(w)
+                pairs.subtract(zip(w, w[1:], strict=False))
+            n, loss = sum(v for k, v in words.items() if k != "<s>"), 0.0
+            for a, b in zip(w, w[1:], strict=False):
+                p = 0.9 * words[b] / n + 0.1 / vocabulary if n > 0 else 1 / vocabulary
+                p = 0.7 * pairs[a, b] / words[a] + 0.3 * p if words[a] > 0 else p
+                loss -= math.log(p)
+            losses.append(loss / (len(w) - 1) if len(w) > 2 else 0.0)
+        out.append((-1 if r[0] is None else r[0], *losses))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
+def test_ngram_losses_against_brute_force(spark, monkeypatch, chunk):
+    """Proper, matched models without a document's own counts; target ids mark like a column."""
     from turnloom.llm import lm_score
 
-    monkeypatch.setattr(lm_score, "CHUNK_WORDS", 64)
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", chunk)
     rng = random.Random(4)
-    names = [f"w{k}" for k in range(3000)]
-    texts = [" ".join(rng.choices(names, k=rng.randint(0, 90))) for _ in range(150)]
-    given = [(k, t, *[None] * 6) for k, t in enumerate(texts)] + [(3, texts[3], *[None] * 6), (None, texts[7], *[None] * 6), (200, None, *[None] * 6)]
+    names = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(names, k=rng.randint(0, 90))) for _ in range(90)]
+    given = [(k, t, *[None] * 6) for k, t in enumerate(texts)] + [(3, texts[3], *[None] * 6), (None, texts[7], *[None] * 6), (200, None, *[None] * 6), (201, "W1 w1\tw1", *[None] * 6)]
+    target = set(range(0, 90, 3))
     df = docs(spark, given)
-    uni, bi, good_uni, good_bi = Counter(), Counter(), Counter(), Counter()
-    for r in given:
-        w = (r[1] or "").split()
-        for words, pairs in [(uni, bi)] + [(good_uni, good_bi)] * (r[0] is not None and r[0] % 3 == 0):
-            words.update(w)
-            pairs.update(zip(w, w[1:], strict=False))
-    assert len(uni) > 256 and len(bi) > 1024
-
-    def loss(text, words, pairs):
-        w = text.split()
-        p = [0.3 * (words[b] + 0.1) / (sum(words.values()) + 0.1 * len(uni)) for b in w]
-        for k in range(1, len(w)):
-            p[k] += 0.7 * pairs[(w[k - 1], w[k])] / (words[w[k - 1]] + 0.1)
-        return -sum(map(math.log, p)) / len(w) if w else 0.0
-
-    want = sorted((-1 if r[0] is None else r[0], loss(r[1] or "", good_uni, good_bi), loss(r[1] or "", uni, bi)) for r in given)
-    by_column = fit_ngrams(df, F.col("doc_id") % 3 == 0, slots=1 << 8, pair_slots=1 << 10)
-    ids = spark.createDataFrame([(k,) for k in range(0, 150, 3)] + [(3,), (None,), (999,)], "doc_id long")
-    by_id = fit_ngrams(df, F.lit(False), slots=1 << 8, pair_slots=1 << 10, target_ids=ids)
-    for out in (score_documents(df, by_column), lm_score.score_counted(by_id)):
+    by_column = fit_ngrams(df, F.col("doc_id") % 3 == 0 if chunk == 64 else F.col("doc_id").isin(sorted(target)))
+    target = target if chunk > 64 else target | {201}
+    ids = spark.createDataFrame([(k,) for k in [*sorted(target), 3, None, 999]], "doc_id long")
+    by_id = fit_ngrams(df, F.lit(False), target_ids=ids)
+    other = [(k, r[1], *[None] * 6) for k, r in enumerate(given[:20])] + [(50, "unseen words only", *[None] * 6)]
+    cases = [(lm_score.score_counted(m), ngram_losses(given, target, True)) for m in (by_column, by_id)]
+    cases.append((score_documents(docs(spark, other), by_id), ngram_losses(given, target, False, other)))
+    for out, want in cases:
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.target_loss, r.background_loss) for r in out.collect())
         assert len(got) == len(want)
         for a, b in zip(got, want, strict=True):
@@ -442,5 +429,5 @@ def test_models_on_awkward_rows(spark):
         assert len(out) == len(rows()) and all(0 <= r.score <= 1 for r in out)
         assert all(r.lang_pred == "und" for r in out if r.doc_id in (0, 1, 2))
     assert score_quality(docs(spark, []), model).count() == predict_language(docs(spark, []), langs).count() == 0
-    ngrams = fit_ngrams(docs(spark, []), F.lit(True), slots=1 << 8, pair_slots=1 << 10)
+    ngrams = fit_ngrams(docs(spark, []), F.lit(True))
     assert score_documents(df, ngrams).count() == len(rows())

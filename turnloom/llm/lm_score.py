@@ -1,14 +1,17 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Words are lower-cased. Both models are bigram models interpolated with unigrams, of the same shape
-and smoothing, and differ only in the text counted. The counts cover every word of every document.
-A document's score is the mean over its words of the target model's loss less the background
-model's: lower is more like the target.
-
-Words and pairs are counted exactly, each under its own 63-bit hash; the table grows with the input.
+Words are lower-cased; a document is its words between a start and an end mark. Target and background
+share no document: every document is counted, with all its words, in exactly one of the two. Both are
+bigram models interpolated with unigrams and a uniform share over one vocabulary, of the same
+weights, which do not depend on how much was counted; both are proper distributions. A document's own
+counts are left out of the model that holds it. Its score is the mean over its words and its end of
+the target model's loss less the background model's: lower is more like the target.
+
+Words and pairs are counted exactly, each under its own 55-bit hash; the table grows with the input.
 Documents are packed into chunks of about ``CHUNK_WORDS`` words. A chunk sends each of its distinct
 keys once, with its counts, to the bucket of the key's first bits; a bucket adds up what all chunks
-sent and answers each chunk with the sums. A hot word is one key of each chunk like any other.
+sent and answers each chunk with what the others counted, which is nothing for most keys and packs
+well. A hot word is one key of each chunk like any other.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, tasks
 
 CHUNK_WORDS = 1 << 20
+KEY_BITS = 56
+#: Keys of the marks before and after a document.
+START, END = 4, 2
 
 CHUNKS = "chunk long, ids array<long>, data binary"
 SENT = "bucket int, chunk long, keys binary, background binary, target binary"
@@ -35,12 +41,11 @@ SUMS = "bucket int, chunk long, background binary, target binary, words long, ba
 class NgramModels:
     """The counted chunks, from which buckets sum the models' counts."""
 
-    chunks: DataFrame
+    chunks: DataFrame  # with the ids that are targets beside those marked
     sent: DataFrame  # the counts of each chunk by bucket
     bits: int  # of a bucket's number
-    vocabulary: int  # words that the smoothing assumes at least
     weight: float  # of the bigram estimate
-    smoothing: float
+    uniform: float  # share of the uniform distribution in the unigram estimate
 
 
 def _pack(values: Any) -> bytes:
@@ -89,7 +94,7 @@ def _chunks(docs: DataFrame, is_target: Column, id_col: str, text_col: str) -> D
                 w = (text.as_py() or "").lower().encode("utf-8", "replace").split()
                 ids.append(i)
                 targets.append(target)
-                words.append(np.fromiter(map(xxh3_64_intdigest, w), dtype=np.uint64, count=len(w)) & np.uint64(2**64 - 2))
+                words.append(np.fromiter(map(xxh3_64_intdigest, w), dtype=np.uint64, count=len(w)) >> np.uint64(8) & np.uint64(2**64 - 2))
                 size += len(w)
                 if size >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS:
                     yield packed(ids, targets, words, number)
@@ -102,37 +107,58 @@ def _chunks(docs: DataFrame, is_target: Column, id_col: str, text_col: str) -> D
 
 
 def _ngrams(data: bytes) -> tuple[Any, ...]:
-    """A chunk's targets, lengths, word numbers, whether each word has a predecessor, keys, and each
-    word's and pair's place among the keys.
+    """A chunk's targets, lengths, keys, and each event's document and places among the keys.
 
-    The keys are distinct and in order: words are even, pairs odd.
+    An event is a word or an end; its places are those of the word before it (or the start), of
+    itself and of the pair. The keys are distinct and in order: words are even, pairs odd.
     """
     import pickle
 
     import numpy as np
     import zstandard as z
 
-    targets, lengths, at, words = pickle.loads(z.decompress(data))
-    at = _unpack(at).astype(np.int64)
-    follows = np.ones(len(at), dtype=bool)
-    starts = np.cumsum(lengths) - lengths
-    follows[starts[lengths > 0]] = False
-    w = words[at]
-    later = np.flatnonzero(follows)
-    mixed = (w[later - 1] * np.uint64(0x9E3779B97F4A7C15) + w[later]) | np.uint64(1)
-    pairs, pair_at = np.unique(mixed, return_inverse=True)
+    targets, lengths, packed, words = pickle.loads(z.decompress(data))
+    at = _unpack(packed).astype(np.int64)
+    words = np.concatenate([words, np.array([START, END], dtype=np.uint64)])
+    starts = np.cumsum(lengths + 2) - lengths - 2
+    ends = starts + lengths + 1
+    marked = np.empty(len(at) + 2 * len(lengths), dtype=np.int64)
+    inner = np.ones(len(marked), dtype=bool)
+    inner[starts] = inner[ends] = False
+    marked[starts], marked[ends], marked[inner] = len(words) - 2, len(words) - 1, at
+    before, after = np.delete(marked, ends), np.delete(marked, starts)
+    mixed = words[before] * np.uint64(0x9E3779B97F4A7C15) ^ words[after]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    pairs, pair_at = np.unique(mixed >> np.uint64(64 - KEY_BITS) | np.uint64(1), return_inverse=True)
     keys = np.concatenate([words, pairs])
     order = np.argsort(keys)
     place = np.empty(len(keys), dtype=np.int64)
     place[order] = np.arange(len(keys))
-    return targets, lengths, follows, keys[order], place[: len(words)][at], place[len(words) :][pair_at]
+    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+    return targets, lengths, keys[order], doc, place[before], place[after], place[len(words) :][pair_at]
 
 
-def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
-    """One row per chunk and bucket that it has keys of; zero counts unless ``counted``.
+def _counted(keys: Any, chosen: Any, before: Any, after: Any, pair: Any) -> Any:
+    """How often each key occurs in the chosen events; the start mark as often as a document begins."""
+    import numpy as np
+
+    starts = before[chosen & (keys[before] == START)]
+    return np.bincount(np.concatenate([after[chosen], pair[chosen], starts]), minlength=len(keys))
+
+
+def _targets(marked: Any, ids: Any, more: Any) -> Any:
+    """Which documents of a chunk are targets: those marked and those with an id in ``more``."""
+    import numpy as np
+
+    if not more.is_valid or not len(more):
+        return marked
+    known = ids.values.is_valid().to_numpy(zero_copy_only=False)
+    return marked | known & np.isin(ids.values.fill_null(0).to_numpy(), more.values.to_numpy())
 
-    Ids in the list ``targets`` of a chunk, if there is one, are targets too.
-    """
+
+def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
+    """One row per chunk and bucket that it has keys of; zero counts unless ``counted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -140,17 +166,10 @@ def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 chunk, ids, data, more = (b.column(k)[row] for k in range(4))
-                targets, lengths, follows, keys, word_at, pair_at = _ngrams(data.as_py())
-                if more.is_valid and len(more):
-                    known = ids.values.is_valid().to_numpy(zero_copy_only=False)
-                    targets = targets | known & np.isin(ids.values.fill_null(0).to_numpy(), more.values.to_numpy())
-                of_target = np.repeat(targets, lengths)
-                everything = np.concatenate([word_at, pair_at])
-                background = np.bincount(everything, minlength=len(keys))
-                target = np.bincount(everything[np.concatenate([of_target, of_target[follows]])], minlength=len(keys))
-                if not counted:
-                    background, target = background * 0, target * 0
-                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                targets, _, keys, doc, *places = _ngrams(data.as_py())
+                of_target = _targets(targets, ids, more)[doc]
+                background, target = (_counted(keys, chosen & counted, *places) for chosen in (~of_target, of_target))
+                bucket = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
                 out = []
                 for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
@@ -160,12 +179,11 @@ def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "keys", "background", "target"])
 
-    rows = chunks if "targets" in chunks.columns else chunks.withColumn("targets", F.lit(None).cast("array<long>"))
-    return rows.select("chunk", "ids", "data", "targets").mapInArrow(run, SENT)
+    return chunks.select("chunk", "ids", "data", "targets").mapInArrow(run, SENT)
 
 
 def _summed(sent: DataFrame) -> DataFrame:
-    """The sums of each bucket's keys, for each chunk named; one row of totals per bucket."""
+    """For each chunk named what the others counted of its keys; one row of totals per bucket."""
 
     def sums(bucket: int, rows: Iterable[tuple]) -> pa.RecordBatch:
         import numpy as np
@@ -174,21 +192,15 @@ def _summed(sent: DataFrame) -> DataFrame:
         keys = [np.cumsum(_unpack(s), dtype=np.uint64) for s in steps]
         ends = np.cumsum([len(k) for k in keys])
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = []
-        for column in (background, target):
-            total = np.zeros(len(keys), dtype=np.int64)
-            start = 0
-            for packed, end in zip(column, ends, strict=True):  # a chunk's keys are distinct
-                total[at[start:end]] += _unpack(packed).astype(np.int64)
-                start = end
-            totals.append(total)
-        word = keys % np.uint64(2) == 0
-        seen = int((word & (totals[0] > 0)).sum())
+        own = [np.concatenate([_unpack(p) for p in column]).astype(np.int64) for column in (background, target)]
+        totals = [np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64) for c in own]
+        word = (keys % np.uint64(2) == 0) & (keys != START)
+        seen = int((word & (totals[0] + totals[1] > 0)).sum())
         out = [(bucket, None, None, None, seen, int(totals[0][word].sum()), int(totals[1][word].sum()))]
         start = 0
         for chunk, end in zip(chunks, ends, strict=True):
             if chunk is not None:
-                out.append((bucket, chunk, *(_pack(t[at[start:end]]) for t in totals), None, None, None))
+                out.append((bucket, chunk, *(_pack(t[at[start:end]] - c[start:end]) for t, c in zip(totals, own, strict=True)), None, None, None))
             start = end
         types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3)
         names = ["bucket", "chunk", "background", "target", "words", "background_words", "target_words"]
@@ -203,38 +215,38 @@ def _summed(sent: DataFrame) -> DataFrame:
     return checkpointed(dealt.mapInArrow(run, SUMS))
 
 
+def _with_targets(chunks: DataFrame, target_ids: DataFrame | None) -> DataFrame:
+    """``chunks`` with the list ``targets`` of their ids that occur in ``target_ids``."""
+    if target_ids is None:
+        return chunks.withColumn("targets", F.lit(None).cast("array<long>"))
+    ids = target_ids.toDF("id").distinct()
+    found = chunks.select("chunk", F.explode("ids").alias("id")).distinct().join(ids.hint("merge"), "id")
+    return chunks.join(found.groupBy("chunk").agg(F.collect_list("id").alias("targets")).hint("merge"), "chunk", "left")
+
+
 def fit_ngrams(
     docs: DataFrame,
     is_target: Column,
-    slots: int = 1 << 18,
-    pair_slots: int = 1 << 20,
     weight: float = 0.7,
-    smoothing: float = 0.1,
+    uniform: float = 0.1,
     id_col: str = "doc_id",
     text_col: str = "text",
     target_ids: DataFrame | None = None,
 ) -> NgramModels:
-    """Count all documents (background) and those of ``is_target`` or with an id in ``target_ids`` (target).
+    """Count each document in the target model, if ``is_target`` holds or ``target_ids`` has its id, else in the background.
 
-    Smoothing assumes a vocabulary of ``slots`` words, or of the distinct words counted where they
-    are more. Keys are exact, so ``pair_slots`` bounds nothing; it is accepted for older callers.
-    Null texts count as empty. There are at least 1,024 buckets and eight for each shuffle
-    partition; a task holds the keys of one bucket.
+    Null texts count as empty, a null condition as false; repeated rows count each time. There are
+    at least 1,024 buckets and eight for each shuffle partition; a task holds the keys of one bucket.
     """
-    chunks = _chunks(docs, is_target, id_col, text_col)
-    marked = chunks
-    if target_ids is not None:
-        ids = target_ids.toDF("id").distinct()
-        found = chunks.select("chunk", F.explode("ids").alias("id")).distinct().join(ids.hint("merge"), "id")
-        marked = chunks.join(found.groupBy("chunk").agg(F.collect_list("id").alias("targets")).hint("merge"), "chunk", "left")
+    chunks = _with_targets(_chunks(docs, is_target, id_col, text_col), target_ids)
     bits = max(10, (8 * tasks(docs.sparkSession) - 1).bit_length())
-    return NgramModels(chunks, _by_bucket(marked, bits, True), bits, slots, weight, smoothing)
+    return NgramModels(chunks, _by_bucket(chunks, bits, True), bits, weight, uniform)
 
 
-def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels) -> DataFrame:
+def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels, counted: bool) -> DataFrame:
     totals = sums.agg(F.sum("words"), F.sum("background_words"), F.sum("target_words")).first()
     vocabulary, background_words, target_words = (v or 0 for v in totals)
-    vocabulary, weight, smoothing = max(vocabulary, models.vocabulary), models.weight, models.smoothing
+    vocabulary, weight, uniform = max(vocabulary, 1), models.weight, models.uniform
     names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,35 +254,49 @@ def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels) -> DataFram
 
         for b in batches:
             for row in range(b.num_rows):
-                ids, data, sums = (b.column(k)[row] for k in range(3))
-                _, lengths, follows, _, word_at, pair_at = _ngrams(data.as_py())
-                parts, doc, mean = sums.as_py() or [], np.repeat(np.arange(len(lengths)), lengths), []
-                for column, total in (("target", target_words), ("background", background_words)):
+                ids, data, more, sums = (b.column(k)[row] for k in range(4))
+                targets, lengths, keys, doc, before, after, pair = _ngrams(data.as_py())
+                of_target = _targets(targets, ids, more)
+                parts, mean = sums.as_py() or [], []
+                # a document's own occurrences of each event's word before, word and pair
+                own = [_occurrences(doc, x, len(keys)) for x in (before, after, pair)] if counted else [0, 0, 0]
+                for column, total, mine in (("target", target_words, of_target), ("background", background_words, ~of_target)):
                     counts = np.concatenate([np.zeros(0), *(_unpack(p[column]) for p in parts)])
-                    n = counts[word_at] + smoothing
-                    p = (1 - weight) * n / (total + smoothing * vocabulary)
-                    later = np.flatnonzero(follows)
-                    p[later] += weight * np.minimum(counts[pair_at] / n[later - 1], 1.0)
+                    mine = mine & counted
+                    counts = counts + _counted(keys, mine[doc], before, after, pair)
+                    history, word, both = (counts[x] - mine[doc] * n for x, n in zip((before, after, pair), own, strict=True))
+                    events = np.maximum(total - mine * (lengths + 1), 0)[doc]
+                    p = np.where(events > 0, (1 - uniform) * word / np.maximum(events, 1) + uniform / vocabulary, 1 / vocabulary)
+                    p = np.where(history > 0, weight * both / np.maximum(history, 1) + (1 - weight) * p, p)
                     loss = np.bincount(doc, weights=-np.log(p), minlength=len(lengths))
-                    mean.append(loss / np.maximum(lengths, 1))
+                    mean.append(np.where(lengths > 0, loss / (lengths + 1), 0.0))
                 yield pa.RecordBatch.from_arrays([ids.values, *map(pa.array, (lengths, *mean, mean[0] - mean[1]))], names)
 
     asked = sums.filter("chunk is not null").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "background", "target"))).alias("sums"))
-    rows = chunks.join(asked.hint("merge"), "chunk", "left").select("ids", "data", "sums")
+    rows = chunks.join(asked.hint("merge"), "chunk", "left").select("ids", "data", "targets", "sums")
     return rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
+def _occurrences(doc: Any, at: Any, keys: int) -> Any:
+    """For each event how often its key stands at such a place of its document."""
+    import numpy as np
+
+    _, inverse, counts = np.unique(doc * keys + at, return_inverse=True, return_counts=True)
+    return counts[inverse]
+
+
 def score_counted(models: NgramModels) -> DataFrame:
-    """``score_documents`` of the documents that ``models`` counted, whose keys travel once."""
-    return _scored(models.chunks, _summed(models.sent), models)
+    """``score_documents`` of the documents that ``models`` counted, each without its own counts."""
+    return _scored(models.chunks, _summed(models.sent), models, True)
 
 
 def score_documents(docs: DataFrame, models: NgramModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, score) of every row and whole text.
+    """(doc_id, n_words, target_loss, background_loss, score) of every row and whole text, which the models did not count.
 
-    Losses are natural-log means per word; a text without words (or a null one) has 0 words, zero
-    losses and score 0. Repeated rows score alike; other columns are ignored.
+    Losses are natural-log means per word and end; a text without words (or a null one) has 0 words,
+    zero losses and score 0. A model that counted nothing is uniform. Repeated rows score alike, an
+    empty table gives an empty result; other columns are ignored.
     """
-    chunks = _chunks(docs, F.lit(False), id_col, text_col)
+    chunks = _with_targets(_chunks(docs, F.lit(False), id_col, text_col), None)
     counted = models.sent.withColumn("chunk", F.lit(None).cast("long"))
-    return _scored(chunks, _summed(counted.unionByName(_by_bucket(chunks, models.bits, False))), models)
+    return _scored(chunks, _summed(counted.unionByName(_by_bucket(chunks, models.bits, False))), models, False)

@@ -37,7 +37,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled of good quality; background: all documents."""
+    """Target: documents labelled of good quality; background: all other documents."""
     good = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").select("doc_id")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     models = fit_ngrams(docs, F.lit(False), target_ids=good)
@@ -77,6 +77,7 @@ def preference_pairs(turns: DataFrame, spread: int = 64) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of conversations that begin alike; turns without a ``conv_id`` belong to no conversation and are left out."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("conv_id is not null")
     sided = turns.join(preference_pairs(turns), "conv_id")
     return preference_segments(sided.filter("part = 'chosen'"), sided.filter("part = 'rejected'"))
