@@ -65,27 +65,27 @@ PARTS = 32
 HEAVY_ROWS = 1000
 
 
-def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """The heavy values of ``key``, at most 10,000; None if there are none."""
-    counts = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY_ROWS))
-    if counts.isEmpty():
-        return None
-    total = rows.count()
-    heavy = counts.filter(F.col("n") > total / 10_000).select(key)
-    return None if heavy.isEmpty() else heavy
+def heavy_keys(rows: DataFrame, key: str, total: int | None = None) -> list:
+    """The heavy values of ``key``, at most 10,000, by the definition above."""
+    total = rows.count() if total is None else total
+    if total <= HEAVY_ROWS:
+        return []
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.filter((F.col("n") > HEAVY_ROWS) & (F.col("n") > total / 10_000)).select(key).collect()]
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per ``key``; a heavy key's rows are dealt to ``PARTS`` tasks.
 
     The list of heavy keys is bounded by its definition and broadcast; only their rows of ``keyed``
     are repeated. ``rows``, or ``keys`` if they hold the same keys, are read several times and should
-    be checkpointed.
+    be checkpointed; ``total`` is their number where it is known.
     """
-    heavy = heavy_keys(rows if keys is None else keys, key)
-    if heavy is None:
+    heavy = heavy_keys(rows if keys is None else keys, key, total)
+    if not heavy:
         return rows.join(keyed, key, how)
-    mark = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
+    schema = keyed.select(key).withColumn("heavy", F.lit(True)).schema
+    mark = F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in heavy], schema))
     dealt = rows.join(mark, key, "left").withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))).otherwise(0).cast("int"))
     copies = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = keyed.join(mark, key, "left").withColumn("part", F.explode(copies)).drop("heavy")

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from .common import checkpointed, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return spread_join(both.filter("v > u"), least, "u", total=total).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    edges = checkpointed(edges)
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = spread_join(edges, least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(edges, least, "a", total=total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -26,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round rewires links towards smaller nodes and is written to the checkpoint folder; rounds
     grow with the logarithm of the longest chain. A node of very many links is dealt to several
-    tasks. Nothing but one row of counts reaches the driver.
+    tasks. Only a row of counts and the bounded list of such nodes reach the driver.
     """
     edges = checkpointed(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -37,6 +36,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(checkpointed(_large_star(edges, state[0])), state[0]))
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -10,7 +10,7 @@ Two profiles:
 
 * ``EXACT``: 64 bits, radius 2. Two bits touch at most two bytes, so at least six of eight bytes
   agree and, of four two-byte blocks, at least two: the six block pairs find every pair.
-* ``SIMILAR``: 256 bits and 64 tables of three bytes, for five-word shingles at Jaccard 0.8 or
+* ``SIMILAR``: 256 bits and 32 tables of three bytes, for five-word shingles at Jaccard 0.8 or
   more. SimHash distances spread, so no radius that can be indexed holds every pair at 0.8. What
   this index leaves apart is therefore searched once more without loss (``_completed``): two sets
   of similarity 0.8 share a shingle among the first fifth of each in any common order.
@@ -35,7 +35,7 @@ from .graph import connected_components
 
 BLOCK_WORDS = 1 << 16
 #: Counters of the shingle sketch: a fixed size, whatever the input.
-SKETCH = 1 << 20
+SKETCH = 1 << 19
 SKETCH_SLICES = 64
 _PARITY = ("p0", "p1", "p2", "p3")
 #: Rows of a key list up to which it is broadcast; more are joined by exchange.
@@ -64,7 +64,7 @@ def _cyclic_triples(size: int, differences: tuple[tuple[int, int], ...]) -> tupl
 
 #: The differences between the bytes of a table each occur once: two bytes stand together in at most
 #: one table, which makes the tables' misses as independent as they can be.
-DIFFERENCES = ((1, 2), (4, 5))
+DIFFERENCES = ((1, 2),)
 EXACT = Profile(3, 1, tuple((2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)), 2, None)
 SIMILAR = Profile(5, 4, _cyclic_triples(32, DIFFERENCES), 56, 0.8, posting=8)
 
@@ -284,7 +284,7 @@ def _sketch(table: DataFrame) -> Any:
     counts = np.zeros((SKETCH_SLICES, SKETCH // SKETCH_SLICES), dtype=np.int64)
     for p in parts:
         counts[p.slice] = np.frombuffer(p.sketch, dtype=np.int64)
-    return counts.ravel()
+    return np.minimum(counts.ravel(), 2**32 - 1).astype(np.uint32)
 
 
 def _prefixes(docs: DataFrame, counts: Any, profile: Profile, text_col: str) -> DataFrame:
@@ -324,16 +324,17 @@ def _prefixes(docs: DataFrame, counts: Any, profile: Profile, text_col: str) ->
 def _completed(
     links: DataFrame, marked: DataFrame, nodes: DataFrame, docs: DataFrame, profile: Profile, text_col: str, id_col: str
 ) -> DataFrame:
-    """``links`` and those between their components, so that none of the profile's similarity is lost.
+    """(node, component) by ``links`` and those between their components, none of the similarity lost.
 
     Nodes of several components that share a prefix shingle are candidates. A posting of few such
     nodes is paired; a crowded one is first compared with its least node, and only what is then still
     in several components is paired.
     """
-    comps = connected_components(links)
+    comps = checkpointed(connected_components(links))
     least = F.coalesce("component", "node").alias("comp")
-    texts = _prefixes(docs, _sketch(marked), profile, text_col).dropDuplicates(["key"]).join(nodes.select("key", "node"), "key")
-    texts = checkpointed(texts.join(comps, "node", "left").select("node", least, "size", "prefix", *_PARITY))
+    placed = nodes.select("key", "node").join(comps, "node", "left").select("key", "node", least)
+    texts = _prefixes(docs, _sketch(marked), profile, text_col).dropDuplicates(["key"]).join(placed, "key")
+    texts = checkpointed(texts.select("node", "comp", "size", "prefix", *_PARITY))
     rows = texts.select("node", "comp", "size", *_PARITY, F.posexplode("prefix").alias("pos", "h"))
     shared = checkpointed(rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
     members = checkpointed(rows.join(_small(shared), "h"))
@@ -361,10 +362,10 @@ def _completed(
     place = F.struct("h", "node").alias("place")
     hubs = crowded.select(place, *(F.col(f"hub.{c}").alias(c) for c in own))
     tried = checkpointed(paired.unionByName(comparable(crowded.select(place, *own), hubs, ["place"])).distinct())
-    links = checkpointed(links.unionByName(_verified(tried, nodes, docs, profile, text_col, id_col)))
+    stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    comps = checkpointed(connected_components(stars.unionByName(_verified(tried, nodes, docs, profile, text_col, id_col))))
     if crowded.isEmpty():
-        return links
-    comps = connected_components(links)
+        return comps
     again = crowded.select("h", *own[1:]).join(comps, "node", "left").select("h", least, *own[1:])
     apart = checkpointed(again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
     loose = checkpointed(again.join(_small(apart), "h"))
@@ -372,7 +373,8 @@ def _completed(
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
     rest = comparable(loose.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), loose.withColumn("part", parts), ["h", "part"])
     rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, nodes, docs, profile, text_col, id_col))
+    stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return checkpointed(connected_components(stars.unionByName(_verified(rest, nodes, docs, profile, text_col, id_col))))
 
 
 def near_duplicate_classes(
@@ -394,11 +396,10 @@ def near_duplicate_classes(
     few, crowded = postings.filter(F.col("members") <= profile.posting), postings.filter(F.col("members") > profile.posting)
     pairs = _near_pairs(_side(few, "a_", profile).join(_side(few, "b_", profile), "key"), profile)
     if profile.similarity is None:
-        links = pairs.unionByName(_crowded_exact(crowded)).distinct()
+        comps = checkpointed(connected_components(pairs.unionByName(_crowded_exact(crowded))))
     else:
         links = _verified(pairs.unionByName(_star_pairs(crowded, profile)), nodes, docs, profile, text_col, id_col)
-        links = _completed(links, marked, nodes, docs, profile, text_col, id_col)
-    comps = checkpointed(connected_components(links))
+        comps = _completed(links, marked, nodes, docs, profile, text_col, id_col)
     least = comps.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = spread_join(comps, least, "component").select("node", "component_id")
     of_key = nodes.select("key", "node", "first_id").join(named, "node", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"))
