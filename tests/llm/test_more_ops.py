@@ -257,7 +257,7 @@ def test_revisits(spark, bucket):
         assert (o.payload_digest, o.payload_bytes) == (f[6], f[7])
 
 
-def ngram_losses(given, target, loo, scored=None):
+def ngram_losses(given, target, loo, models, scored=None):
     """(id, target loss, background loss) of each row, by plain counting."""
     marks = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
     held = {True: (Counter(), Counter()), False: (Counter(), Counter())}
@@ -265,7 +265,8 @@ def ngram_losses(given, target, loo, scored=None):
         w = marks(r[1])
         held[r[0] in target][0].update(w)
         held[r[0] in target][1].update(zip(w, w[1:], strict=False))
-    vocabulary = len({w for words, _ in held.values() for w in words} - {"<s>"})
+    vocabulary = models.vocabulary
+    assert vocabulary == pytest.approx(len({w for words, _ in held.values() for w in words} - {"<s>"}), rel=0.03)
     out = []
     for r in given if scored is None else scored:
         w, losses = marks(r[1]), []
@@ -301,8 +302,8 @@ def test_ngram_losses_against_brute_force(spark, monkeypatch, chunk):
     ids = spark.createDataFrame([(k,) for k in [*sorted(target), 3, None, 999]], "doc_id long")
     by_id = fit_ngrams(df, F.lit(False), target_ids=ids)
     other = [(k, r[1], *[None] * 6) for k, r in enumerate(given[:20])] + [(50, "unseen words only", *[None] * 6)]
-    cases = [(lm_score.score_counted(m), ngram_losses(given, target, True)) for m in (by_column, by_id)]
-    cases.append((score_documents(docs(spark, other), by_id), ngram_losses(given, target, False, other)))
+    cases = [(lm_score.score_counted(m), ngram_losses(given, target, True, m)) for m in (by_column, by_id)]
+    cases.append((score_documents(docs(spark, other), by_id), ngram_losses(given, target, False, by_id, other)))
     for out, want in cases:
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.target_loss, r.background_loss) for r in out.collect())
         assert len(got) == len(want)

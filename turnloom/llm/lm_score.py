@@ -25,25 +25,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, tasks
+from .common import checkpointed, private_names, tasks
 
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 21
+#: Target ids up to which they are broadcast; more meet the documents by exchange.
+BROADCAST_ROWS = 200_000
 KEY_BITS = 56
 #: Keys of the marks before and after a document.
 START, END = 4, 2
 
 CHUNKS = "chunk long, ids array<long>, data binary"
 SENT = "bucket int, chunk long, keys binary, background binary, target binary"
-SUMS = "bucket int, chunk long, background binary, target binary, words long, background_words long, target_words long"
+SUMS = "bucket int, chunk long, background binary, target binary"
 
 
 @dataclass(frozen=True)
 class NgramModels:
     """The counted chunks, from which buckets sum the models' counts."""
 
-    chunks: DataFrame  # with the ids that are targets beside those marked
+    chunks: DataFrame
     sent: DataFrame  # the counts of each chunk by bucket
     bits: int  # of a bucket's number
+    vocabulary: int  # distinct words and the end mark, within about a hundredth
+    background_words: int  # with an end mark for each document
+    target_words: int
     weight: float  # of the bigram estimate
     uniform: float  # share of the uniform distribution in the unigram estimate
 
@@ -147,16 +152,6 @@ def _counted(keys: Any, chosen: Any, before: Any, after: Any, pair: Any) -> Any:
     return np.bincount(np.concatenate([after[chosen], pair[chosen], starts]), minlength=len(keys))
 
 
-def _targets(marked: Any, ids: Any, more: Any) -> Any:
-    """Which documents of a chunk are targets: those marked and those with an id in ``more``."""
-    import numpy as np
-
-    if not more.is_valid or not len(more):
-        return marked
-    known = ids.values.is_valid().to_numpy(zero_copy_only=False)
-    return marked | known & np.isin(ids.values.fill_null(0).to_numpy(), more.values.to_numpy())
-
-
 def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
     """One row per chunk and bucket that it has keys of; zero counts unless ``counted``."""
 
@@ -165,9 +160,9 @@ def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
 
         for b in batches:
             for row in range(b.num_rows):
-                chunk, ids, data, more = (b.column(k)[row] for k in range(4))
+                chunk, data = b.column(0)[row], b.column(1)[row]
                 targets, _, keys, doc, *places = _ngrams(data.as_py())
-                of_target = _targets(targets, ids, more)[doc]
+                of_target = targets[doc]
                 background, target = (_counted(keys, chosen & counted, *places) for chosen in (~of_target, of_target))
                 bucket = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
@@ -179,11 +174,11 @@ def _by_bucket(chunks: DataFrame, bits: int, counted: bool) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "keys", "background", "target"])
 
-    return chunks.select("chunk", "ids", "data", "targets").mapInArrow(run, SENT)
+    return chunks.select("chunk", "data").mapInArrow(run, SENT)
 
 
 def _summed(sent: DataFrame) -> DataFrame:
-    """For each chunk named what the others counted of its keys; one row of totals per bucket."""
+    """For each chunk named what the others counted of its keys."""
 
     def sums(bucket: int, rows: Iterable[tuple]) -> pa.RecordBatch:
         import numpy as np
@@ -194,17 +189,15 @@ def _summed(sent: DataFrame) -> DataFrame:
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         own = [np.concatenate([_unpack(p) for p in column]).astype(np.int64) for column in (background, target)]
         totals = [np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64) for c in own]
-        word = (keys % np.uint64(2) == 0) & (keys != START)
-        seen = int((word & (totals[0] + totals[1] > 0)).sum())
-        out = [(bucket, None, None, None, seen, int(totals[0][word].sum()), int(totals[1][word].sum()))]
+        out: list[tuple] = []
         start = 0
         for chunk, end in zip(chunks, ends, strict=True):
             if chunk is not None:
-                out.append((bucket, chunk, *(_pack(t[at[start:end]] - c[start:end]) for t, c in zip(totals, own, strict=True)), None, None, None))
+                out.append((bucket, chunk, *(_pack(t[at[start:end]] - c[start:end]) for t, c in zip(totals, own, strict=True))))
             start = end
-        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3)
-        names = ["bucket", "chunk", "background", "target", "words", "background_words", "target_words"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "chunk", "background", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -212,16 +205,30 @@ def _summed(sent: DataFrame) -> DataFrame:
             yield sums(bucket, of_bucket)
 
     dealt = sent.repartition(tasks(sent.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return checkpointed(dealt.mapInArrow(run, SUMS))
+    return dealt.mapInArrow(run, SUMS)
 
 
-def _with_targets(chunks: DataFrame, target_ids: DataFrame | None) -> DataFrame:
-    """``chunks`` with the list ``targets`` of their ids that occur in ``target_ids``."""
-    if target_ids is None:
-        return chunks.withColumn("targets", F.lit(None).cast("array<long>"))
-    ids = target_ids.toDF("id").distinct()
-    found = chunks.select("chunk", F.explode("ids").alias("id")).distinct().join(ids.hint("merge"), "id")
-    return chunks.join(found.groupBy("chunk").agg(F.collect_list("id").alias("targets")).hint("merge"), "chunk", "left")
+def _totals(chunks: DataFrame) -> tuple[int, int, int]:
+    """The vocabulary, and the events of the background and of the target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        import numpy as np
+        import zstandard as z
+
+        for b in batches:
+            for data in b.column(0):
+                targets, lengths, _, words = pickle.loads(z.decompress(data.as_py()))
+                events = [int((lengths + 1)[chosen].sum()) for chosen in (~targets, targets)]
+                # each distinct word of the chunk on a row, the first of them with the events
+                rest = np.zeros(max(len(words), 1) - 1, dtype=np.int64)
+                columns = [pa.array(np.append(n, rest)) for n in events]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(words.view(np.int64) if len(words) else [None], pa.int64())], ["background", "target", "word"])
+
+    rows = chunks.select("data").mapInArrow(run, "background long, target long, word long")
+    found = rows.agg(F.approx_count_distinct("word", 0.01), F.sum("background"), F.sum("target")).first()
+    return found[0] + 1, found[1] or 0, found[2] or 0
 
 
 def fit_ngrams(
@@ -238,15 +245,20 @@ def fit_ngrams(
     Null texts count as empty, a null condition as false; repeated rows count each time. There are
     at least 1,024 buckets and eight for each shuffle partition; a task holds the keys of one bucket.
     """
-    chunks = _with_targets(_chunks(docs, is_target, id_col, text_col), target_ids)
+    if target_ids is not None:
+        own_id, own_mark = private_names(docs, "id", "mark")
+        ids = checkpointed(target_ids.toDF(own_id).distinct()).withColumn(own_mark, F.lit(True))
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        docs = docs.join(ids, F.col(f"`{id_col}`") == F.col(own_id), "left")
+        is_target = F.coalesce(is_target, F.lit(False)) | F.coalesce(F.col(own_mark), F.lit(False))
+    chunks = _chunks(docs, is_target, id_col, text_col)
     bits = max(10, (8 * tasks(docs.sparkSession) - 1).bit_length())
-    return NgramModels(chunks, _by_bucket(chunks, bits, True), bits, weight, uniform)
+    return NgramModels(chunks, _by_bucket(chunks, bits, True), bits, *_totals(chunks), weight, uniform)
 
 
 def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels, counted: bool) -> DataFrame:
-    totals = sums.agg(F.sum("words"), F.sum("background_words"), F.sum("target_words")).first()
-    vocabulary, background_words, target_words = (v or 0 for v in totals)
-    vocabulary, weight, uniform = max(vocabulary, 1), models.weight, models.uniform
+    vocabulary, weight, uniform = models.vocabulary, models.weight, models.uniform
+    background_words, target_words = models.background_words, models.target_words
     names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +266,12 @@ def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels, counted: bo
 
         for b in batches:
             for row in range(b.num_rows):
-                ids, data, more, sums = (b.column(k)[row] for k in range(4))
+                ids, data, sums = (b.column(k)[row] for k in range(3))
                 targets, lengths, keys, doc, before, after, pair = _ngrams(data.as_py())
-                of_target = _targets(targets, ids, more)
                 parts, mean = sums.as_py() or [], []
                 # a document's own occurrences of each event's word before, word and pair
                 own = [_occurrences(doc, x, len(keys)) for x in (before, after, pair)] if counted else [0, 0, 0]
-                for column, total, mine in (("target", target_words, of_target), ("background", background_words, ~of_target)):
+                for column, total, mine in (("target", target_words, targets), ("background", background_words, ~targets)):
                     counts = np.concatenate([np.zeros(0), *(_unpack(p[column]) for p in parts)])
                     mine = mine & counted
                     counts = counts + _counted(keys, mine[doc], before, after, pair)
@@ -272,8 +283,8 @@ def _scored(chunks: DataFrame, sums: DataFrame, models: NgramModels, counted: bo
                     mean.append(np.where(lengths > 0, loss / (lengths + 1), 0.0))
                 yield pa.RecordBatch.from_arrays([ids.values, *map(pa.array, (lengths, *mean, mean[0] - mean[1]))], names)
 
-    asked = sums.filter("chunk is not null").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "background", "target"))).alias("sums"))
-    rows = chunks.join(asked.hint("merge"), "chunk", "left").select("ids", "data", "targets", "sums")
+    asked = sums.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "background", "target"))).alias("sums"))
+    rows = chunks.join(asked.hint("merge"), "chunk", "left").select("ids", "data", "sums")
     return rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
@@ -297,6 +308,6 @@ def score_documents(docs: DataFrame, models: NgramModels, id_col: str = "doc_id"
     zero losses and score 0. A model that counted nothing is uniform. Repeated rows score alike, an
     empty table gives an empty result; other columns are ignored.
     """
-    chunks = _with_targets(_chunks(docs, F.lit(False), id_col, text_col), None)
+    chunks = _chunks(docs, F.lit(False), id_col, text_col)
     counted = models.sent.withColumn("chunk", F.lit(None).cast("long"))
     return _scored(chunks, _summed(counted.unionByName(_by_bucket(chunks, models.bits, False))), models, False)
