@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.operators.medication import ALIASES
 from turnloom.operators.validation import SECTIONS, validate
 
 
@@ -319,11 +320,15 @@ def damaged(cases: DataFrame, turns: DataFrame, names: list[str] | None = None,
     return made.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_mutation).drop("k")
 
 
-def detection_study(cases: DataFrame, turns: DataFrame, names: list[str] | None = None, per_mutation: int = 30) -> DataFrame:
-    """mutation, n, caught_error, caught_any, caught_expected: new findings against the undamaged case."""
-    base, _ = validate(cases.select(F.lit("base").alias("system"), "call_id", "summary"), turns)
+def detection_study(cases: DataFrame, turns: DataFrame, names: list[str] | None = None, per_mutation: int = 30, drugs: list[str] | None = None) -> DataFrame:
+    """mutation, n, caught_error, caught_any, caught_expected: new findings against the undamaged case.
+
+    ``drugs`` are the names that the rules on drugs and flags know; they default to the known brands and generics.
+    """
+    drugs = sorted({*ALIASES, *ALIASES.values()}) if drugs is None else drugs
+    base, _ = validate(cases.select(F.lit("base").alias("system"), "call_id", "summary"), turns, drugs)
     made = damaged(cases, turns, names, per_mutation)
-    found, _ = validate(made.select(F.col("mutation").alias("system"), "call_id", "summary"), turns)
+    found, _ = validate(made.select(F.col("mutation").alias("system"), "call_id", "summary"), turns, drugs)
     key = ["call_id", "rule", "path", "severity"]
     new = found.filter("severity IN ('WARN', 'ERROR')").join(base.select(*key).distinct(), key, "left_anti")
     expected = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for n, (_, r, _) in REGISTRY.items() for x in (n, r)))

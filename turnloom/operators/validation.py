@@ -235,10 +235,16 @@ def _flag_findings(s: DataFrame, turns: DataFrame, drugs: list[str]) -> DataFram
     return r.select(*KEYS, found.alias("findings"), counts.alias("counters"))
 
 
+# Words that say nothing about a negative finding.
+NEGATION_STOP_WORDS = (
+    "with", "from", "that", "this", "have", "does", "were", "been", "when", "than", "into", "over", "some", "more", "much", "very", "other", "while", "there", "their",
+)
+
+
 def _negation_findings(b: DataFrame) -> DataFrame:
     """V12: a negative finding whose whole name stands in the text without any negation."""
     facts = b.select(*KEYS, "path", "text", F.explode("facts").alias("f")).filter((F.col("f.type") == "pertinent_negative") | ((F.col("f.type") == "symptom") & (F.col("f.present") == "false")))
-    words = F.filter(F.split(T.normalize(F.coalesce("f.name", F.lit(""))), " "), lambda w: (F.length(w) >= 4) & ~w.isin(*T.STOP_WORDS))
+    words = F.filter(F.split(T.normalize(F.coalesce("f.name", F.lit(""))), " "), lambda w: (F.length(w) >= 4) & ~w.isin(*NEGATION_STOP_WORDS))
     rows = facts.withColumn("stems", F.transform(words, T.stem))
     named = (F.size("stems") > 0) & F.forall("stems", lambda s: F.rlike(F.col("text"), F.concat(F.lit(r"(?i)\b"), s)))
     rest = F.aggregate("stems", F.col("text"), lambda t, s: F.regexp_replace(t, F.concat(F.lit("(?i)"), s, F.lit(r"\w*")), F.lit(" ")))
