@@ -18,6 +18,7 @@ from turnloom.functions import cues as C
 from turnloom.functions import text as T
 from turnloom.functions.fuzzy import best_ratio_udf, window_ratio_udf
 from turnloom.functions.spoken import number_candidates_udf
+from turnloom.operators.identity import identity_findings
 from turnloom.operators.relational import id_window, texts_of
 from turnloom.operators.risk import ESCALATION, SUICIDAL, clinical_score, first_flags, risk_scan
 
@@ -287,13 +288,15 @@ def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = N
     """
     s = parsed(summaries)
     whole = s.filter(F.col("keys").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), "keys")) == 0))
-    b = _prepared(bullets(whole), call_context(turns))
+    context = call_context(turns)
+    b = _prepared(bullets(whole), context)
     (found, counts), (more, sums) = _bullet_rules(), _term_rules()
     found, counts = found + more, counts + sums
     rows = b.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
     said = rows.unionByName(_negation_findings(b)).unionByName(_summary_rules(s))
     if drugs is not None:
         said = said.unionByName(_drug_findings(b, drugs)).unionByName(_flag_findings(whole, turns, drugs))
-    findings = said.select(*KEYS, F.explode("findings").alias("f")).select(*KEYS, "f.*")
-    counters = said.select(*KEYS, F.explode("counters").alias("c")).groupBy(*KEYS, "c.name").agg(F.sum("c.ok").alias("ok"), F.sum("c.total").alias("total"))
-    return findings, counters
+    identity, supported = identity_findings(whole, context)
+    findings = said.select(*KEYS, F.explode("findings").alias("f")).select(*KEYS, "f.*").unionByName(identity)
+    counters = said.select(*KEYS, F.explode("counters").alias("c")).select(*KEYS, "c.*").unionByName(supported)
+    return findings, counters.groupBy(*KEYS, "name").agg(F.sum("ok").alias("ok"), F.sum("total").alias("total"))
