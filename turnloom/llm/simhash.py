@@ -38,8 +38,8 @@ BLOCK_WORDS = 1 << 16
 SKETCH = 1 << 19
 SKETCH_SLICES = 64
 _PARITY = ("p0", "p1", "p2", "p3")
-#: Rows of a key list up to which it is broadcast; more are joined by exchange.
-BROADCAST_ROWS = 200_000
+#: Rows of a key list (at most 40 bytes each) up to which it is broadcast; more are joined by exchange.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,8 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, profile: Profile, text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text_key(text_col), _text(text_col).alias("text"))
-    asked = wanted.select(F.col("key").alias("asked"), "first_id", "node")
+    # few of the texts are wanted: a short list goes to them, a long one makes them travel
+    asked = _small(checkpointed(wanted.select(F.col("key").alias("asked"), "first_id", "node")))
     found = texts.join(asked, (F.col("key") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     return checkpointed(found.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
 
