@@ -80,7 +80,7 @@ def fit_quality(
     labels: DataFrame,
     allowed: Column,
     rows_per_class: int = 1600,
-    chars_per_class: int = 1600 << 14,
+    chars_per_class: int = 1600 << 12,
     dict_bytes: int = 112_640,
     id_col: str = "doc_id",
     text_col: str = "text",
