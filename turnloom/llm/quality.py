@@ -89,8 +89,8 @@ def fit_quality(
 
     Of each label, ``rows_per_class`` documents in the order of their ids' hash, whatever their
     length, among those for which ``allowed`` holds; from where they exceed ``chars_per_class``
-    characters together, those are passed over that do not fit. So the driver holds at most
-    ``2 * chars_per_class`` characters. Every other document of the sample builds the dictionaries,
+    characters together, those are passed over that do not fit. So the task that fits holds at most
+    ``2 * chars_per_class`` characters, and the driver their ids. Every other document of the sample builds the dictionaries,
     the rest calibrates. Rows with a null id, text or label are not used, and of repeated rows one;
     an id with both labels stands in both samples; other columns are ignored. Without rows of both
     labels every score is 0.5 or the share of good rows.
@@ -110,15 +110,29 @@ def fit_quality(
     ids = sorted({*picked[0], *picked[1]})
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids or [None]], "id long")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), allowed.alias("allowed")).filter("allowed and text is not null")
-    found = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()
-    by_id = {r.id: r.text.encode("utf-8", "replace") for r in found}
-    texts = {q: [by_id[i] for i in picked[q]] for q in (0, 1)}
-    dicts = {q: _dictionary(texts[q][::2], dict_bytes) for q in (0, 1)}
-    sizes = _Sizes(dicts[1], dicts[0])
-    y = [q for q in (0, 1) for _ in texts[q][1::2]]
-    x = [sizes(t) for q in (0, 1) for t in texts[q][1::2]]
-    weights = _logistic(x, y) if len(set(y)) == 2 else (0.0,) * 6
-    return QualityModel(dicts[1], dicts[0], weights)
+    found = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return _fitted(found, picked, dict_bytes)
+
+
+def _fitted(found: DataFrame, picked: dict[int, list[int]], dict_bytes: int) -> QualityModel:
+    """The model of the sample's texts (``id``, ``text``), built in one task: the sample is bounded, and the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id: dict[int, bytes] = {}
+        for b in batches:
+            by_id.update(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True))
+        texts = {q: [by_id[i] for i in picked[q]] for q in (0, 1)}
+        dicts = {q: _dictionary(texts[q][::2], dict_bytes) for q in (0, 1)}
+        sizes = _Sizes(dicts[1], dicts[0])
+        y = [q for q in (0, 1) for _ in texts[q][1::2]]
+        x = [sizes(t) for q in (0, 1) for t in texts[q][1::2]]
+        weights = _logistic(x, y) if len(set(y)) == 2 else (0.0,) * 6
+        yield pa.RecordBatch.from_arrays([pa.array([dicts[1]]), pa.array([dicts[0]]), pa.array([weights], pa.list_(pa.float64()))], ["good", "bad", "weights"])
+
+    model = found.repartition(1).mapInArrow(run, "good binary, bad binary, weights array<double>").first()
+    if model is None:  # no rows, so no task
+        return QualityModel(b"\n", b"\n", (0.0,) * 6)
+    return QualityModel(bytes(model.good), bytes(model.bad), tuple(model.weights))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
