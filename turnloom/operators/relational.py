@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import char_grams
+
 
 def turn_windows(turns: DataFrame, keys: list[str], order: str, first: int, last: int, text: str, name: str) -> DataFrame:
     """``name``: the texts of the frame from ``first`` to ``last`` rows around each row, joined by blanks."""
@@ -61,20 +63,76 @@ def anti_both_ways(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.unionByName(right).select("side", "missing")
 
 
+#: Rows up to which a side is broadcast; a larger one is exchanged.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``BROADCAST_ROWS`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def gram_jaccard(a: DataFrame, b: DataFrame, a_id: str, b_id: str, grams: str, threshold: float) -> DataFrame:
-    """(a_id, b_id, jaccard) of pairs at or above ``threshold``: an inverted index over distinct grams.
+    """(a_id, b_id, jaccard) of pairs at or above ``threshold``: a prefix-filtered index over distinct grams.
 
-    Pairs come only from shared grams; the sets' sizes and the number of shared grams give the exact
-    value. Rows without grams meet nothing.
+    Grams are ordered by how many rows of ``a`` have them. Sets of n grams at similarity t share one
+    among the first n - ceil(t n) + 1 of each in that order, so only those are met; a set of ``b``
+    with fewer than t n grams known to ``a`` meets nothing, nor do sets whose sizes differ by more
+    than the factor t. Candidates are verified by the whole sets. Rows without grams meet nothing;
+    ids are distinct on each side.
+    """
+    def need(n: Column) -> Column:
+        return F.ceil(n * threshold - 1e-9)
+
+    distinct = F.explode(F.array(F.array_distinct(grams))).alias("g")  # a generator, so that filters do not repeat the expression
+    x = a.select(F.col(a_id).alias("i"), distinct).withColumn("na", F.size("g")).filter("na > 0")
+    y = b.select(F.col(b_id).alias("j"), distinct).withColumn("nb", F.size("g")).filter("nb > 0")
+    if threshold > 0:
+        longest = x.agg(F.max("na")).first()[0] or 0
+        y = y.filter(F.col("nb") * threshold <= longest + 1e-9)
+    own = x.select("i", "na", F.explode("g").alias("gram"))
+    known = small(own.groupBy("gram").agg(F.count(F.lit(1)).alias("f")))
+
+    def first_grams(rows: DataFrame, key: str, size: str) -> DataFrame:
+        """Of each row its grams known to ``a``, in order, and the first of them that may have to be shared."""
+        sets = rows.join(known, "gram").groupBy(key, size).agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("s"))
+        sets = sets.filter(F.size("s") >= need(F.col(size)))
+        return sets.select(key, size, F.col("s.gram").alias("all"), F.slice("s.gram", 1, (F.size("s") - F.greatest(need(F.col(size)), F.lit(1)) + 1).cast("int")).alias("first"))
+
+    left, right = first_grams(own, "i", "na"), first_grams(y.select("j", "nb", F.explode("g").alias("gram")), "j", "nb")
+    met = right.select("j", "nb", F.explode("first").alias("gram")).join(small(left.select("i", "na", F.explode("first").alias("gram"))), "gram")
+    fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
+    pairs = met.filter(fits).select("i", "j").distinct()
+    whole = pairs.join(right.select("j", "nb", F.col("all").alias("y")), "j").join(small(left.select("i", "na", F.col("all").alias("x"))), "i")
+    shared = whole.select("i", "j", "na", "nb", F.size(F.array_intersect("x", "y")).alias("m"))
+    jaccard = F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))
+    return shared.select(F.col("i").alias(a_id), F.col("j").alias(b_id), jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """(doc_id, item_id) of the items whose text stands in a document's text, by equal keys and a whole check.
+
+    Between two blanks an item's words are words of the document too: the longest run of three of
+    them is its key, met by the runs of three of each document. Items without three such words (few)
+    are met by their first characters, 24 or as many as they have, at each position of a document.
+    Null texts hold and match nothing, an empty text stands in every document; ids are distinct.
     """
-    def exploded(df: DataFrame, key: str, size: str) -> DataFrame:
-        distinct = df.select(key, F.array_distinct(grams).alias("g"))
-        return distinct.select(key, F.size("g").alias(size), F.explode("g").alias("gram"))
-
-    x, y = exploded(a, a_id, "na"), exploded(b, b_id, "nb")
-    # only grams that the first side has can meet
-    shared = y.join(x, "gram").groupBy(a_id, b_id, "na", "nb").agg(F.count(F.lit(1)).alias("m"))
-    return shared.withColumn("jaccard", F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))).filter(F.col("jaccard") >= threshold).select(a_id, b_id, "jaccard")
+    def runs(words: Column) -> Column:  # a generator binds the words for the lambda
+        return F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1), F.get(words, k + 2)))
+
+    words = F.explode(F.array(F.split(text, " ", -1))).alias("w")
+    x = items.filter(F.col(text).isNotNull()).select(item_id, F.col(text).alias("item"), words)
+    inner = F.slice(runs(F.col("w")), F.lit(2), F.size("w") - 4)
+    longest = F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("key"))))
+    keyed = x.filter("size(w) >= 5").select(item_id, longest["key"].alias("key"))
+    known = docs.select(doc_id, words).filter("size(w) >= 3").select(doc_id, F.explode(F.array_distinct(runs(F.col("w")))).alias("key"))
+    found = known.join(small(keyed), "key").select(doc_id, item_id)
+    rest = x.filter("size(w) < 5").select(item_id, F.left("item", F.lit(24)).alias("key")).withColumn("n", F.length("key"))
+    for (n,) in rest.select("n").distinct().collect():  # at most 25 lengths
+        at = docs.select(doc_id, F.explode(F.array_distinct(char_grams(F.col(text), n))).alias("key"))
+        found = found.unionByName(at.join(small(rest.filter(F.col("n") == n)), "key").select(doc_id, item_id))
+    whole = docs.join(found.distinct(), doc_id).join(small(x.select(item_id, "item")), item_id)
+    return whole.filter(F.col(text).contains(F.col("item"))).select(doc_id, item_id)
 
 
 def counter_rollup(counters: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,24 +79,8 @@ def band_join_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text: met by a shared 24-character start, then checked whole.
-
-    A text that stands in a document begins at one of its positions, so positions are the join key;
-    the benchmark side is small and its starts are sent to the documents.
-    """
-    n = 24
-    b = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.col("text").alias("item"), F.left("text", F.lit(n)).alias("head"))
-    heads = [r.head for r in b.select("head").distinct().filter(F.length("head") == n).orderBy("head").limit(20_001).collect()]
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    if len(heads) > 20_000:
-        met = d.select("doc_id", F.explode_outer(F.array_distinct(T.char_grams(F.col("text"), n))).alias("head")).join(b.select("head", "item_id"), "head").select("doc_id", "item_id")
-    else:  # bounded: every start is tested on each document
-        known = F.broadcast(b)
-        hit = known.filter(F.length("head") == n)
-        met = d.join(hit, F.col("text").contains(F.col("head"))).select("doc_id", "item_id")
-    short = d.join(F.broadcast(b.filter(F.length("head") < n)), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
-    full = met.distinct().join(d, "doc_id").join(b.select("item_id", "item"), "item_id").filter(F.col("text").contains(F.col("item")))
-    return full.select("doc_id", "item_id").unionByName(short)
+    """Documents that hold a benchmark text."""
+    return R.containing(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id", "text")
 
 
 _DICT = ("the", "and", "of", "que", "die", "der", "la", "le", "in", "on", "er", "en", "th", "re", "with", "for", "von", "des", "del", "un")
@@ -131,7 +115,7 @@ SELECT s.i AS {p}, s.j AS {q}, round(m / (na.n + nb.n - m), 9) AS jaccard FROM s
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "benchmark").select("item_id", T.char_grams(T.normalize(F.col("text"))).alias("grams"))
     b = table(spark, sf_dir, "documents").select("doc_id", T.char_grams(T.normalize(F.col("text"))).alias("grams"))
-    return R.gram_jaccard(F.broadcast(a), b, "item_id", "doc_id", "grams", 0.2).withColumn("jaccard", F.round("jaccard", 9))
+    return R.gram_jaccard(a, b, "item_id", "doc_id", "grams", 0.2).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(_JACCARD.format(a=_gram_sql("benchmark", "item_id"), b=_gram_sql("benchmark", "item_id"), x="item_id", y="item_id", p="a_id", q="b_id", w="s.i < s.j") + " ORDER BY jaccard DESC, a_id DESC, b_id DESC LIMIT 5")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
@@ -47,21 +47,33 @@ FROM k
 """
 )
 def grounding_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sentence as a quote of its own turn, and looked for in the conversation's other turns."""
-    t = turns(spark, sf_dir).withColumn("words", T.normalize(F.col("text")))
-    quotes = t.select("conv_id", "turn_id", "role", "words", F.explode(T.sentences(F.col("text"))).alias("s"))
-    quotes = quotes.withColumn("quote", T.normalize(F.col("s"))).withColumn("cited", T.padded_contains(F.col("words"), F.col("quote")))
-    quotes = quotes.select("conv_id", "turn_id", "role", "quote", "cited", F.monotonically_increasing_id().alias("quote_id"))
+    """Each sentence as a quote of its own turn, and looked for in the conversation's other turns.
+
+    Quotes of one conversation that are alike are looked for once. A quote meets the turns that have
+    its first three words (or all it has) in this order; the whole of it is checked on those.
+    """
+    t = turns(spark, sf_dir).select("conv_id", "turn_id", "role", T.normalize(F.col("text")).alias("words"), F.transform(T.sentences(F.col("text")), T.normalize).alias("quotes"))
+    quotes = t.select("conv_id", "turn_id", "role", "words", F.explode("quotes").alias("quote"))
+    quotes = quotes.select("conv_id", "turn_id", "role", "quote", T.padded_contains(F.col("words"), F.col("quote")).alias("cited"))
+    counted = quotes.groupBy("conv_id", "turn_id", "role", "quote", "cited").agg(F.count(F.lit(1)).alias("n"))
+    asked = counted.filter("quote != ''").select("conv_id", "turn_id", "quote", F.array_join(F.slice(F.split("quote", " "), 1, 3), " ").alias("key"))
+
+    def starts(w: Column) -> Column:
+        return F.flatten(F.transform(w, lambda x, k: F.array(x, F.concat_ws(" ", x, F.get(w, k + 1)), F.concat_ws(" ", x, F.get(w, k + 1), F.get(w, k + 2)))))
+
+    split = t.select("conv_id", F.col("turn_id").alias("other_id"), F.explode(F.array(F.split("words", " "))).alias("w"))  # binds the words for the lambda
+    keys = split.select("conv_id", "other_id", F.explode(F.array_distinct(starts(F.col("w")))).alias("key"))
+    met = asked.join(keys, ["conv_id", "key"]).filter("turn_id != other_id").select("conv_id", "turn_id", "quote", "other_id")
     other = t.select("conv_id", F.col("turn_id").alias("other_id"), F.col("words").alias("other"))
-    hit = quotes.join(other, "conv_id").filter((F.col("turn_id") != F.col("other_id")) & T.padded_contains(F.col("other"), F.col("quote")))
-    found = hit.select("quote_id").distinct().withColumn("hit", F.lit(True))
-    marked = quotes.join(found, "quote_id", "left")
+    hit = met.join(other, ["conv_id", "other_id"]).filter(T.padded_contains(F.col("other"), F.col("quote")))
+    found = hit.select("conv_id", "turn_id", "quote").distinct().withColumn("hit", F.lit(True))
+    marked = counted.join(found, ["conv_id", "turn_id", "quote"], "left")
     cells = F.array(
         F.struct(F.lit("exact_in_cited").alias("name"), F.col("cited").alias("ok")),
         F.struct(F.lit("found_elsewhere").alias("name"), F.coalesce("hit", F.lit(False)).alias("ok")),
     )
-    long = marked.select("role", F.explode(cells).alias("c")).groupBy("role", "c.name")
-    sums = long.agg(F.count_if(F.col("c.ok")).alias("ok"), F.count(F.lit(1)).alias("total"))
+    long = marked.select("role", "n", F.explode(cells).alias("c")).groupBy("role", "c.name")
+    sums = long.agg(F.sum(F.when(F.col("c.ok"), F.col("n")).otherwise(0)).alias("ok"), F.sum("n").alias("total"))
     return sums.select("role", "name", "ok", "total", ratio_pct(F.col("ok"), F.col("total")).alias("value"), wilson_low(F.col("ok"), F.col("total")).alias("ci_low"))
 
 
