@@ -73,38 +73,22 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def gram_jaccard(a: DataFrame, b: DataFrame, a_id: str, b_id: str, grams: str, threshold: float) -> DataFrame:
-    """(a_id, b_id, jaccard) of pairs at or above ``threshold``: a prefix-filtered index over distinct grams.
+    """(a_id, b_id, jaccard) of pairs at or above ``threshold``: an inverted index over distinct grams with a size filter.
 
-    Grams are ordered by how many rows of ``a`` have them. Sets of n grams at similarity t share one
-    among the first n - ceil(t n) + 1 of each in that order, so only those are met; a set of ``b``
-    with fewer than t n grams known to ``a`` meets nothing, nor do sets whose sizes differ by more
-    than the factor t. Candidates are verified by the whole sets. Rows without grams meet nothing;
-    ids are distinct on each side.
+    Sets whose sizes differ by more than the factor ``threshold`` cannot reach it: rows of ``b`` that fit
+    no row of ``a`` are left out before their grams are made rows, other pairs before they are counted.
+    The sets' sizes and the number of shared grams give the exact value. Rows without grams meet nothing.
     """
-    def need(n: Column) -> Column:
-        return F.ceil(n * threshold - 1e-9)
-
     distinct = F.explode(F.array(F.array_distinct(grams))).alias("g")  # a generator, so that filters do not repeat the expression
-    x = a.select(F.col(a_id).alias("i"), distinct).withColumn("na", F.size("g")).filter("na > 0")
-    y = b.select(F.col(b_id).alias("j"), distinct).withColumn("nb", F.size("g")).filter("nb > 0")
+    x = a.select(F.col(a_id).alias("i"), distinct).withColumn("na", F.size("g"))
+    y = b.select(F.col(b_id).alias("j"), distinct).withColumn("nb", F.size("g"))
     if threshold > 0:
         longest = x.agg(F.max("na")).first()[0] or 0
         y = y.filter(F.col("nb") * threshold <= longest + 1e-9)
-    own = x.select("i", "na", F.explode("g").alias("gram"))
-    known = small(own.groupBy("gram").agg(F.count(F.lit(1)).alias("f")))
-
-    def first_grams(rows: DataFrame, key: str, size: str) -> DataFrame:
-        """Of each row its grams known to ``a``, in order, and the first of them that may have to be shared."""
-        sets = rows.join(known, "gram").groupBy(key, size).agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("s"))
-        sets = sets.filter(F.size("s") >= need(F.col(size)))
-        return sets.select(key, size, F.col("s.gram").alias("all"), F.slice("s.gram", 1, (F.size("s") - F.greatest(need(F.col(size)), F.lit(1)) + 1).cast("int")).alias("first"))
-
-    left, right = first_grams(own, "i", "na"), first_grams(y.select("j", "nb", F.explode("g").alias("gram")), "j", "nb")
-    met = right.select("j", "nb", F.explode("first").alias("gram")).join(small(left.select("i", "na", F.explode("first").alias("gram"))), "gram")
-    fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    pairs = met.filter(fits).select("i", "j").distinct()
-    whole = pairs.join(right.select("j", "nb", F.col("all").alias("y")), "j").join(small(left.select("i", "na", F.col("all").alias("x"))), "i")
-    shared = whole.select("i", "j", "na", "nb", F.size(F.array_intersect("x", "y")).alias("m"))
+    own = small(x.select("i", "na", F.explode("g").alias("gram")))
+    met = y.select("j", "nb", F.explode("g").alias("gram")).join(own, "gram")
+    fits = (F.col("nb") * threshold <= F.col("na") + 1e-9) & (F.col("na") * threshold <= F.col("nb") + 1e-9)
+    shared = met.filter(fits).groupBy("i", "j", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
     jaccard = F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))
     return shared.select(F.col("i").alias(a_id), F.col("j").alias(b_id), jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
