@@ -31,11 +31,11 @@ def test_registry():
 @pytest.mark.skipif(not os.path.isdir(CALLS), reason="the authored calls are not here")
 def test_detection(spark):
     pytest.importorskip("yaml")
-    from turnloom.sources.transcripts import authored_calls, strict_turns
+    from turnloom.sources.transcripts import authored_calls, strict_turns, target_summary
 
     calls = authored_calls(spark, CALLS, "val").select("call_id", "gold", "transcript").cache()
     names = ["truncated_json", "missing_section", "turn_out_of_range", "quote_from_other_turn", "number_changed_in_text", "status_flipped_to_done", "negative_flipped", "bullet_duplicated", "bullet_text_emptied", "bullet_removed"]
-    got = {r.mutation: r for r in detection_study(calls.select("call_id", F.col("gold").alias("summary")), strict_turns(calls), names, 12).collect()}
+    got = {r.mutation: r for r in detection_study(calls.select("call_id", target_summary(F.col("gold")).alias("summary")), strict_turns(calls), names, 12).collect()}
     rate = {k: r.caught_any / r.n for k, r in got.items()}
     for name in ("truncated_json", "missing_section", "turn_out_of_range", "bullet_text_emptied", "bullet_duplicated"):
         assert rate[name] == 1.0, name

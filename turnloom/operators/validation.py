@@ -21,6 +21,7 @@ from turnloom.functions.spoken import number_candidates_udf
 from turnloom.operators.identity import identity_findings
 from turnloom.operators.relational import id_window, texts_of
 from turnloom.operators.risk import ESCALATION, SUICIDAL, clinical_score, first_flags, risk_scan
+from turnloom.operators.schema_check import schema_errors, summary_nodes
 
 RADIUS = 2
 REPAIRABLE = 0.9
@@ -37,7 +38,6 @@ SUMMARY = (
     + ", ".join(f"{s} array<struct<{BULLET}>>" for s in SECTIONS)
     + ", risk_flags array<struct<category: string, turns: array<int>, quote: string>>"
 )
-REQUIRED = ("not_applicable", "identity", "assessment", "response", "education", "risk_flags")
 KEYS = ("system", "call_id")
 
 
@@ -65,17 +65,16 @@ def call_context(turns: DataFrame) -> DataFrame:
 def parsed(summaries: DataFrame, text_col: str = "summary") -> DataFrame:
     """system, call_id, raw, parsed: JSON summaries; a text that is no object is null."""
     whole = F.when(F.try_parse_json(text_col).isNotNull() & F.json_object_keys(text_col).isNotNull(), F.col(text_col))
-    return summaries.select(*KEYS, F.col(text_col).alias("raw"), F.from_json(whole, SUMMARY).alias("s"), F.json_object_keys(whole).alias("keys"))
+    rows = summaries.select(*KEYS, F.col(text_col).alias("raw"), F.from_json(whole, SUMMARY).alias("s"), F.json_object_keys(whole).alias("keys"))
+    return summary_nodes(rows).withColumn("errors", schema_errors(F.col("nodes"))).drop("nodes")
 
 
 def bullets(summaries: DataFrame) -> DataFrame:
     """system, call_id, section, ord, path and the bullet's fields; the chief complaint comes first."""
-    head = summaries.filter("s.chief_complaint is not null").select(*KEYS, F.lit("chief_complaint").alias("section"), F.lit(0).alias("ord"), F.lit("chief_complaint").alias("path"), F.col("s.chief_complaint").alias("b"))
-    parts = [head]
-    for s in SECTIONS:
-        rows = summaries.select(*KEYS, F.lit(s).alias("section"), F.posexplode(f"s.{s}").alias("ord", "b"))
-        parts.append(rows.select(*KEYS, "section", "ord", F.concat(F.lit(f"{s}["), "ord", F.lit("]")).alias("path"), "b"))
-    rows = reduce(DataFrame.unionByName, parts)
+    one = lambda section, k, path, b: F.struct(F.lit(section).alias("section"), k.alias("ord"), path.alias("path"), b.alias("b"))
+    head = F.filter(F.array(one("chief_complaint", F.lit(0), F.lit("chief_complaint"), F.col("s.chief_complaint"))), lambda x: x["b"].isNotNull())
+    parts = [F.transform(F.col(f"s.{s}"), lambda b, i, s=s: one(s, i, F.concat(F.lit(f"{s}["), i, F.lit("]")), b)) for s in SECTIONS]
+    rows = summaries.select(*KEYS, F.explode(F.concat(head, *(F.coalesce(p, F.slice(head, 1, 0)) for p in parts))).alias("x")).select(*KEYS, "x.*")
     said = F.when(F.col("section") == "chief_complaint", F.col("b.reason")).otherwise(F.col("b.text"))
     return rows.select(*KEYS, "section", "ord", "path", F.coalesce(said, F.lit("")).alias("text"), "b.speaker", F.coalesce("b.turns", F.array().cast("array<int>")).alias("ids"), F.coalesce("b.quote", F.lit("")).alias("quote"), "b.explanation", F.coalesce("b.facts", F.array().cast(f"array<struct<{FACT}>>")).alias("facts"))
 
@@ -90,27 +89,66 @@ def _prepared(rows: DataFrame, context: DataFrame) -> DataFrame:
     b = b.withColumn("ratio", close).withColumn("window_numbers", number_candidates_udf(texts_of(F.col("window"), F.col("texts"))))
     stated = F.flatten(F.transform("facts", lambda f: F.array(*(T.numbers_in(F.coalesce(f[k], F.lit(""))) for k in NUMBER_FIELDS))))
     b = b.withColumn("numbers", F.concat(T.numbers_in(F.col("text")), F.flatten(stated)))
+    b = b.withColumn("cues", _status_cues())
     again = Window.partitionBy(*KEYS, T.normalize(F.col("text")), "plain_quote").orderBy("section_no", "ord")
     order = F.array_position(F.array(*(F.lit(s) for s in ("chief_complaint", *SECTIONS))), F.col("section"))
     return b.withColumn("section_no", order).withColumn("copy", F.row_number().over(again))
 
 
+def _turn_rule() -> tuple[Column, Column]:
+    """V3: the cited turns are there."""
+    inside = (F.size("ids") > 0) & F.forall("ids", lambda i: (i >= 1) & (i <= F.col("n")))
+    found = _finding(~inside, "V3", "ERROR", F.concat("path", F.lit(".turns")), "cited turns are empty or outside the call")
+    return found, _counter("turns_valid", inside)
+
+
+def _status_cues() -> Column:
+    """What the wording of a bullet and of its evidence says of an action, once for all its facts."""
+    text, quote = F.col("text"), F.col("quote")
+    evidence = F.concat_ws(" ", quote, F.col("cited_text"))
+    return F.struct(
+        (C.says(evidence, C.COMPLETION) | C.says(evidence, C.NOW_PROGRESS)).alias("evidenced"),
+        C.says(text, C.PLANNED_TEXT).alias("worded_planned"),
+        C.says(text, C.DONE_TEXT).alias("worded_done"),
+        (C.says(quote, C.COMPLETION) & ~C.says(quote, C.NOW_PROGRESS) & ~C.says(quote, C.FUTURE)).alias("only_done"),
+    )
+
+
+def _status_findings() -> Column:
+    """V10: for each action fact of a bullet the array of what is wrong with its status, empty if nothing is."""
+    cues, path = F.col("cues"), F.col("path")
+
+    def of_fact(f: Column) -> Column:
+        f, i = f["f"], f["i"]
+        done, planned = f["status"] == "completed", f["status"] == "planned"
+        at = F.concat(path, F.lit(".facts["), i, F.lit("].status"))
+        return F.concat(
+            _finding(done & cues["worded_planned"], "V10", "ERROR", F.concat(path, F.lit(".text")), "status is completed but the text is worded as planned"),
+            _finding(done & ~cues["worded_planned"] & ~cues["evidenced"], "V10", "ERROR", at, "completed without a completion cue"),
+            _finding(planned & cues["worded_done"], "V10", "ERROR", F.concat(path, F.lit(".text")), "status is planned but the text is worded as done"),
+            _finding(planned & ~cues["worded_done"] & cues["only_done"], "V10", "ERROR", at, "planned but the nurse says it is done"),
+        )
+
+    numbered = F.transform("facts", lambda f, i: F.struct(i.alias("i"), f.alias("f")))
+    return F.transform(F.filter(numbered, lambda f: f["f"]["type"] == "action"), of_fact)
+
+
 def _bullet_rules() -> tuple[list[Column], list[Column]]:
     """Findings and counters of the rules on one bullet."""
     path, quote, text = F.col("path"), F.col("quote"), F.col("text")
     at = lambda end: F.concat(path, F.lit(end))
-    inside = (F.size("ids") > 0) & F.forall("ids", lambda i: (i >= 1) & (i <= F.col("n")))
     blank = F.trim(quote) == ""
     valid = ~blank & (F.col("exact") | (F.col("ratio") >= REPAIRABLE))
+    turns_found, turns_counted = _turn_rule()
     elsewhere = F.exists("norms", lambda x: T.padded_contains(x, F.col("plain_quote")))
     found: list[Column] = [
-        _finding(~inside, "V3", "ERROR", at(".turns"), "cited turns are empty or outside the call"),
+        turns_found,
         _finding(blank, "V4", "ERROR", at(".quote"), "empty quote"),
         _finding(valid & ~F.col("exact"), "V4", "WARN", at(".quote"), "quote differs slightly from the cited turns"),
         _finding(~blank & ~valid & elsewhere, "V4", "ERROR", at(".quote"), "quote is in other turns than those cited"),
         _finding(~blank & ~valid & ~elsewhere, "V4", "ERROR", at(".quote"), "quote not found in the call"),
     ]
-    counts = [_counter("turns_valid", inside), _counter("quote_exact", F.col("exact") & ~blank), _counter("quote_valid", valid)]
+    counts = [turns_counted, _counter("quote_exact", F.col("exact") & ~blank), _counter("quote_valid", valid)]
 
     good = F.filter("ids", lambda i: (i >= 1) & (i <= F.col("n")))
     holders = F.filter(good, lambda i: T.padded_contains(F.element_at("norms", i), F.col("plain_quote")))
@@ -127,21 +165,9 @@ def _bullet_rules() -> tuple[list[Column], list[Column]]:
     tally = lambda name, test: F.transform("numbers", lambda x: F.struct(F.lit(name).alias("name"), F.coalesce(test(x), F.lit(False)).cast("long").alias("ok"), F.lit(1).cast("long").alias("total")))
     counts += [tally("numbers_in_window", in_window), tally("numbers_in_call", in_call)]
 
-    evidence = F.concat_ws(" ", quote, F.col("cited_text"))
-    done, now = C.says(evidence, C.COMPLETION), C.says(evidence, C.NOW_PROGRESS)
-    action = (F.col("speaker") == "Nurse") & F.exists("facts", lambda f: f["type"] == "action")
-    completed = action & F.exists("facts", lambda f: (f["type"] == "action") & (f["status"] == "completed"))
-    planned = action & F.exists("facts", lambda f: (f["type"] == "action") & (f["status"] == "planned"))
-    worded_planned, worded_done = C.says(text, C.PLANNED_TEXT), C.says(text, C.DONE_TEXT)
-    only_done = C.says(quote, C.COMPLETION) & ~C.says(quote, C.NOW_PROGRESS) & ~C.says(quote, C.FUTURE)
-    wrong = [
-        (completed & worded_planned, ".text", "status is completed but the text is worded as planned"),
-        (completed & ~worded_planned & ~(done | now), ".status", "completed without a completion cue"),
-        (planned & worded_done, ".text", "status is planned but the text is worded as done"),
-        (planned & ~worded_done & only_done, ".status", "planned but the nurse says it is done"),
-    ]
-    found += [_finding(w, "V10", "ERROR", at(end), msg) for w, end, msg in wrong]
-    counts.append(_counter("status_consistent", ~reduce(lambda a, b: a | b, (w for w, _, _ in wrong)), action))
+    wrong = F.when(F.col("speaker") == "Nurse", _status_findings()).otherwise(F.slice(_status_findings(), 1, 0))
+    found.append(F.flatten(wrong))
+    counts.append(F.transform(wrong, lambda w: F.struct(F.lit("status_consistent").alias("name"), (F.size(w) == 0).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))))
 
     told = (F.col("section") != "chief_complaint") & (F.col("speaker") == "Caller") & (F.size("facts") > 0)
     hedged = C.says(quote, C.HEDGE)
@@ -257,7 +283,6 @@ def _negation_findings(b: DataFrame) -> DataFrame:
 def _summary_rules(s: DataFrame) -> DataFrame:
     """V1 and V2: the summary as a whole."""
     good, root = F.col("s").isNotNull() & F.col("keys").isNotNull(), F.lit("$")
-    missing = F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce("keys", F.array().cast("array<string>")))
     na = F.coalesce(F.col("s.not_applicable.is_na"), F.lit(False))
     reason = F.coalesce(F.col("s.not_applicable.reason"), F.lit("")) != ""
     full = reduce(lambda a, b: a | b, (F.coalesce(F.size(f"s.{x}"), F.lit(0)) > 0 for x in SECTIONS))
@@ -265,7 +290,7 @@ def _summary_rules(s: DataFrame) -> DataFrame:
     chief = F.col("s.chief_complaint").isNotNull()
     found = [
         _finding(~good, "V1", "ERROR", root, "output is not valid JSON"),
-        _finding(good & (F.size(missing) > 0), "V1", "ERROR", root, F.concat(F.lit("missing "), F.array_join(missing, ", "))),
+        F.transform("errors", lambda e: F.struct(F.lit("V1").alias("rule"), F.lit("ERROR").alias("severity"), e["path"].alias("path"), e["message"].alias("message"))),
         _finding(good & na & ~reason, "V2", "ERROR", F.lit("not_applicable.reason"), "Not Applicable without a reason"),
         _finding(good & na & (full | flagged), "V2", "ERROR", F.lit("not_applicable"), "Not Applicable output still has sections or risk flags"),
         _finding(good & ~na & ~chief, "V2", "ERROR", F.lit("chief_complaint"), "missing chief_complaint on a clinical call"),
@@ -273,7 +298,7 @@ def _summary_rules(s: DataFrame) -> DataFrame:
     ]
     counts = [
         _counter("parse_ok", good),
-        _counter("schema_valid", good & (F.size(missing) == 0)),
+        _counter("schema_valid", good & (F.size("errors") == 0)),
         _counter("na_consistent", reason & ~full & ~flagged & ~chief, good & na),
     ]
     return s.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
@@ -283,17 +308,19 @@ def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = N
     """(findings, counters) of JSON ``summaries`` (system, call_id, summary) over ``turns`` (call_id, turn_id, speaker, text).
 
     findings: system, call_id, rule, severity, path, message. counters: system, call_id, name, ok,
-    total, summed. A summary without the required keys gets no rule on its bullets. With ``drugs``
+    total, summed. A summary that breaks the closed schema (V1) gets V2 and V3 only. With ``drugs``
     (names in lower case) V7 and V13 to V15 run as well.
     """
     s = parsed(summaries)
-    whole = s.filter(F.col("keys").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), "keys")) == 0))
+    whole, odd = (s.filter(F.col("keys").isNotNull() & good) for good in (F.size("errors") == 0, F.size("errors") > 0))
     context = call_context(turns)
     b = _prepared(bullets(whole), context)
     (found, counts), (more, sums) = _bullet_rules(), _term_rules()
     found, counts = found + more, counts + sums
     rows = b.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
     said = rows.unionByName(_negation_findings(b)).unionByName(_summary_rules(s))
+    cited = bullets(odd).join(context.select("call_id", "n"), "call_id")
+    said = said.unionByName(cited.select(*KEYS, *(x.alias(n) for x, n in zip(_turn_rule(), ("findings", "counters"), strict=True))))
     if drugs is not None:
         said = said.unionByName(_drug_findings(b, drugs)).unionByName(_flag_findings(whole, turns, drugs))
     identity, supported = identity_findings(whole, context)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -55,6 +55,15 @@ def yaml_to_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def target_summary(gold: Column) -> Column:
+    """An authored gold summary as JSON text without the ``covers`` lists of its bullets, all else as it was.
+
+    Quotes inside JSON strings are escaped, so that the pattern meets keys alone.
+    """
+    covers = r'"covers"\s*:\s*(?:null|\[(?:\s*"(?:[^"\\]|\\.)*"\s*,?)*\s*\])'
+    return F.regexp_replace(F.regexp_replace(gold, rf",\s*{covers}", ""), rf"(?<=\{{)\s*{covers}\s*,?\s*", "")
+
+
 CALL = """call_id string, split string, setup map<string,string>, chief_complaint map<string,string>,
 assessment array<map<string,string>>, response array<map<string,string>>, education array<map<string,string>>,
 risk_flags array<map<string,string>>, transcript string, noise_events array<map<string,string>>, gold string, _error string"""
