@@ -73,8 +73,12 @@ def bullets(summaries: DataFrame) -> DataFrame:
     """system, call_id, section, ord, path and the bullet's fields; the chief complaint comes first."""
     one = lambda section, k, path, b: F.struct(F.lit(section).alias("section"), k.alias("ord"), path.alias("path"), b.alias("b"))
     head = F.filter(F.array(one("chief_complaint", F.lit(0), F.lit("chief_complaint"), F.col("s.chief_complaint"))), lambda x: x["b"].isNotNull())
-    parts = [F.transform(F.col(f"s.{s}"), lambda b, i, s=s: one(s, i, F.concat(F.lit(f"{s}["), i, F.lit("]")), b)) for s in SECTIONS]
-    rows = summaries.select(*KEYS, F.explode(F.concat(head, *(F.coalesce(p, F.slice(head, 1, 0)) for p in parts))).alias("x")).select(*KEYS, "x.*")
+
+    def part(section: str) -> Column:
+        numbered = F.transform(F.col(f"s.{section}"), lambda b, i: one(section, i, F.concat(F.lit(f"{section}["), i, F.lit("]")), b))
+        return F.coalesce(numbered, F.slice(head, 1, 0))
+
+    rows = summaries.select(*KEYS, F.explode(F.concat(head, *map(part, SECTIONS))).alias("x")).select(*KEYS, "x.*")
     said = F.when(F.col("section") == "chief_complaint", F.col("b.reason")).otherwise(F.col("b.text"))
     return rows.select(*KEYS, "section", "ord", "path", F.coalesce(said, F.lit("")).alias("text"), "b.speaker", F.coalesce("b.turns", F.array().cast("array<int>")).alias("ids"), F.coalesce("b.quote", F.lit("")).alias("quote"), "b.explanation", F.coalesce("b.facts", F.array().cast(f"array<struct<{FACT}>>")).alias("facts"))
 
