@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import reports as P
 from turnloom.operators.identity import PATIENT_WORDS, RELATIONSHIP_WORDS, relationship_said
+from turnloom.operators.rendering import checklist_sentence, identity_sentence
+from turnloom.operators.schema_check import key_order, schema_errors, summary_nodes
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
 
@@ -125,3 +127,59 @@ def relationship_said_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     relationship = F.when(k == 0, "Staff").when(k == 1, "paid friend").when(k == 2, "partner").otherwise("self")
     c = table(spark, sf_dir, "conversations").filter("text is not null and conv_id is not null")
     return c.select("conv_id", "turn", relationship_said(relationship, F.col("text")).alias("said"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Patient name not provided' ELSE 'Patient ' || c_name END || ', DOB not provided'
+|| CASE c_custkey % 4 WHEN 0 THEN ', calling on own behalf' WHEN 1 THEN '. Patient''s ' || lower(c_mktsegment) || ' (unclear), ' || c_name || ', calling on her behalf'
+ELSE '. Caller name not provided, relationship not provided, calling on her behalf' END || ', callback number not provided.' AS sentence FROM customer""")
+def identity_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as patients who call themselves, through a relation or through an unknown caller."""
+    k = F.col("c_custkey") % 4
+    field = lambda value, certainty="stated": F.struct(value.cast("string").alias("value"), F.lit(certainty).alias("certainty"), F.array().cast("array<string>").alias("heard_as"))
+    relation = F.when(k == 0, "self").when(k == 1, F.lower("c_mktsegment"))
+    people = {
+        "patient_name": field(F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))), "patient_dob": field(F.lit(None)), "caller_name": field(F.when(k == 1, F.col("c_name"))),
+        "relationship": field(relation, "unclear"), "callback_phone": field(F.lit("")), "patient_pronoun": F.lit("her"),
+    }
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.struct(*(v.alias(n) for n, v in people.items())).alias("identity"))
+    return rows.select("c_custkey", identity_sentence(F.col("identity")).alias("sentence"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Medication: ' || p_name || ', ' || p_size || ' mg, status: ran out'
+WHEN 1 THEN 'Supply: ' || p_name || ', none remaining (' || lower(p_brand) || ')' ELSE 'Nurse action (planned): order parts, because ' || p_name END AS fact FROM part""")
+def checklist_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as medications, supplies and actions of a fact record."""
+    k, p = F.col("p_size") % 3, F.col("p_name")
+    of = lambda **texts: F.create_map(*(x for n, v in texts.items() for x in (F.lit(n), v if not isinstance(v, str) else F.lit(v))))
+    medication = of(item_type="medication", medication_name_true=p, dose=F.col("p_size").cast("string"), unit="mg", medication_status="ran", route="")
+    supply = of(item_type="supply", supply_item=p, supply_remaining="None", supply_unit=F.lower("p_brand"))
+    action = of(action_type="order_parts", action_status="planned", reason_or_trigger=p)
+    section = F.when(k < 2, "assessment").otherwise("response")
+    return table(spark, sf_dir, "part").select("p_partkey", checklist_sentence(section, F.when(k == 0, medication).when(k == 1, supply).otherwise(action)).alias("fact"))
+
+
+def _order_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a summary whose lines are risk flags; every third quote is a number, every return an unknown key."""
+    flag = F.concat(
+        F.lit('{"category": "other_urgent", "turns": ['), F.col("l_linenumber"), F.lit('], "quote": '), F.when(F.col("l_linenumber") % 3 == 0, "1").otherwise('"x"'),
+        F.when(F.col("l_returnflag") == "R", ', "odd": null').otherwise(""), F.lit("}"),
+    )
+    unsaid = '{"value": null, "certainty": "not_stated", "turns": []}'
+    people = ", ".join(f'"{k}": {unsaid}' for k in ("patient_name", "patient_dob", "caller_name", "relationship", "callback_phone"))
+    head = f'{{"identity": {{{people}}}, "not_applicable": {{"is_na": false, "reason": null}}, "assessment": [], "response": [], "education": [], "risk_flags": ['
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(flag)).alias("flags"))
+    return g.select("l_orderkey", F.concat(F.lit(head), F.array_join("flags", ", "), F.lit("]}")).alias("raw"))
+
+
+@query("""SELECT l_orderkey, count(*) FILTER (l_linenumber % 3 = 0) AS wrong_type, count(*) FILTER (l_returnflag = 'R') AS unexpected FROM lineitem GROUP BY 1""")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = summary_nodes(_order_summaries(spark, sf_dir)).select("l_orderkey", schema_errors(F.col("nodes")).alias("e"))
+    said = lambda start: F.size(F.filter("e", lambda x: F.startswith(x["message"], F.lit(start)))).cast("long")
+    return rows.select("l_orderkey", said("expected string").alias("wrong_type"), said("unexpected key").alias("unexpected"))
+
+
+@query("""WITH o AS (SELECT count(DISTINCT l_orderkey) AS n, count(*) AS f, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem)
+SELECT 'top' AS kind, n AS violating, n AS total FROM o UNION ALL SELECT 'not_applicable', 0, n FROM o UNION ALL SELECT 'identity', 0, n FROM o
+UNION ALL SELECT 'field', 0, 5 * n FROM o UNION ALL SELECT 'flag', r, f FROM o""")
+def key_order_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_order(_order_summaries(spark, sf_dir))
