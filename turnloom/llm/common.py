@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,40 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
     return dealt.drop("heavy").join(repeated, [key, "part"], how).drop("part")
 
 
+#: Rows of a small table up to which it is sent to all executors; more are joined by exchange.
+SMALL_ROWS = 4096
+
+
+def small_or_exchanged(df: DataFrame, rows: int, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint where its counted ``rows`` are at most ``most``."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``rank``, the place from 0 in the group by ``order``, and ``members``, the group's size.
+
+    Rows are range-partitioned by (group, order), so that a group may be of any size; a group's
+    part in a partition begins where its parts before end. ``group`` columns hold no nulls, nulls in
+    ``order`` come first; rows equal in all of these take any order among themselves. ``rows`` are
+    read twice (for the ranges and for the rows): give a table or a checkpoint.
+    """
+    keys = [*group, *order]
+    ranged = rows.repartitionByRange(tasks(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    placed = checkpointed(ranged.withColumn("slot", F.monotonically_increasing_id()))  # partition number << 33, then the row's
+    placed = placed.withColumn("part", F.shiftrightunsigned("slot", 33))
+    counts = placed.groupBy("part", *group).agg(F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = checkpointed(counts.select("part", *group, "first_slot", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(whole).alias("members")))
+    joined = placed.join(small_or_exchanged(starts, starts.count()), ["part", *group])
+    return joined.withColumn("rank", F.col("before") + F.col("slot") - F.col("first_slot")).drop("part", "slot", "first_slot", "before")
+
+
+def group_key(column: Column) -> Column:
+    """A value as text that is never null and sorts like it: null first, then by UTF-8 bytes."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

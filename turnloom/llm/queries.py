@@ -13,6 +13,7 @@ from .exact_dedup import content_sort_dedup
 from .language import fit_language, predict_language
 from .line_dedup import drop_repeated_lines
 from .lm_score import fit_ngrams, score_counted
+from .merkle import changed_leaf, folded, merkle_manifest, path_text
 from .packing import pack_documents
 from .preferences import preference_segments
 from .quality import fit_quality, score_quality
@@ -132,6 +133,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; documents that 7 divides by checksum are verified with one more character."""
+    docs = table(spark, sf_dir, "documents", *LEAF_FIELDS)
+    changed = changed_leaf(LEAF_FIELDS, {"n_chars": F.col("n_chars") + 1}, crc32_mod(F.col("doc_id"), 7) == 0)
+    proofs = merkle_manifest(docs, "doc_id", "lang", LEAF_FIELDS, carry={"changed": changed})
+    out = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(path_text(F.col("path")), 256).alias("proof_sha256"), folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -143,8 +156,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle": op11_merkle,
 }
 
+#: CRC-32 in DuckDB: ``table_of`` holds the 256 steps of a byte, ``crc`` folds a text's characters (ASCII) over them.
+CRC = """
+crc_table AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, x: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY k) AS steps
+  FROM (SELECT unnest(range(256)) AS k))"""
+
+
+def crc_of(text: str) -> str:
+    """DuckDB SQL: the unsigned CRC-32 of an ASCII text, beside ``crc_table``."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), lambda a, c: xor(a >> 8, steps[(xor(a, c) & 255) + 1])), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op5_preferences": """
 WITH firsts AS (
@@ -229,5 +255,51 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_merkle": f"""
+WITH RECURSIVE {CRC.strip()},
+fields AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         {crc_of("doc_id::VARCHAR")} % 7 = 0 AS tampered
+  FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS changed
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+low AS (
+  SELECT g, 0 AS l, i, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT g, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, l, i // 2, n),
+tops AS (
+  SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, l AS height, node FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS l, i, n, node FROM tops
+  UNION ALL
+  SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY l, i // 2, n),
+steps AS (
+  SELECT p.doc_id, p.leaf, p.g, p.i AS leaf_i, t.node AS subroot, p.changed, s.l AS l, ((p.i >> s.l) & 1) = 1 AS on_left, o.node AS sibling
+  FROM placed p JOIN tops t ON p.g = t.g JOIN (SELECT DISTINCT g, l FROM low WHERE n > 1) s ON s.g = p.g
+  LEFT JOIN low o ON o.g = p.g AND o.l = s.l AND o.i = xor(p.i >> s.l, 1)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.g, p.i, t.node, p.changed, t.height + s.l, ((t.i >> s.l) & 1) = 1, o.node
+  FROM placed p JOIN tops t ON p.g = t.g, (SELECT DISTINCT l FROM high WHERE n > 1) s
+  LEFT JOIN high o ON o.l = s.l AND o.i = xor(t.i >> s.l, 1)),
+paths AS (
+  SELECT p.doc_id, p.leaf, p.g, p.i, t.node AS subroot, coalesce(any_value(p.changed), p.leaf) AS start,
+         coalesce(list({{'left': on_left, 'h': coalesce(sibling, '')}} ORDER BY s.l) FILTER (s.l IS NOT NULL), []) AS path
+  FROM placed p JOIN tops t ON p.g = t.g LEFT JOIN steps s ON s.g = p.g AND s.leaf_i = p.i
+  GROUP BY p.doc_id, p.leaf, p.g, p.i, t.node),
+folds AS (
+  SELECT doc_id, leaf, subroot, path, 0 AS k, start AS node, g, i FROM paths
+  UNION ALL
+  SELECT doc_id, leaf, subroot, path, k + 1, sha256(CASE WHEN path[k + 1].left THEN path[k + 1].h || node ELSE node || path[k + 1].h END), g, i
+  FROM folds WHERE k < len(path))
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(list_aggregate(list_concat([''], list_transform(path, lambda x: x.h)), 'string_agg', '')) AS proof_sha256,
+       f.node AS folded_root, f.node = r.node AS verified
+FROM folds f, (SELECT node FROM high WHERE n = 1) r WHERE k = len(path)
 """,
 }
