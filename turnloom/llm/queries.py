@@ -19,6 +19,7 @@ from .preferences import preference_segments
 from .quality import fit_quality, score_quality
 from .simhash import EXACT, near_duplicate_classes
 from .warc import resolve_revisits
+from .weighted_sampling import weighted_fingerprints
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -145,6 +146,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's fingerprint and its likeness to its edited text and to the next document."""
+    return weighted_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -157,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 #: CRC-32 in DuckDB: ``table_of`` holds the 256 steps of a byte, ``crc`` folds a text's characters (ASCII) over them.
