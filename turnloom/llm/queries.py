@@ -17,6 +17,7 @@ from .merkle import changed_leaf, folded, merkle_manifest, path_text
 from .packing import pack_documents
 from .preferences import preference_segments
 from .quality import fit_quality, score_quality
+from .repair import repair_conversations
 from .simhash import EXACT, near_duplicate_classes
 from .warc import resolve_revisits
 from .weighted_sampling import weighted_fingerprints
@@ -151,6 +152,30 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Turns damaged by the CRC-32 of ``conv_id:turn`` modulo 20 (nulls: one space).
+
+    0 drops the row, 1 empties its text, 2 takes the ends of its sentences, 3 repeats it, 4 makes its role user.
+    """
+    space = F.lit(" ")
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    fault = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", fault.alias("fault"), role.alias("role"), text.alias("text")).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("times")).drop("times")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation; conversations that the damage leaves without rows have zeros."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    report = repair_conversations(damaged_turns(turns))
+    every = turns.select("conv_id").distinct()
+    joined = every.alias("o").join(report.alias("r"), F.col("o.conv_id").eqNullSafe(F.col("r.conv_id")), "left")
+    counts = (F.coalesce(F.col(f"r.{c}"), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return joined.select("o.conv_id", *counts, F.coalesce("r.audit", F.lit("")).alias("audit"), F.coalesce("r.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -164,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
     "op12_fingerprints": op12_fingerprints,
+    "op13_repair": op13_repair,
 }
 
 #: CRC-32 in DuckDB: ``table_of`` holds the 256 steps of a byte, ``crc`` folds a text's characters (ASCII) over them.
@@ -308,5 +334,48 @@ folds AS (
 SELECT doc_id, leaf, subroot, r.node AS root, sha256(list_aggregate(list_concat([''], list_transform(path, lambda x: x.h)), 'string_agg', '')) AS proof_sha256,
        f.node AS folded_root, f.node = r.node AS verified
 FROM folds f, (SELECT node FROM high WHERE n = 1) r WHERE k = len(path)
+""",
+    "op13_repair": f"""
+WITH RECURSIVE {CRC.strip()},
+filled AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc_of("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT g, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM filled, range(2) times(k) WHERE fault <> 0 AND (k = 0 OR fault = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS cls,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail
+  FROM damaged),
+rows AS (
+  SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND NOT tail IN ('.', '!', '?') AS truncated,
+         lag(cls) OVER (PARTITION BY g ORDER BY i) || cls AS pair
+  FROM (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again FROM placed)),
+ins(q, q2, cost, letters, added) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 3, 'I', ['user:']),
+         (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 3, 'I', ['user:'])),
+moves(letter, q, q2, cls, cost, role) AS (
+  VALUES ('D', 0, 0, NULL, 4, NULL), ('D', 1, 1, NULL, 4, NULL), ('D', 2, 2, NULL, 4, NULL), ('D', 3, 3, NULL, 4, NULL),
+         ('K', 0, 1, 's', 0, NULL), ('K', 0, 2, 'u', 0, NULL), ('K', 1, 2, 'u', 0, NULL), ('K', 2, 3, 'a', 0, NULL), ('K', 3, 2, 'u', 0, NULL),
+         ('R', 0, 2, NULL, 3, 'user'), ('R', 1, 2, NULL, 3, 'user'), ('R', 2, 3, NULL, 3, 'assistant'), ('R', 3, 2, NULL, 3, 'user')),
+dp AS (
+  SELECT g, 0::BIGINT AS i, q2 AS q, {{'c': cost, 'a': letters, 't': added}} AS s FROM (SELECT DISTINCT g FROM rows), ins WHERE q = 0
+  UNION ALL
+  SELECT d.g, r.i, e.q2, min({{'c': d.s.c + m.cost + CASE WHEN m.letter <> 'D' AND r.truncated THEN 3 ELSE 0 END + e.cost, 'a': d.s.a || m.letter || e.letters,
+         't': list_concat(d.s.t, CASE WHEN m.letter = 'D' THEN []::VARCHAR[] ELSE [coalesce(m.role, r.role) || ':' || r.text] END, e.added)}})
+  FROM dp d JOIN rows r ON r.g = d.g AND r.i = d.i + 1 JOIN moves m ON m.q = d.q AND (m.letter = 'D' OR NOT (r.blank OR r.duplicate)) AND (m.cls IS NULL OR m.cls = r.cls)
+  JOIN ins e ON e.q = m.q2 GROUP BY d.g, r.i, e.q2),
+counts AS (
+  SELECT g, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair IS NOT NULL AND NOT pair IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY g),
+best AS (
+  SELECT c.*, (SELECT min(s) FROM dp WHERE dp.g = c.g AND dp.i = c.n AND q IN (0, 3)) AS s FROM counts c)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s.c, 0)::BIGINT AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(array_to_string(s.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM filled) o LEFT JOIN best b ON b.g = o.g
 """,
 }
