@@ -160,7 +160,7 @@ def _running(
     """
     schema = "g string, b long, state array<long>"
 
-    def walk(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("b", ascending=not backward)
         state = [int(x) for x in rows["above"].iloc[0]] if "above" in rows else list(start)
         out = []
@@ -169,7 +169,7 @@ def _running(
             state = apply(state, [int(x) for x in v])
         return pd.DataFrame({"g": rows["g"], "b": rows["b"], "state": out})
 
-    def total(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for v in rows.sort_values("b")["v"]:
             whole = [int(x) for x in v] if whole is None else combine(whole, [int(x) for x in v])
