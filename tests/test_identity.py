@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tests.test_validation import TURNS, summary
+from tests.test_validation import NOBODY, TURNS, summary
 from turnloom.operators.identity import date_state, phone_state, relationship_said
 from turnloom.operators.validation import validate
 
@@ -15,7 +15,8 @@ SAID = [
 
 
 def with_identity(**fields):
-    return summary() | {"identity": {k: {"value": v, "certainty": c} for k, (v, c) in fields.items()}}
+    given = {k: NOBODY[k] | {"value": v, "certainty": c, "turns": [5]} for k, (v, c) in fields.items()}
+    return summary() | {"identity": NOBODY | given}
 
 
 def test_identity_rule(spark):

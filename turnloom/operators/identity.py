@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from turnloom.functions import text as T
 from turnloom.functions.fuzzy import best_ratio_udf
-from turnloom.functions.spoken import number_candidates_udf
+from turnloom.functions.spoken import number_candidates
 
 KEYS = ("system", "call_id")
 CLOSE = 0.8
@@ -66,7 +66,7 @@ def _parts_of_date(iso: Column) -> Column:
 def date_state(iso: Column, call_numbers: Column, window_numbers: Column) -> Column:
     """'ok': all parts said within some window; 'scattered': said, but apart; 'bad': no date or not said."""
     parts = _parts_of_date(iso)
-    said = lambda numbers: F.size(F.array_except(parts, numbers)) == 0
+    said = lambda numbers: F.forall(parts, lambda x: T.supported(x, numbers))
     return F.when(parts.isNull() | ~said(call_numbers), "bad").when(F.exists(window_numbers, said), "ok").otherwise("scattered")
 
 
@@ -77,66 +77,79 @@ def phone_state(phone: Column, call_numbers: Column, window_numbers: Column) ->
     return F.when((F.length(digits) == 10) & said, "ok").otherwise("bad")
 
 
-def numbers_by_window(context: DataFrame, turns: int, name: str, last: Column) -> DataFrame:
-    """call_id and ``name``: the numbers said in each run of ``turns`` turns that begins before ``last``."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice("texts", i, turns), " "))
-    said = context.select("call_id", F.explode(runs).alias("run")).select("call_id", number_candidates_udf("run").alias("numbers"))
-    return said.groupBy("call_id").agg(F.collect_set("numbers").alias(name))
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def numbers_of_runs(runs: pd.Series) -> pd.Series:
+    """The numbers said in each text of an array of texts."""
+    return runs.map(lambda texts: [] if texts is None else [sorted(number_candidates(t)) for t in texts])
+
+
+_FINDINGS = "array<struct<rule:string,severity:string,path:string,message:string>>"
+_COUNTERS = "array<struct<name:string,ok:bigint,total:bigint>>"
+
+
+def _said(when: Column, severity: Column | str, key: str | Column, message: str) -> Column:
+    """A finding of V9 as an array, empty where ``when`` does not hold."""
+    level, name = (F.lit(x) if isinstance(x, str) else x for x in (severity, key))
+    one = F.struct(F.lit("V9").alias("rule"), level.alias("severity"), F.concat(F.lit("identity."), name).alias("path"), F.lit(message).alias("message"))
+    return F.when(F.coalesce(when, F.lit(False)), F.array(one)).otherwise(F.array().cast(_FINDINGS))
 
 
-def identity_findings(summaries: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, counters) of V9 over parsed summaries (system, call_id, s) and their calls (call_context).
+def _counted(when: Column, ok: Column) -> Column:
+    one = F.struct(F.lit("identity_supported").alias("name"), F.coalesce(ok, F.lit(False)).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))
+    return F.when(F.coalesce(when, F.lit(False)), F.array(one)).otherwise(F.array().cast(_COUNTERS))
+
+
+def identity_findings(summaries: DataFrame, context: DataFrame) -> DataFrame:
+    """system, call_id, findings, counters of V9 over parsed summaries (system, call_id, s) and their calls (call_context).
 
-    findings: system, call_id, rule, severity, path, message; counters: system, call_id, name, ok, total.
     Calls marked not applicable are left out. A name part that was not said is a warning where a close
     spelling was said; a stated name with other close spellings among the call's proper names is one too.
+    One row a name and one a summary: dates and phones are read in windows of the call in the same row.
     """
     c = context.select("call_id", "texts", "n", "call_numbers", F.split(F.array_join("norms", " "), " ").alias("words"), F.array_join("texts", " ").alias("whole"))
     proper = F.transform(F.regexp_extract_all("whole", F.lit(r"(?<![.?!]\s)(?<!^)\b([A-Z][a-z]{3,})\b"), 1), F.lower)
     c = c.withColumn("proper", F.array_distinct(proper))
     rows = summaries.filter("s is not null and not coalesce(s.not_applicable.is_na, false)").join(c, "call_id")
-    rows = rows.select(*KEYS, "s.identity", "texts", "n", "call_numbers", "words", "proper", "whole")
-    found, counted = [], []
-
-    def report(of: DataFrame, when: Column, severity: Column | str, key: Column | str, message: str) -> None:
-        level = F.lit(severity) if isinstance(severity, str) else severity
-        path = F.concat(F.lit("identity."), F.lit(key) if isinstance(key, str) else key)
-        found.append(of.filter(when).select(*KEYS, F.lit("V9").alias("rule"), level.alias("severity"), path.alias("path"), F.lit(message).alias("message")))
-
-    def count(of: DataFrame, ok: Column) -> None:
-        counted.append(of.select(*KEYS, F.lit("identity_supported").alias("name"), ok.cast("long").alias("ok"), F.lit(1).cast("long").alias("total")))
+    value = lambda key: F.col(f"s.identity.{key}.value")
+    filled = lambda key: F.coalesce(value(key), F.lit("")) != ""
 
     fields = ("patient_name", "patient_dob", "caller_name", "relationship", "callback_phone")
-    each = rows.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"identity.{k}.value").alias("value"), F.col(f"identity.{k}.certainty").alias("certainty")) for k in fields))).alias("f"))
-    given = F.coalesce("f.value", F.lit("")) != ""
-    report(each, given & (F.col("f.certainty") == "not_stated"), "ERROR", F.col("f.key"), "value present but certainty is 'not_stated'")
-    named = F.col("f.key").isin("patient_name", "caller_name")
-    report(each, named & ~given & (F.col("f.certainty") == "stated"), "ERROR", F.col("f.key"), "certainty is 'stated' but the value is empty")
-
-    parts = F.filter(F.split(T.normalize(F.col("f.value")), " "), lambda w: F.length(w) > 1)
-    names = each.filter(named & given).join(rows.select(*KEYS, "words", "proper"), list(KEYS))
-    names = names.select(*KEYS, "f.key", "f.certainty", "words", "proper", parts.alias("parts")).withColumn("missing", F.array_except("parts", "words"))
-    count(names, F.size("missing") == 0)
-    lost = names.filter(F.size("missing") > 0).select(*KEYS, "key", "words", F.explode("missing").alias("part"))
-    lost = lost.withColumn("close", best_ratio_udf("part", "words") >= CLOSE).groupBy(*KEYS, "key").agg(F.bool_and("close").alias("close"))
-    report(lost, F.lit(True), F.when(F.col("close"), "WARN").otherwise("ERROR"), F.col("key"), "name parts that are not in the call")
-    kept = names.filter((F.size("missing") == 0) & (F.col("certainty") == "stated")).select(*KEYS, "key", F.explode("parts").alias("part"), "proper").filter(F.length("part") >= 4)
-    drift = best_ratio_udf("part", F.filter("proper", lambda w: (w != F.col("part")) & (F.length(w) >= 4))) >= CLOSE
-    report(kept.withColumn("drift", drift).groupBy(*KEYS, "key").agg(F.bool_or("drift").alias("drift")), F.col("drift"), "WARN", F.col("key"), "a stated name with similar spellings in the call")
-
-    born = rows.filter(F.coalesce("identity.patient_dob.value", F.lit("")) != "")
-    born = born.join(numbers_by_window(context, DATE_TURNS, "near", F.col("n")), "call_id")
-    born = born.withColumn("state", date_state(F.col("identity.patient_dob.value"), F.col("call_numbers"), F.col("near")))
-    count(born, F.col("state") != "bad")
-    report(born, F.col("state") == "bad", "ERROR", "patient_dob", "no date, or one with parts that were never said")
-    report(born, F.col("state") == "scattered", "WARN", "patient_dob", "year, month and day are said, but not close together")
-    called = rows.filter(F.coalesce("identity.callback_phone.value", F.lit("")) != "")
-    called = called.join(numbers_by_window(context, PHONE_TURNS, "near", F.col("n") - 3), "call_id")
-    called = called.withColumn("state", phone_state(F.col("identity.callback_phone.value"), F.col("call_numbers"), F.col("near")))
-    count(called, F.col("state") == "ok")
-    report(called, F.col("state") == "bad", "ERROR", "callback_phone", "not ten digits, or never said as one number")
-    kin = rows.filter(~F.lower(F.coalesce("identity.relationship.value", F.lit(""))).isin("", "self"))
-    kin = kin.withColumn("said", relationship_said(F.col("identity.relationship.value"), F.col("whole")))
-    count(kin, F.col("said"))
-    report(kin, ~F.col("said"), "WARN", "relationship", "the relationship is never mentioned in the call")
-    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, counted)
+    sure = [_said(filled(k) & (F.col(f"s.identity.{k}.certainty") == "not_stated"), "ERROR", k, "value present but certainty is 'not_stated'") for k in fields]
+    names = ("patient_name", "caller_name")
+    sure += [_said(~filled(k) & (F.col(f"s.identity.{k}.certainty") == "stated"), "ERROR", k, "certainty is 'stated' but the value is empty") for k in names]
+
+    runs = lambda turns, last: F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice("texts", i, turns), " "))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("date_near", numbers_of_runs(F.when(filled("patient_dob"), runs(DATE_TURNS, F.col("n"))).otherwise(none)))
+    rows = rows.withColumn("phone_near", numbers_of_runs(F.when(filled("callback_phone"), runs(PHONE_TURNS, F.col("n") - 3)).otherwise(none)))
+    rows = rows.withColumn("born", F.when(filled("patient_dob"), date_state(value("patient_dob"), F.col("call_numbers"), F.col("date_near"))))
+    rows = rows.withColumn("called", F.when(filled("callback_phone"), phone_state(value("callback_phone"), F.col("call_numbers"), F.col("phone_near"))))
+    kin = ~F.lower(F.coalesce(value("relationship"), F.lit(""))).isin("", "self")
+    rows = rows.withColumn("kin", F.when(kin, relationship_said(value("relationship"), F.col("whole"))))
+    found = [
+        *sure,
+        _said(F.col("born") == "bad", "ERROR", "patient_dob", "no date, or one with parts that were never said"),
+        _said(F.col("born") == "scattered", "WARN", "patient_dob", "year, month and day are said, but not close together"),
+        _said(F.col("called") == "bad", "ERROR", "callback_phone", "not ten digits, or never said as one number"),
+        _said(~F.col("kin"), "WARN", "relationship", "the relationship is never mentioned in the call"),
+    ]
+    counts = [_counted(F.col("born").isNotNull(), F.col("born") != "bad"), _counted(F.col("called").isNotNull(), F.col("called") == "ok"), _counted(F.col("kin").isNotNull(), F.col("kin"))]
+    whole = rows.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
+
+    named = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), value(k).alias("value"), F.col(f"s.identity.{k}.certainty").alias("certainty")) for k in names)), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    each = rows.select(*KEYS, F.explode(named).alias("f"), "words", "proper").withColumn("parts", F.filter(F.split(T.normalize(F.col("f.value")), " "), lambda w: F.length(w) > 1))
+    each = each.withColumn("missing", F.array_except("parts", "words"))
+    stated = (F.size("missing") == 0) & (F.col("f.certainty") == "stated")
+    asked = F.when(F.size("missing") > 0, F.col("missing")).when(stated, F.filter("parts", lambda w: F.length(w) >= 4)).otherwise(F.array().cast("array<string>"))
+    parts = each.select(*KEYS, "f.key", "missing", stated.alias("stated"), "words", "proper", F.explode_outer(asked).alias("part"))
+    others = F.filter("proper", lambda w: (w != F.col("part")) & (F.length(w) >= 4))
+    alike = F.coalesce(best_ratio_udf(F.coalesce("part", F.lit("")), F.when(F.size("missing") > 0, F.col("words")).otherwise(others)) >= CLOSE, F.lit(False))
+    parts = parts.withColumn("alike", F.when(F.col("part").isNotNull(), alike))
+    judged = parts.groupBy(*KEYS, "key").agg(F.max(F.size("missing") > 0).alias("lost"), F.max("stated").alias("stated"), F.bool_and("alike").alias("all"), F.bool_or("alike").alias("any"))
+    severity = F.when(F.col("all"), "WARN").otherwise("ERROR")
+    of_names = judged.select(
+        *KEYS,
+        F.concat(_said(F.col("lost"), severity, F.col("key"), "name parts that are not in the call"), _said(F.col("stated") & F.col("any"), "WARN", F.col("key"), "a stated name with similar spellings in the call")).alias("findings"),
+        _counted(F.lit(True), ~F.col("lost")).alias("counters"),
+    )
+    return whole.unionByName(of_names)

@@ -22,6 +22,7 @@ from turnloom.operators.identity import identity_findings
 from turnloom.operators.relational import id_window, texts_of
 from turnloom.operators.risk import ESCALATION, SUICIDAL, clinical_score, first_flags, risk_scan
 from turnloom.operators.schema_check import schema_errors, summary_nodes
+from turnloom.sources.shared import worked_out
 
 RADIUS = 2
 REPAIRABLE = 0.9
@@ -313,12 +314,13 @@ def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = N
 
     findings: system, call_id, rule, severity, path, message. counters: system, call_id, name, ok,
     total, summed. A summary that breaks the closed schema (V1) gets V2 and V3 only. With ``drugs``
-    (names in lower case) V7 and V13 to V15 run as well.
+    (names in lower case) V7 and V13 to V15 run as well. Parsed summaries, call texts, prepared bullets
+    and what all rules say are worked out once, in the shared folder.
     """
-    s = parsed(summaries)
+    s = worked_out(parsed(summaries))
     whole, odd = (s.filter(F.col("keys").isNotNull() & good) for good in (F.size("errors") == 0, F.size("errors") > 0))
-    context = call_context(turns)
-    b = _prepared(bullets(whole), context)
+    context = worked_out(call_context(turns))
+    b = worked_out(_prepared(bullets(whole), context))
     (found, counts), (more, sums) = _bullet_rules(), _term_rules()
     found, counts = found + more, counts + sums
     rows = b.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
@@ -327,7 +329,7 @@ def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = N
     said = said.unionByName(cited.select(*KEYS, *(x.alias(n) for x, n in zip(_turn_rule(), ("findings", "counters"), strict=True))))
     if drugs is not None:
         said = said.unionByName(_drug_findings(b, drugs)).unionByName(_flag_findings(whole, turns, drugs))
-    identity, supported = identity_findings(whole, context)
-    findings = said.select(*KEYS, F.explode("findings").alias("f")).select(*KEYS, "f.*").unionByName(identity)
-    counters = said.select(*KEYS, F.explode("counters").alias("c")).select(*KEYS, "c.*").unionByName(supported)
+    said = worked_out(said.unionByName(identity_findings(whole, context)))
+    findings = said.select(*KEYS, F.explode("findings").alias("f")).select(*KEYS, "f.*")
+    counters = said.select(*KEYS, F.explode("counters").alias("c")).select(*KEYS, "c.*")
     return findings, counters.groupBy(*KEYS, "name").agg(F.sum("ok").alias("ok"), F.sum("total").alias("total"))

@@ -69,14 +69,34 @@ assessment array<map<string,string>>, response array<map<string,string>>, educat
 risk_flags array<map<string,string>>, transcript string, noise_events array<map<string,string>>, gold string, _error string"""
 
 
-def authored_calls(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
-    """One row per YAML call of a folder (or of its ``split`` subfolder): nested, all scalars as text.
+def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, value): one row per file, its whole text; for prompts, documents and notes alike."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
 
-    Keys that the schema does not name stay in ``raw``, the whole document as JSON.
+def calls_of(documents: DataFrame, json_col: str = "raw") -> DataFrame:
+    """One row per call of a column of JSON documents: nested, all scalars as text.
+
+    Keys that the schema does not name stay in ``raw``, the whole document.
     """
+    return documents.select(F.from_json(json_col, CALL).alias("c"), F.col(json_col).alias("raw")).select("c.*", "raw")
+
+
+def authored_calls(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    """The calls of a folder (or of its ``split`` subfolder), one file each, as YAML or as JSON."""
     path = f"{folder}/{split}" if split else folder
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.yaml", recursiveFileLookup=not split)
-    return files.select(yaml_to_json("value").alias("raw")).select(F.from_json("raw", CALL).alias("c"), "raw").select("c.*", "raw")
+    files = whole_texts(spark, path).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)))
+    documents = files.filter("kind = 'json'").select(F.col("value").alias("raw"))
+    yaml_files = files.filter("kind IN ('yaml', 'yml')")
+    return calls_of(documents.unionByName(yaml_files.select(yaml_to_json("value").alias("raw"))))
+
+
+def listed_calls(documents: DataFrame, key: str = "examples", json_col: str = "raw") -> DataFrame:
+    """The calls of documents that hold a list of them under ``key``, in the list's order (``place`` from 0)."""
+    elements = F.from_json(F.get_json_object(json_col, f"$.{key}"), "array<string>")
+    rows = documents.select(F.posexplode(elements).alias("place", "raw"))
+    return rows.select("place", F.from_json("raw", CALL).alias("c"), "raw").select("place", "c.*", "raw")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
