@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.judge_set import stratified_samples
+from turnloom.operators.patch import apply_patches
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
 
@@ -25,3 +26,25 @@ def judge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two disjoint samples of exact sizes over all documents, in proportion to language and source."""
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
     return stratified_samples(docs, "doc_id", ["lang", "source"], {"first": 60, "confirmation": 40}, 23)
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, l_quantity, l_returnflag, l_linestatus,
+       l_quantity >= 45 AS heavy FROM lineitem)
+SELECT o_orderkey, '{"status":"' || o_orderstatus || '","items":[' || string_agg('{"line":' || l_linenumber || CASE WHEN heavy THEN ',"heavy":true' ELSE '' END || ',"flag":"' || CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE l_returnflag END || '","mode":"' || l_linestatus || '"}', ',' ORDER BY k)
+       || CASE WHEN o_orderstatus = 'P' THEN ',{"line":0}' ELSE '' END || ']}' AS doc,
+       (count(*) FILTER (WHERE heavy) + count(*) FILTER (WHERE l_returnflag = 'R') + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::INT AS patches
+FROM orders JOIN i ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def patched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested JSON; heavy lines get a key behind their number, returned ones another flag, open orders one more line."""
+    i = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("mode"), (F.col("l_quantity") >= 45).alias("heavy"))
+    items = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("all"))
+    j = o.join(items, o.o_orderkey == items.l_orderkey)
+    docs = j.select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.transform("all", lambda x: x.dropFields("heavy")).alias("items"))).alias("doc"))
+    at = j.select("o_orderkey", F.posexplode("all").alias("k", "x"))
+    none, path = F.lit(None).cast("string"), lambda *p: F.array(F.lit("items"), *p)
+    heavy = at.filter("x.heavy").select("o_orderkey", F.lit(0).alias("ord"), path(F.col("k").cast("string"), F.lit("heavy")).alias("path"), F.lit("line").alias("after"), F.lit("true").alias("value"))
+    back = at.filter("x.flag = 'R'").select("o_orderkey", F.lit(1).alias("ord"), path(F.col("k").cast("string"), F.lit("flag")).alias("path"), none.alias("after"), F.lit('"returned"').alias("value"))
+    more = j.filter("o_orderstatus = 'P'").select("o_orderkey", F.lit(2).alias("ord"), path(F.lit("-")).alias("path"), none.alias("after"), F.lit('{"line":0}').alias("value"))
+    return apply_patches(docs, heavy.unionByName(back).unionByName(more), ["o_orderkey"], "doc")
