@@ -42,12 +42,16 @@ def _of(patches: Column, key: Column) -> Column:
 
 def _patched(raw: Column, patches: Column, depth: int) -> Column:
     """A value's JSON text after the patches on it and below."""
-    whole = F.filter(patches, lambda p: F.size(p["path"]) == 0)
-    if depth == 0:
-        below: Column = F.raise_error(F.lit(f"a patch goes deeper than {DEPTH} levels"))
-    else:
-        below = F.when(raw.startswith("["), _array(raw, patches, depth)).otherwise(_object(raw, patches, depth))
-    return F.when(F.size(patches) == 0, raw).when(F.size(whole) > 0, F.element_at(whole, -1)["value"]).otherwise(below)
+
+    def changed(x: Column) -> Column:
+        whole = F.filter(x["patches"], lambda p: F.size(p["path"]) == 0)
+        if depth == 0:
+            below: Column = F.raise_error(F.lit(f"a patch goes deeper than {DEPTH} levels"))
+        else:
+            below = F.when(x["raw"].startswith("["), _array(x["raw"], x["patches"], depth)).otherwise(_object(x["raw"], x["patches"], depth))
+        return F.when(F.size(x["patches"]) == 0, x["raw"]).when(F.size(whole) > 0, F.element_at(whole, -1)["value"]).otherwise(below)
+
+    return _bound(F.struct(raw.alias("raw"), patches.alias("patches")), changed)
 
 
 def _object(raw: Column, patches: Column, depth: int) -> Column:

@@ -28,7 +28,7 @@ def judge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_samples(docs, "doc_id", ["lang", "source"], {"first": 60, "confirmation": 40}, 23)
 
 
-@query("""WITH i AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, l_quantity, l_returnflag, l_linestatus,
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus, l_quantity >= 45) AS k, l_quantity, l_returnflag, l_linestatus,
        l_quantity >= 45 AS heavy FROM lineitem)
 SELECT o_orderkey, '{"status":"' || o_orderstatus || '","items":[' || string_agg('{"line":' || l_linenumber || CASE WHEN heavy THEN ',"heavy":true' ELSE '' END || ',"flag":"' || CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE l_returnflag END || '","mode":"' || l_linestatus || '"}', ',' ORDER BY k)
        || CASE WHEN o_orderstatus = 'P' THEN ',{"line":0}' ELSE '' END || ']}' AS doc,
