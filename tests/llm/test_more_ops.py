@@ -432,3 +432,13 @@ def test_models_on_awkward_rows(spark):
     assert score_quality(docs(spark, []), model).count() == predict_language(docs(spark, []), langs).count() == 0
     ngrams = fit_ngrams(docs(spark, []), F.lit(True))
     assert score_documents(df, ngrams).count() == len(rows())
+
+
+def test_a_text_without_a_letter_is_undetermined(spark):
+    from turnloom.llm.language import fit_language, predict_language
+
+    train = spark.createDataFrame([(1, "the cat sat", "en"), (2, "der Hund lief", "de")], "doc_id long, text string, lang string")
+    model = fit_language(train, F.lit(True))
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate(["²", "½ 3", "①", "12_", "", None, "a", "ä", "語"])], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_language(odd, model).collect()}
+    assert all(got[k] == ("und", 0.0) for k in range(6)) and all(got[k][0] in ("en", "de") for k in (6, 7, 8))

@@ -135,12 +135,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob))  # buckets x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         import numpy as np
 
         languages, log_prior, log_prob = shared.value
-        letter = re.compile(r"[^\W\d_]")
         buckets = len(log_prob)
         for b in batches:
             totals = np.tile(log_prior.astype(np.float64), (b.num_rows, 1))
@@ -155,7 +152,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
             for row, text in enumerate(b.column(1)):
                 t = text.as_py()
-                if not t or not languages or not letter.search(t):
+                if not t or not languages or not any(c.isalpha() for c in t):  # Unicode categories L
                     continue
                 known[row] = True
                 for g in gram_buckets(t, buckets):
