@@ -74,14 +74,16 @@ def heavy_keys(rows: DataFrame, key: str, total: int | None = None) -> list:
     return [r[0] for r in counts.filter((F.col("n") > HEAVY_ROWS) & (F.col("n") > total / 10_000)).select(key).collect()]
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def spread_join(
+    rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None, total: int | None = None, heavy: list | None = None
+) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per ``key``; a heavy key's rows are dealt to ``PARTS`` tasks.
 
     The list of heavy keys is bounded by its definition and broadcast; only their rows of ``keyed``
     are repeated. ``rows``, or ``keys`` if they hold the same keys, are read several times and should
-    be checkpointed; ``total`` is their number where it is known.
+    be checkpointed; ``total`` is their number, and ``heavy`` the list, where they are known.
     """
-    heavy = heavy_keys(rows if keys is None else keys, key, total)
+    heavy = heavy if heavy is not None else heavy_keys(rows if keys is None else keys, key, total)
     if not heavy:
         return rows.join(keyed, key, how)
     schema = keyed.select(key).withColumn("heavy", F.lit(True)).schema

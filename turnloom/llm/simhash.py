@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, checkpointed, private_names, spread_join
+from .common import HEAVY_ROWS, PARTS, checkpointed, private_names, spread_join
 from .graph import connected_components
 
 BLOCK_WORDS = 1 << 16
@@ -336,19 +336,28 @@ def _completed(
     placed = nodes.select("key", "node").join(comps, "node", "left").select("key", "node", least)
     texts = _prefixes(docs, _sketch(marked), profile, text_col).dropDuplicates(["key"]).join(placed, "key")
     texts = checkpointed(texts.select("node", "comp", "size", "prefix", *_PARITY))
-    rows = texts.select("node", "comp", "size", *_PARITY, F.posexplode("prefix").alias("pos", "h"))
-    shared = checkpointed(rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h"))
-    members = checkpointed(rows.join(_small(shared), "h"))
+    rows = texts.select("node", "comp", F.posexplode("prefix").alias("pos", "h"))
+    # one exchange of counts, one of bare places; what a comparison needs joins only the places left
+    longs = (F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("hub"), F.count(F.lit(1)).alias("members"))
+    shared = checkpointed(rows.groupBy("h").agg(*longs).filter("lo < hi").select("h", "hub", "members"))
+    n_rows = texts.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    heavy = [r.h for r in shared.filter((F.col("members") > HEAVY_ROWS) & (F.col("members") > n_rows / 10_000)).select("h").collect()]  # at most 10,000
+    places = rows.select("h", "node", "pos")
+    n_shared = shared.count()
+    met = places.join(F.broadcast(shared), "h") if n_shared <= BROADCAST_ROWS else spread_join(places, shared, "h", heavy=heavy)
+    members = checkpointed(met)
+    facts = texts.select("node", "comp", "size", *_PARITY)
     own = ("comp", "node", "size", "pos", *_PARITY)
-    stats = members.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*own)).alias("hub"))
-    members = checkpointed(spread_join(members, stats, "h"))
-    few, crowded = members.filter(F.col("members") <= profile.posting), members.filter(F.col("members") > profile.posting)
+    few = checkpointed(members.filter(F.col("members") <= profile.posting).select("h", "node", "pos").join(facts, "node"))
+    crowded = checkpointed(members.filter(F.col("members") > profile.posting).select("h", "node", "pos", "hub").join(facts, "node"))
     share = profile.similarity / (1 + profile.similarity)
 
-    def comparable(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    def side(rows: DataFrame, prefix: str, on: list[str]) -> DataFrame:
+        return rows.select(*on, *(F.col(c).alias(f"{prefix}_{c}") for c in own))
+
+    def comparable(met: DataFrame) -> DataFrame:
         """Pairs of two sides that no component joins and that can be similar as far as sizes,
         places in the order and parities tell; no similar pair fails all the shingles that it shares."""
-        sides = [side.select(*on, *(F.col(c).alias(f"{p}_{c}") for c in own)) for p, side in (("a", a), ("b", b))]
         both = F.col("a_size") + F.col("b_size")
         apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _PARITY))
         fits = (
@@ -356,13 +365,11 @@ def _completed(
             & (F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= both * share - 1e-9)
             & (apart <= both * (1 - 2 * share) + 1e-9)
         )
-        met = sides[0].join(sides[1], on).filter(fits)
-        return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+        return met.filter(fits).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
-    paired = comparable(few, few, ["h"])
-    place = F.struct("h", "node").alias("place")
-    hubs = crowded.select(place, *(F.col(f"hub.{c}").alias(c) for c in own))
-    tried = checkpointed(paired.unionByName(comparable(crowded.select(place, *own), hubs, ["place"])).distinct())
+    paired = comparable(side(few, "a", ["h"]).join(side(few, "b", ["h"]), "h"))
+    hubs = crowded.filter("node = hub")  # one row a posting
+    tried = checkpointed(paired.unionByName(comparable(spread_join(side(crowded, "a", ["h"]), side(hubs, "b", ["h"]), "h", heavy=heavy))).distinct())
     stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     comps = checkpointed(connected_components(stars.unionByName(_verified(tried, nodes, docs, profile, text_col, id_col))))
     if crowded.isEmpty():
@@ -372,7 +379,8 @@ def _completed(
     loose = checkpointed(again.join(_small(apart), "h"))
     # each posting is dealt to several tasks
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    rest = comparable(loose.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), loose.withColumn("part", parts), ["h", "part"])
+    dealt, every = loose.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), loose.withColumn("part", parts)
+    rest = comparable(side(dealt, "a", ["h", "part"]).join(side(every, "b", ["h", "part"]), ["h", "part"]))
     rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
     stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return checkpointed(connected_components(stars.unionByName(_verified(rest, nodes, docs, profile, text_col, id_col))))
