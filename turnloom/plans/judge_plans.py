@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.operators.coverage import coverage
+from turnloom.operators.first_match import first_match
 from turnloom.operators.judge_set import stratified_samples
+from turnloom.operators.matrix import METRICS, matrix
 from turnloom.operators.patch import apply_patches
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
@@ -48,3 +51,63 @@ def patched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = at.filter("x.flag = 'R'").select("o_orderkey", F.lit(1).alias("ord"), path(F.col("k").cast("string"), F.lit("flag")).alias("path"), none.alias("after"), F.lit('"returned"').alias("value"))
     more = j.filter("o_orderstatus = 'P'").select("o_orderkey", F.lit(2).alias("ord"), path(F.lit("-")).alias("path"), none.alias("after"), F.lit('{"line":0}').alias("value"))
     return apply_patches(docs, heavy.unionByName(back).unionByName(more), ["o_orderkey"], "doc")
+
+
+_WORDS = {"has digits": "regexp_matches(text, '[0-9]')", "has a question": "contains(text, '?')", "long": "length(text) > 500", "lines": "contains(text, chr(10))", "shouts": "regexp_matches(text, '[A-Z]{4}')"}
+
+
+@query("SELECT role, unnest(['has digits', 'has a question', 'long', 'lines', 'shouts']) AS predicate, unnest([" + ", ".join(f"count(*) FILTER (WHERE {p})" for p in _WORDS.values()) + "]) AS have, 100::BIGINT AS need, unnest([" + ", ".join(f"count(*) FILTER (WHERE {p}) >= 100" for p in _WORDS.values()) + "]) AS covered FROM conversations GROUP BY role")
+def coverage_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five predicates of every turn as one bitmap, summed by role."""
+    c = table(spark, sf_dir, "conversations", "role", "text")
+    return coverage(c, "role", {k: v.replace("regexp_matches", "rlike").replace("chr(10)", "'\\n'") for k, v in _WORDS.items()}, 100)
+
+
+@query("""WITH f AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_returnflag AS a, l_linestatus AS b, l_quantity AS q FROM lineitem),
+facts AS (SELECT * FROM f WHERE n % 2 = 0), items AS (SELECT * FROM f WHERE n % 2 = 1),
+met AS (SELECT f.g, f.n, CASE WHEN f.a = i.a AND f.b = i.b THEN 1 WHEN f.a = i.a THEN 2 ELSE 3 END AS priority, i.n AS item, i.q AS iq, f.q AS fq
+        FROM facts f JOIN items i ON f.g = i.g AND (f.a = i.a OR f.b = i.b)),
+best AS (SELECT g, n, priority, item, fq = iq AS same FROM met QUALIFY row_number() OVER (PARTITION BY g, n ORDER BY priority, item) = 1)
+SELECT coalesce(priority, 0) AS priority, count(*) AS facts, sum(item)::BIGINT AS places, count(*) FILTER (WHERE same) AS same_quantity FROM facts LEFT JOIN best USING (g, n) GROUP BY 1""")
+def first_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even lines of an order take its first odd line of equal flag and status, else of equal flag, else of equal status."""
+    i = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    f = i.select(F.col("l_orderkey").alias("g"), n.alias("n"), F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"), F.col("l_quantity").alias("q"))
+    both = F.concat_ws("|", "a", "b")
+    met = first_match(f.filter("n % 2 = 0"), f.filter("n % 2 = 1"), ["g"], [(both, both), (F.col("a"), F.col("a")), (F.col("b"), F.col("b"))], "n", "n")
+    return met.groupBy(F.coalesce("priority", F.lit(0)).alias("priority")).agg(F.count(F.lit(1)).alias("facts"), F.sum("item.n").cast("long").alias("places"), F.count_if(F.col("q") == F.col("item.q")).alias("same_quantity"))
+
+
+_USERS = """WITH c AS (SELECT user_id, event_type, count(*) FILTER (WHERE value <= 100) AS ok, count(*) AS total FROM events GROUP BY ALL),
+w AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS system, 'c' || user_id % 3 AS category, 'l' || user_id % 5 AS length,
+  sum(ok) FILTER (WHERE event_type = 'view') AS view_ok, sum(total) FILTER (WHERE event_type = 'view') AS view_n,
+  sum(ok) FILTER (WHERE event_type = 'click') AS click_ok, sum(total) FILTER (WHERE event_type = 'click') AS click_n,
+  sum(ok) FILTER (WHERE event_type = 'purchase') AS buy_ok, sum(total) FILTER (WHERE event_type = 'purchase') AS buy_n,
+  coalesce(sum(total - ok) FILTER (WHERE event_type = 'error'), 0) AS n_error FROM c GROUP BY user_id),
+cells AS (
+  SELECT system, category, length, 'A3' AS id, view_ok AS ok, view_n AS n FROM w UNION ALL SELECT system, category, length, 'B1', click_ok, click_n FROM w
+  UNION ALL SELECT system, category, length, 'E1', (n_error = 0)::INT, 1 FROM w UNION ALL SELECT system, category, length, 'H18', buy_n - buy_ok, buy_n FROM w
+  UNION ALL SELECT system, category, length, 'H19', buy_ok, buy_n FROM w),
+sums AS (
+  SELECT system, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(length) = 0 THEN 'length' END AS dim, coalesce(category, length) AS value, id, coalesce(sum(ok), 0)::BIGINT AS num, coalesce(sum(n), 0)::BIGINT AS den
+  FROM cells GROUP BY GROUPING SETS ((system, id), (system, category, id), (system, length, id)))
+SELECT system, dim, value, id, num, den, round(100.0 * num / den, 6) AS pct FROM sums WHERE dim IS NULL OR id IN ('E1', 'H19')"""
+
+
+@query(_USERS)
+def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered metrics with breakdowns over users as calls: one aggregate over grouping sets."""
+    e = table(spark, sf_dir, "events", "user_id", "event_type", "value")
+    cell = F.struct((F.col("value") <= 100).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))
+    counts = e.select("user_id", "event_type", cell.alias("c")).groupBy("user_id", "event_type").agg(F.sum("c.ok").alias("ok"), F.sum("c.total").alias("total"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("ok", "total"))))
+    users = counts.groupBy("user_id").agg(pairs.alias("m"))
+    u, named = F.col("user_id"), lambda **names: F.create_map(*(x for k, v in names.items() for x in (F.lit(k), F.try_element_at("m", F.lit(v)))))
+    wide = users.select(
+        F.when(u % 2 == 0, "base").otherwise("tuned").alias("system"), F.concat(F.lit("c"), (u % 3).cast("string")).alias("category"), F.concat(F.lit("l"), (u % 5).cast("string")).alias("length"),
+        F.lit(True).alias("parse_ok"), F.coalesce(F.expr("m['error'].total - m['error'].ok"), F.lit(0)).cast("int").alias("n_error"),
+        named(turns_valid="view", numbers_in_call="click").alias("counters"), named(medication_hallucinated="purchase", cfa="purchase").alias("reference"),
+    )
+    chosen = tuple(m for m in METRICS if m.id in ("A3", "B1", "E1", "H18", "H19"))
+    return matrix(wide, chosen, ("category", "length")).select("system", "dim", "value", "id", "num", "den", F.round("pct", 6).alias("pct"))

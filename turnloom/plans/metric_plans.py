@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import measures as M
 from turnloom.functions import text as T
 from turnloom.operators import relational as R
+from turnloom.operators.selection import nearest_rank, order_statistics
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
 
@@ -50,8 +51,10 @@ def call_level_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS worst, round(avg(value), 9) AS mean FROM events GROUP BY event_type")
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events", "event_type", "value").groupBy("event_type")
-    return e.agg(M.nearest_rank("value", 0.5).alias("p50"), M.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("worst"), F.round(F.avg("value"), 9).alias("mean"))
+    """Exact percentiles by selection; the rest by partial sums."""
+    e = table(spark, sf_dir, "events", "event_type", "value")
+    ranked = order_statistics(e, ["event_type"], "value", {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)})
+    return ranked.join(e.groupBy("event_type").agg(F.max("value").alias("worst"), F.round(F.avg("value"), 9).alias("mean")), "event_type")
 
 
 @query("SELECT event_type, max(value) FILTER (WHERE r = floor(0.95 * n) + 1) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
@@ -66,7 +69,10 @@ def latency_floor_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, median(value) AS p50 FROM events GROUP BY event_type")
 def latency_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_type", "value").groupBy("event_type").agg(F.median("value").alias("p50"))
+    """The mean of the two middle values, found by selection."""
+    e = table(spark, sf_dir, "events", "event_type", "value")
+    middle = order_statistics(e, ["event_type"], "value", {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    return middle.select("event_type", ((F.col("low") + F.col("high")) / 2).alias("p50"))
 
 
 _AGREE = "SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1 - toxic) AS same, sum(quality) AS a, sum(1 - toxic) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS caught, count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS alarms FROM labels"
