@@ -158,10 +158,19 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first_sentence"))
 
 
-@query("SELECT * FROM (VALUES ('M-E-R-C-E-R called', 'MERCER called'), ('T, T, A, M, S', 'TTAMS'), ('plain words', 'plain words')) v(spoken, joined)")
+_SPELLED = r"\b((?:[A-Za-z](?:\s*[,\-.]\s*|\s+)){2,}[A-Za-z])\b"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z .,]', '', 'g') AS plain FROM conversations),
+s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN array_to_string(l, '-') WHEN 1 THEN array_to_string(l, ', ') ELSE array_to_string(l, ' ') END || ' is spelled so: ' || plain AS spoken FROM (SELECT *, string_split(regexp_extract(plain, '[A-Za-z]{{3,}}'), '') AS l FROM t))
+SELECT conv_id, turn, list_reduce(list_concat([spoken], regexp_extract_all(spoken, '{_SPELLED}', 1)), lambda t, m: replace(t, m, regexp_replace(m, '[^A-Za-z]', '', 'g'))) AS joined FROM s""")
 def spelled_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("M-E-R-C-E-R called",), ("T, T, A, M, S",), ("plain words",)], "spoken string")
-    return rows.select("spoken", T.collapse_spelled(F.col("spoken")).alias("joined"))
+    """Every turn behind its first longer word, which is spelled letter by letter."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("plain", F.regexp_replace("text", "[^A-Za-z .,]", ""))
+    letters = F.split(F.regexp_extract("plain", "[A-Za-z]{3,}", 0), "")
+    between = F.when(F.col("turn") % 3 == 0, "-").when(F.col("turn") % 3 == 1, ", ").otherwise(" ")
+    spelled = F.aggregate(F.slice(letters, F.lit(2), F.greatest(F.size(letters) - 1, F.lit(0))), F.get(letters, F.lit(0)), lambda t, x: F.concat(t, between, x))
+    return c.select("conv_id", "turn", T.collapse_spelled(F.concat(spelled, F.lit(" is spelled so: "), "plain")).alias("joined"))
 
 
 @query(

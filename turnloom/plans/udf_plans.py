@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.functions.fuzzy import may_reach, repaired_quote, seq_ratio_udf
-from turnloom.functions.spoken import extract_dose_udf, number_candidates_udf, spoken_date_udf
+from turnloom.functions.spoken import MONTHS, ONES, ORDINALS, TEENS, TENS, extract_dose_udf, number_candidates_udf, spoken_date_udf
 from turnloom.operators.greedy import greedy_match
 from turnloom.operators.relational import turn_windows
 from turnloom.plans.registry import query
@@ -32,17 +32,40 @@ def seq_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter("ratio >= 0.85")
 
 
-@query()
+def _ordinals() -> list[str]:
+    """The days of a month as said."""
+    ones = list(ORDINALS)[:9]
+    return [*list(ORDINALS)[:19], "twentieth", *(f"twenty {o}" for o in ones), "thirtieth", f"thirty {ones[0]}"]
+
+
+def _years() -> list[str]:
+    """The years of a century from ten on as said."""
+    return [*TEENS, *(t if k == 0 else f"{t} {ONES[k]}" for t in TENS for k in range(10))]
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 40 YEAR, '%Y-%m-%d') AS iso FROM orders")
 def spoken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("December eighth, nineteen thirty three",), ("November fifth, twenty twenty",), ("no date",)], "said string")
-    return rows.select("said", spoken_date_udf("said").alias("iso"))
+    """Every order's date of forty years before in words, read back."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").withColumn("d", F.add_months("o_orderdate", -480))
+    month = F.initcap(F.get(F.lit(list(MONTHS)), F.month("d") - 1))
+    said = F.concat(month, F.lit(" "), F.get(F.lit(_ordinals()), F.dayofmonth("d") - 1), F.lit(", nineteen "), F.get(F.lit(_years()), F.year("d") - 1910))
+    return o.select("o_orderkey", spoken_date_udf(said).alias("iso"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS drug, p_size % 25 + 1 AS n, p_partkey % 4 AS kind FROM part)
+SELECT p_partkey, drug, CASE WHEN kind < 3 THEN n::VARCHAR END AS dose, CASE kind WHEN 0 THEN 'mg' WHEN 1 THEN 'mL' WHEN 2 THEN 'tablets' END AS unit FROM p""")
 def extract_doses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("solution of morphine 20 mg per mL, 0.25 mL under the tongue", "morphine"), ("Ibuprofen 100 mg per 5 mL was there and the box said 7.5 mL", "ibuprofen"), ("Albuterol was needed twice", "albuterol")]
-    found = spark.createDataFrame(rows, "text string, drug string").withColumn("d", extract_dose_udf(["morphine", "ibuprofen", "albuterol"])("text", "drug"))
-    return found.select("text", "drug", "d.dose", "d.unit")
+    """A dose of every part in one of four wordings: behind its name, of it, behind another one's strength, none."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", F.split("p_name", " ")[0].alias("drug"), (F.col("p_size") % 25 + 1).cast("string").alias("n"), (F.col("p_partkey") % 4).alias("kind"))
+    kind = F.col("kind")
+    said = (
+        F.when(kind == 0, F.concat("drug", F.lit(" "), "n", F.lit(" mg every day")))
+        .when(kind == 1, F.concat(F.lit("gave "), "n", F.lit(" milliliters of "), "drug", F.lit(" at night")))
+        .when(kind == 2, F.concat("drug", F.lit(" 900 mg per mL was there, "), "n", F.lit(" pills went down")))
+        .otherwise(F.concat("drug", F.lit(" was needed "), "n", F.lit(" times")))
+    )
+    names = sorted(r.drug for r in p.select("drug").distinct().limit(1000).collect())  # a word list, as the formulary is one
+    return p.withColumn("d", extract_dose_udf(names)(said, "drug")).select("p_partkey", "drug", "d.dose", "d.unit")
 
 
 @query()
