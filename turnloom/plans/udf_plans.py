@@ -70,10 +70,10 @@ def extract_doses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quote_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each turn with its words cut short, repaired from the turn."""
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("first", F.get(T.sentences(F.col("text")), F.lit(0)))
-    c = c.filter(F.length("first") > 20).withColumn("quote", F.expr("substr(first, 1, length(first) - 6)"))
-    return c.select("conv_id", "turn", (repaired_quote(F.col("quote"), F.col("text")) == F.col("first")).alias("restored"))
+    """Every sentence of each turn with its end cut off, repaired from the turn; a short one has too little left."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", "text", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
+    c = c.withColumn("quote", F.expr("left(sentence, greatest(length(sentence) - 6, 1))"))
+    return c.select("conv_id", "turn", "place", repaired_quote(F.col("quote"), F.col("text")).alias("repaired"))
 
 
 @query()
