@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from turnloom.operators.validation import validate
+from turnloom.operators.validation import BULLET_RULES, Rule, _finding, validate
 
 TURNS = [
     (1, "Nurse", "Hospice line, this is Lena. How can I help?"),
@@ -108,3 +108,17 @@ def test_authored_calls(spark):
     for name in ("parse_ok", "schema_valid", "quote_valid", "turns_valid", "numbers_in_call"):
         assert by[name].ok == by[name].total > 0, name
     assert findings.filter("severity = 'ERROR'").count() == 0
+
+
+def test_a_failing_rule_is_isolated(spark):
+    """A rule that fails on one summary gives V0 there; all other rules, and the rule elsewhere, go on."""
+    broken = Rule("V99", "fails on a text", lambda: ([F.when(F.col("text").contains("poison"), F.raise_error(F.lit("boom")).cast("array<struct<rule:string,severity:string,path:string,message:string>>")).otherwise(_finding(F.col("section") == "response", "V99", "INFO", F.col("path"), "seen"))], []))
+    given = [summary(), summary(assessment__text="poison", assessment__quote="not said"), summary(assessment__text="")]
+    s = spark.createDataFrame([("m", f"c{k}", json.dumps(t)) for k, t in enumerate(given)], "system string, call_id string, summary string")
+    turns = spark.createDataFrame([(f"c{k}", *t) for k in range(3) for t in TURNS], "call_id string, turn_id int, speaker string, text string")
+    findings, counters = validate(s, turns, rules=(*BULLET_RULES, broken))
+    rows = findings.collect()
+    by = {k: {r.rule for r in rows if r.call_id == k} for k in ("c0", "c1", "c2")}
+    assert by["c0"] == {"V99"} and by["c1"] == {"V0", "V4"} and by["c2"] == {"V16", "V99"}
+    assert [r.message for r in rows if r.rule == "V0"] == ["rule V99 failed on this summary"]
+    assert {r.call_id: (r.ok, r.total) for r in counters.filter("name = 'quote_valid'").collect()} == {"c0": (3, 3), "c1": (2, 3), "c2": (3, 3)}

@@ -8,8 +8,11 @@ the end. A rule's regular expressions are literals and its text work is shared t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ SUMMARY = (
     + ", risk_flags array<struct<category: string, turns: array<int>, quote: string>>"
 )
 KEYS = ("system", "call_id")
+#: What a rule says of a row: arrays of findings, arrays of counters.
+Said = tuple[list[Column], list[Column]]
 
 
 def _finding(when: Column, rule: str, severity: str, path: Column, message: Column | str) -> Column:
@@ -100,11 +105,11 @@ def _prepared(rows: DataFrame, context: DataFrame) -> DataFrame:
     return b.withColumn("section_no", order).withColumn("copy", F.row_number().over(again))
 
 
-def _turn_rule() -> tuple[Column, Column]:
+def _turn_rule() -> Said:
     """V3: the cited turns are there."""
     inside = (F.size("ids") > 0) & F.forall("ids", lambda i: (i >= 1) & (i <= F.col("n")))
     found = _finding(~inside, "V3", "ERROR", F.concat("path", F.lit(".turns")), "cited turns are empty or outside the call")
-    return found, _counter("turns_valid", inside)
+    return [found], [_counter("turns_valid", inside)]
 
 
 def _status_cues() -> Column:
@@ -138,57 +143,77 @@ def _status_findings() -> Column:
     return F.transform(F.filter(numbered, lambda f: f["f"]["type"] == "action"), of_fact)
 
 
-def _bullet_rules() -> tuple[list[Column], list[Column]]:
-    """Findings and counters of the rules on one bullet."""
-    path, quote, text = F.col("path"), F.col("quote"), F.col("text")
-    at = lambda end: F.concat(path, F.lit(end))
-    blank = F.trim(quote) == ""
-    valid = ~blank & (F.col("exact") | (F.col("ratio") >= REPAIRABLE))
-    turns_found, turns_counted = _turn_rule()
+def _valid() -> tuple[Column, Column]:
+    """Whether a bullet's quote is empty, and whether it is in the cited turns or near enough to repair."""
+    blank = F.trim("quote") == ""
+    return blank, ~blank & (F.col("exact") | (F.col("ratio") >= REPAIRABLE))
+
+
+def _at(end: str) -> Column:
+    return F.concat("path", F.lit(end))
+
+
+def _quote_rule() -> Said:
+    """V4: the quote stands in the cited turns."""
+    blank, valid = _valid()
     elsewhere = F.exists("norms", lambda x: T.padded_contains(x, F.col("plain_quote")))
-    found: list[Column] = [
-        turns_found,
-        _finding(blank, "V4", "ERROR", at(".quote"), "empty quote"),
-        _finding(valid & ~F.col("exact"), "V4", "WARN", at(".quote"), "quote differs slightly from the cited turns"),
-        _finding(~blank & ~valid & elsewhere, "V4", "ERROR", at(".quote"), "quote is in other turns than those cited"),
-        _finding(~blank & ~valid & ~elsewhere, "V4", "ERROR", at(".quote"), "quote not found in the call"),
+    found = [
+        _finding(blank, "V4", "ERROR", _at(".quote"), "empty quote"),
+        _finding(valid & ~F.col("exact"), "V4", "WARN", _at(".quote"), "quote differs slightly from the cited turns"),
+        _finding(~blank & ~valid & elsewhere, "V4", "ERROR", _at(".quote"), "quote is in other turns than those cited"),
+        _finding(~blank & ~valid & ~elsewhere, "V4", "ERROR", _at(".quote"), "quote not found in the call"),
     ]
-    counts = [turns_counted, _counter("quote_exact", F.col("exact") & ~blank), _counter("quote_valid", valid)]
+    return found, [_counter("quote_exact", F.col("exact") & ~blank), _counter("quote_valid", valid)]
+
 
+def _speaker_rule() -> Said:
+    """V5: the quoted turns have the bullet's speaker."""
+    _, valid = _valid()
     good = F.filter("ids", lambda i: (i >= 1) & (i <= F.col("n")))
     holders = F.filter(good, lambda i: T.padded_contains(F.element_at("norms", i), F.col("plain_quote")))
     holders = F.when(F.size(holders) > 0, holders).otherwise(good)
     spoken = F.exists(holders, lambda i: F.element_at("speakers", i) == F.col("speaker"))
-    found.append(_finding(valid & ~spoken, "V5", "WARN", at(".speaker"), "the quoted turns have another speaker"))
-    counts.append(_counter("speaker_ok", spoken, valid))
+    return [_finding(valid & ~spoken, "V5", "WARN", _at(".speaker"), "the quoted turns have another speaker")], [_counter("speaker_ok", spoken, valid)]
+
 
+def _number_rule() -> Said:
+    """V6: numbers were said in the call, near the cited turns."""
     in_window = lambda x: T.supported(x, F.col("window_numbers"))
     in_call = lambda x: in_window(x) | T.supported(x, F.col("call_numbers"))
-    say = lambda x, sev, msg: F.struct(F.lit("V6").alias("rule"), F.lit(sev).alias("severity"), path.alias("path"), F.concat(F.lit("number "), x, F.lit(msg)).alias("message"))
-    found.append(F.transform(F.filter("numbers", lambda x: ~in_call(x)), lambda x: say(x, "ERROR", " is not in the call")))
-    found.append(F.transform(F.filter("numbers", lambda x: in_call(x) & ~in_window(x)), lambda x: say(x, "INFO", " is in the call but not near the cited turns")))
+    say = lambda x, sev, msg: F.struct(F.lit("V6").alias("rule"), F.lit(sev).alias("severity"), F.col("path").alias("path"), F.concat(F.lit("number "), x, F.lit(msg)).alias("message"))
+    found = [
+        F.transform(F.filter("numbers", lambda x: ~in_call(x)), lambda x: say(x, "ERROR", " is not in the call")),
+        F.transform(F.filter("numbers", lambda x: in_call(x) & ~in_window(x)), lambda x: say(x, "INFO", " is in the call but not near the cited turns")),
+    ]
     tally = lambda name, test: F.transform("numbers", lambda x: F.struct(F.lit(name).alias("name"), F.coalesce(test(x), F.lit(False)).cast("long").alias("ok"), F.lit(1).cast("long").alias("total")))
-    counts += [tally("numbers_in_window", in_window), tally("numbers_in_call", in_call)]
+    return found, [tally("numbers_in_window", in_window), tally("numbers_in_call", in_call)]
 
+
+def _status_rule() -> Said:
+    """V10: planned and completed actions are worded as the nurse said them."""
     wrong = F.when(F.col("speaker") == "Nurse", _status_findings()).otherwise(F.slice(_status_findings(), 1, 0))
-    found.append(F.flatten(wrong))
-    counts.append(F.transform(wrong, lambda w: F.struct(F.lit("status_consistent").alias("name"), (F.size(w) == 0).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))))
+    return [F.flatten(wrong)], [F.transform(wrong, lambda w: F.struct(F.lit("status_consistent").alias("name"), (F.size(w) == 0).cast("long").alias("ok"), F.lit(1).cast("long").alias("total")))]
+
 
+def _hedge_rule() -> Said:
+    """V11: a caller's hedge is kept."""
     told = (F.col("section") != "chief_complaint") & (F.col("speaker") == "Caller") & (F.size("facts") > 0)
-    hedged = C.says(quote, C.HEDGE)
-    kept = F.exists("facts", lambda f: f["certainty"] == "unclear") | C.says(text, C.SOFTENER)
-    found.append(_finding(told & hedged & ~kept, "V11", "WARN", path, "the quote has a hedge but the bullet states it as certain"))
-    counts.append(_counter("hedge_kept", ~hedged | kept, told))
-
-    found += [
-        _finding(F.trim(text) == "", "V16", "ERROR", at(".text"), "empty text"),
-        _finding(F.col("copy") > 1, "V16", "WARN", path, "duplicate bullet"),
-        _finding(~F.coalesce(F.col("explanation"), F.lit("")).startswith("Documents"), "V16", "INFO", at(".explanation"), "explanation does not start with 'Documents'"),
+    hedged = C.says(F.col("quote"), C.HEDGE)
+    kept = F.exists("facts", lambda f: f["certainty"] == "unclear") | C.says(F.col("text"), C.SOFTENER)
+    return [_finding(told & hedged & ~kept, "V11", "WARN", F.col("path"), "the quote has a hedge but the bullet states it as certain")], [_counter("hedge_kept", ~hedged | kept, told)]
+
+
+def _form_rule() -> Said:
+    """V16: text, repeats and explanation."""
+    found = [
+        _finding(F.trim("text") == "", "V16", "ERROR", _at(".text"), "empty text"),
+        _finding(F.col("copy") > 1, "V16", "WARN", F.col("path"), "duplicate bullet"),
+        _finding(~F.coalesce(F.col("explanation"), F.lit("")).startswith("Documents"), "V16", "INFO", _at(".explanation"), "explanation does not start with 'Documents'"),
     ]
-    return found, counts
+    return found, []
 
 
-def _term_rules() -> tuple[list[Column], list[Column]]:
+def _term_rules() -> Said:
     """V8: a clinical term of the summary that the call never mentions, or only by a loose synonym."""
     named = F.filter("facts", lambda f: f["type"].isin("symptom", "pertinent_negative", "vital", "context"))
     said = F.concat_ws(" ", "text", F.array_join(F.transform(named, lambda f: F.coalesce(f["name"], F.lit(""))), " "))
@@ -309,27 +334,97 @@ def _summary_rules(s: DataFrame) -> DataFrame:
     return s.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
 
 
-def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Rule:
+    """A rule on one bullet: its name, what it holds, and its columns over ``_prepared`` rows."""
+
+    name: str
+    holds: str
+    columns: Callable[[], Said]
+
+
+#: The rules on bullets in their order; all of them are one projection. A caller may pass others to ``validate``.
+BULLET_RULES: tuple[Rule, ...] = (
+    Rule("V3", "cited turns exist", _turn_rule),
+    Rule("V4", "quotes stand in the cited turns", _quote_rule),
+    Rule("V5", "quotes have the speaker", _speaker_rule),
+    Rule("V6", "numbers were said", _number_rule),
+    Rule("V8", "clinical terms were said", _term_rules),
+    Rule("V10", "planned and completed as said", _status_rule),
+    Rule("V11", "hedges are kept", _hedge_rule),
+    Rule("V16", "text, repeats, explanation", _form_rule),
+)
+#: Parts of the summaries at most in which a failing rule is looked for at once.
+MOST_SUSPECTS = 64
+
+
+def _said_by(rows: DataFrame, *rules: Rule) -> DataFrame:
+    said = [r.columns() for r in rules]
+    none = _finding(F.lit(False), "", "", F.lit(""), ""), _counter("", F.lit(False), F.lit(False))
+    found, counts = ([c for one in said for c in one[k]] or [none[k]] for k in (0, 1))
+    return rows.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
+
+
+def _works(rows: DataFrame) -> bool:
+    try:
+        rows.write.format("noop").mode("overwrite").save()
+    except PySparkException:
+        return False
+    return True
+
+
+def _isolated(name: str, rows: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a rule says of ``rows``, and V0 for the summaries on which it fails.
+
+    The failing summaries are found by halving: only halves in which the rule still fails are parted
+    again, by one more bit of the key's hash. Beyond ``MOST_SUSPECTS`` failing parts each part gets V0 whole.
+    """
+    try:
+        return worked_out(rule(rows))
+    except PySparkException:
+        pass
+    h, suspects = F.xxhash64(*KEYS), [0]
+    for bit in range(48):
+        halves = [v | (side << bit) for v in suspects for side in (0, 1)]
+        failing = [v for v in halves if not _works(rule(rows.filter(h.bitwiseAND(F.lit((2 << bit) - 1).cast("long")) == v)))]
+        suspects, within = failing, F.lit((2 << bit) - 1).cast("long")
+        inside = h.bitwiseAND(within).isin(*suspects) if suspects else F.lit(False)
+        if len(suspects) > MOST_SUSPECTS or rows.filter(inside).select(*KEYS).distinct().count() <= len(suspects):
+            break
+    bad = worked_out(rows.filter(inside).select(*KEYS).distinct())
+    failed = _finding(F.lit(True), "V0", "ERROR", F.lit("$"), f"rule {name} failed on this summary")
+    blank = bad.select(*KEYS, failed.alias("findings"), _counter("", F.lit(False), F.lit(False)).alias("counters"))
+    return worked_out(rule(rows.filter(~inside))).unionByName(blank)
+
+
+def validate(summaries: DataFrame, turns: DataFrame, drugs: list[str] | None = None, rules: tuple[Rule, ...] = BULLET_RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, counters) of JSON ``summaries`` (system, call_id, summary) over ``turns`` (call_id, turn_id, speaker, text).
 
     findings: system, call_id, rule, severity, path, message. counters: system, call_id, name, ok,
     total, summed. A summary that breaks the closed schema (V1) gets V2 and V3 only. With ``drugs``
     (names in lower case) V7 and V13 to V15 run as well. Parsed summaries, call texts, prepared bullets
-    and what all rules say are worked out once, in the shared folder.
+    and what all rules say are worked out once, in the shared folder. If that job fails, each rule is
+    worked out apart and a summary on which a rule fails gets V0 in its place.
     """
     s = worked_out(parsed(summaries))
     whole, odd = (s.filter(F.col("keys").isNotNull() & good) for good in (F.size("errors") == 0, F.size("errors") > 0))
     context = worked_out(call_context(turns))
     b = worked_out(_prepared(bullets(whole), context))
-    (found, counts), (more, sums) = _bullet_rules(), _term_rules()
-    found, counts = found + more, counts + sums
-    rows = b.select(*KEYS, F.concat(*found).alias("findings"), F.concat(*counts).alias("counters"))
-    said = rows.unionByName(_negation_findings(b)).unionByName(_summary_rules(s))
     cited = bullets(odd).join(context.select("call_id", "n"), "call_id")
-    said = said.unionByName(cited.select(*KEYS, *(x.alias(n) for x, n in zip(_turn_rule(), ("findings", "counters"), strict=True))))
+    turn_rule = tuple(r for r in rules if r.name == "V3")
+    parts: list[tuple[str, DataFrame, Callable[[DataFrame], DataFrame]]] = [
+        ("V12", b, _negation_findings),
+        ("V1", s, _summary_rules),
+        ("V3", cited, lambda x: _said_by(x, *turn_rule)),
+        ("V9", whole, lambda x: identity_findings(x, context)),
+    ]
     if drugs is not None:
-        said = said.unionByName(_drug_findings(b, drugs)).unionByName(_flag_findings(whole, turns, drugs))
-    said = worked_out(said.unionByName(identity_findings(whole, context)))
+        parts += [("V7", b, lambda x: _drug_findings(x, drugs)), ("V13", whole, lambda x: _flag_findings(x, turns, drugs))]
+    try:
+        said = worked_out(reduce(DataFrame.unionByName, (rule(rows) for _, rows, rule in parts), _said_by(b, *rules)))
+    except PySparkException:
+        apart = [(r.name, b, lambda x, r=r: _said_by(x, r)) for r in rules] + parts
+        said = reduce(DataFrame.unionByName, (_isolated(*part) for part in apart))
     findings = said.select(*KEYS, F.explode("findings").alias("f")).select(*KEYS, "f.*")
     counters = said.select(*KEYS, F.explode("counters").alias("c")).select(*KEYS, "c.*")
     return findings, counters.groupBy(*KEYS, "name").agg(F.sum("ok").alias("ok"), F.sum("total").alias("total"))
