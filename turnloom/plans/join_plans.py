@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators import relational as R
+from turnloom.operators.top_pairs import top_pairs
 from turnloom.plans.registry import query
 from turnloom.plans.text_plans import sql_normalize
 from turnloom.sources.tables import table
@@ -120,9 +121,10 @@ def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_JACCARD.format(a=_gram_sql("benchmark", "item_id"), b=_gram_sql("benchmark", "item_id"), x="item_id", y="item_id", p="a_id", q="b_id", w="s.i < s.j") + " ORDER BY jaccard DESC, a_id DESC, b_id DESC LIMIT 5")
 def top5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar pairs of all items."""
     a = table(spark, sf_dir, "benchmark").select("item_id", T.char_grams(T.normalize(F.col("text"))).alias("grams"))
-    pairs = R.gram_jaccard(a.withColumnRenamed("item_id", "a_id"), a.withColumnRenamed("item_id", "b_id"), "a_id", "b_id", "grams", 0.0).filter("a_id < b_id")
-    return pairs.withColumn("jaccard", F.round("jaccard", 9)).orderBy(F.desc("jaccard"), F.desc("a_id"), F.desc("b_id")).limit(5)
+    pairs, _ = top_pairs(a, "item_id", "grams", 5)
+    return pairs.withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("SELECT sha256(text) AS value, count(*) AS rows, count(DISTINCT source) AS splits, CASE WHEN count(DISTINCT source) > 1 THEN 'ERROR' ELSE 'WARN' END AS severity, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1")

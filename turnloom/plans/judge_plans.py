@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators.coverage import coverage
+from turnloom.operators.exports import final_flags, statuses
 from turnloom.operators.first_match import first_match
 from turnloom.operators.judge_set import stratified_samples
 from turnloom.operators.matrix import METRICS, matrix
+from turnloom.operators.med_errors import error_table, medication_errors
 from turnloom.operators.patch import apply_patches
+from turnloom.operators.top_pairs import top_pairs
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
 
@@ -111,3 +114,66 @@ def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chosen = tuple(m for m in METRICS if m.id in ("A3", "B1", "E1", "H18", "H19"))
     return matrix(wide, chosen, ("category", "length")).select("system", "dim", "value", "id", "num", "den", F.round("pct", 6).alias("pct"))
+
+
+_PAIRS = """WITH s AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS g FROM documents WHERE text IS NOT NULL),
+w AS (SELECT id, len(g) AS n, unnest(g) AS word FROM s),
+m AS (SELECT a.id AS a_id, b.id AS b_id, a.n AS an, b.n AS bn, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
+SELECT a_id, b_id, round(c / (an + bn - c), 9) AS jaccard FROM m ORDER BY c / (an + bn - c) DESC, a_id DESC, b_id DESC LIMIT 50"""
+
+
+@query(_PAIRS)
+def top50_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty most similar pairs of all documents by their words."""
+    words = F.array_remove(F.split(F.lower("text"), r"\s+"), "")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    pairs, _ = top_pairs(docs.select("doc_id", words.alias("w")), "doc_id", "w", 50)
+    return pairs.select("a_id", "b_id", F.round("jaccard", 9).alias("jaccard"))
+
+
+_MENTIONS = """WITH m AS (SELECT user_id, event_id, event_type AS name, event_id % 2 = 0 AS gold, floor(value)::BIGINT % 4 AS d, CASE event_id % 3 WHEN 0 THEN 'mL' ELSE 'mg' END AS unit FROM events),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY event_id) AS k FROM m WHERE gold),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY event_id) AS k FROM m WHERE NOT gold),
+j AS (SELECT coalesce(g.name, p.name) AS name, CASE WHEN p.user_id IS NULL THEN 'not_found' WHEN g.user_id IS NULL THEN 'extra' WHEN p.d = 3 THEN CASE WHEN g.d = 3 THEN 'dose_wrong_or_ok' ELSE 'dose_missing' END
+   WHEN g.d = p.d AND g.unit = p.unit THEN 'ok' WHEN g.d = p.d THEN 'unit_wrong' ELSE 'dose_wrong' END AS kind, g.d AS gd
+   FROM g FULL JOIN p ON g.user_id = p.user_id AND g.name = p.name AND g.k = p.k),
+c AS (SELECT name, CASE WHEN kind = 'dose_wrong_or_ok' THEN 'dose_missing' ELSE kind END AS kind FROM j)
+SELECT name, """ + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in ("ok", "dose_missing", "unit_wrong", "dose_wrong", "not_found", "extra")) + " FROM c GROUP BY name"
+
+
+@query(_MENTIONS)
+def medication_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six classes of errors over events as mentions: even ones are gold, odd ones the model's, a dose of 3 is none for the model."""
+    e = table(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value")
+    dose = F.floor("value") % 4
+    unit = F.when(F.col("event_id") % 3 == 0, "mL").otherwise("mg")
+    m = e.select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("name"), dose.alias("d"), unit.alias("unit"))
+    gold = m.filter("ord % 2 = 0").select("user_id", "ord", "name", F.col("d").cast("string").alias("dose"), "unit")
+    model = m.filter("ord % 2 = 1").select("user_id", "ord", "name", F.when(F.col("d") != 3, F.col("d").cast("string")).alias("dose"), "unit")
+    return error_table(medication_errors(gold, model, ["user_id"]), ["name"])
+
+
+@query("""WITH u AS (SELECT user_id, max(value) < 300 AS ok, count(*) FILTER (WHERE value > 120) AS raw, count(*) FILTER (WHERE value > 180) AS errors, list_sort(list(DISTINCT event_type) FILTER (WHERE value < 0.6)) AS absent FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN NOT ok THEN 'FAILED' WHEN errors > 0 OR len(coalesce(absent, [])) > 0 THEN 'REVIEW' ELSE 'PASS' END AS status,
+CASE WHEN NOT ok THEN 'the output is not valid JSON' WHEN errors > 0 THEN errors || ' rule errors are left after quote repair'
+  WHEN len(coalesce(absent, [])) > 0 THEN 'the caller named ' || array_to_string(absent, ', ') || ', the summary does not (' || CASE WHEN raw > 0 THEN raw - errors || ' quotes were repaired; no rule error is left' ELSE 'no rule error' END || ')'
+  WHEN raw > 0 THEN raw - errors || ' quotes were repaired; no rule error is left' ELSE 'no rule error' END AS why FROM u""")
+def status_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's order of decisions over users as calls: validity, errors after repair, omissions, repairs."""
+    e = table(spark, sf_dir, "events", "user_id", "event_type", "value")
+    u = e.groupBy("user_id").agg(
+        (F.max("value") < 300).alias("parse_ok"), F.count_if(F.col("value") > 120).alias("raw_errors"), F.count_if(F.col("value") > 180).alias("errors"),
+        F.array_sort(F.collect_set(F.when(F.col("value") < 0.6, F.col("event_type")))).alias("absent"),
+    )
+    return statuses(u.withColumn("repaired", F.col("raw_errors") - F.col("errors"))).select("user_id", "status", "why")
+
+
+@query("""WITH m AS (SELECT DISTINCT user_id, event_type AS category FROM events WHERE value > 150), r AS (SELECT DISTINCT user_id, event_type AS category FROM events WHERE value > 90)
+SELECT user_id, category, 'model' AS source FROM m UNION ALL SELECT user_id, category, 'rule' FROM r ANTI JOIN m USING (user_id, category) WHERE user_id % 7 <> 0""")
+def merged_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of the model and those of the rules that it lacks; a seventh of the users are not applicable."""
+    e = table(spark, sf_dir, "events", "user_id", "event_type", "value")
+    none = (F.lit(None).cast("array<int>").alias("turns"), F.lit(None).cast("string").alias("quote"))
+    over = lambda least: e.filter(F.col("value") > least).select("user_id", F.col("event_type").alias("category")).distinct().select("*", *none)
+    calls = e.select("user_id", (F.col("user_id") % 7 == 0).alias("is_na")).distinct()
+    return final_flags(over(150), over(90), calls, ["user_id"]).select("user_id", "category", "source")

@@ -95,10 +95,10 @@ def readable_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", P.readable_date(text).alias("shown"))
 
 
-@query("""SELECT conv_id, sum(length(coalesce(text, ''))) AS chars, sum(length(coalesce(text, ''))) <= 2000 AS fits FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, to_json(list({'role': coalesce(role, ''), 'content': coalesce(text, '')} ORDER BY turn, role, text))::VARCHAR AS messages, sum(length(coalesce(text, ''))) AS chars, sum(length(coalesce(text, ''))) <= 2000 AS fits FROM conversations GROUP BY 1""")
 def training_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.training_messages(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", 2000)
-    return m.select("conv_id", "chars", "fits")
+    return m.select("conv_id", "messages", "chars", "fits")
 
 
 _LINES = "(SELECT l_orderkey AS id, l_linenumber AS ord, min(CASE WHEN l_linenumber % 2 = 0 THEN 'auto' ELSE l_returnflag END) AS turns, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
