@@ -442,3 +442,21 @@ def test_a_text_without_a_letter_is_undetermined(spark):
     odd = spark.createDataFrame([(k, t) for k, t in enumerate(["²", "½ 3", "①", "12_", "", None, "a", "ä", "語"])], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in predict_language(odd, model).collect()}
     assert all(got[k] == ("und", 0.0) for k in range(6)) and all(got[k][0] in ("en", "de") for k in (6, 7, 8))
+
+
+def test_decontamination_finds_pairs_near_the_threshold(spark):
+    """Planted windows with a similarity of 0.80 to 0.85, where fingerprints differ most: none may be lost."""
+    rng = random.Random(17)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    items, texts, near = [], [], []
+    for k in range(300):
+        item = rng.choices(vocabulary, k=rng.randint(40, 110))
+        planted = list(item)
+        while (best_windows(" ".join(planted), " ".join(item)) or (0, 0))[0] > 0.85:
+            planted[rng.randrange(len(planted))] = f"changed{rng.randrange(10**6)}"
+        items.append((k, " ".join(item)))
+        texts.append((k, " ".join(rng.choices(vocabulary, k=30) + planted + rng.choices(vocabulary, k=30)), *[None] * 6))
+        if best_windows(texts[-1][1], items[-1][1])[0] >= 0.8:
+            near.append((k, k))
+    found = {(r.doc_id, r.item_id) for r in benchmark_matches(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(near) > 60 and found == set(near), (len(near), len(found & set(near)))
