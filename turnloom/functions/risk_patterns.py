@@ -37,3 +37,10 @@ RULES = (
     ("other_urgent", "death_arrest", "Caller", True, False, r"passed away|has died|just died|stopped breathing|no pulse|isn'?t breathing(?! (?:hard|fast|heavy|heavily|well|right))|not breathing(?! (?:hard|fast|heavy|heavily|well|right))|he'?s gone|she'?s gone|funeral home"),
     ("other_urgent", "neuro_emergency", "Caller", True, False, r"face (?:is )?(?:drooping|falling)|slurred|(?:having|think .{0,12}) a stroke|can'?t move (?:his|her) (?:arm|leg)|unresponsive|(?:he|she|they|patient)\s+won'?t wake|not waking|can'?t wake|hard to wake|unconscious|passed out|collapsed"),
 )
+
+# What a question, a time, a continued list and a condition look like, and the words of a number.
+PLEA = r"\bcan (?:someone|somebody|a nurse|the nurse|anyone)"
+LATER = r"before|after|between|tomorrow|next|monday|tuesday|wednesday|thursday|friday|saturday|sunday|morning|usual|regular|schedul|later"
+CONTINUES = r"(?:then|and then|so then)\b"
+RETURN = r"[^.?!]{0,25}\b(?:if|when|for|should)\b"
+SPOKEN_NUMBER = r"\b(?:\d+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|point|oh)\b"

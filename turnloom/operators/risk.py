@@ -37,17 +37,11 @@ class Turn:
         return bool(self.recent_nurse and (_rx(P.CONDITIONAL).search(self.recent_nurse) or _rx(r"\bcall\b|\b911\b|nine one one").search(self.recent_nurse)))
 
 
-_PLEA = r"\bcan (?:someone|somebody|a nurse|the nurse|anyone)"
-_LATER = r"before|after|between|tomorrow|next|monday|tuesday|wednesday|thursday|friday|saturday|sunday|morning|usual|regular|schedul|later"
-_CONTINUES = r"(?:then|and then|so then)\b"
-_RETURN = r"[^.?!]{0,25}\b(?:if|when|for|should)\b"
-
-
 def _sentence_can_hit(turn: Turn, sentence: str, category: str) -> bool:
     """What rules out a whole sentence for a category."""
-    if sentence.endswith("?") and (category not in (SUICIDAL, ESCALATION) or _rx(_LATER).search(sentence)):
+    if sentence.endswith("?") and (category not in (SUICIDAL, ESCALATION) or _rx(P.LATER).search(sentence)):
         return False
-    if turn.speaker == "Nurse" and _rx(_CONTINUES).match(sentence):
+    if turn.speaker == "Nurse" and _rx(P.CONTINUES).match(sentence):
         return False
     return not (category in _STATE and _rx(P.HISTORICAL).search(sentence))
 
@@ -56,8 +50,8 @@ def _match_survives(turn: Turn, sentence: str, category: str, negatable: bool, m
     """What rules out one match by the words around it."""
     before, after = sentence[: m.start()], sentence[m.end() :]
     return not (
-        (sentence.endswith("?") and not _rx(_PLEA).search(m[0]))
-        or (turn.speaker == "Nurse" and _rx(_RETURN).match(after))
+        (sentence.endswith("?") and not _rx(P.PLEA).search(m[0]))
+        or (turn.speaker == "Nurse" and _rx(P.RETURN).match(after))
         or (negatable and _rx(P.NEGATED_BEFORE).search(before[-40:]))
         or (category != SUICIDAL and _rx(P.CONDITIONAL).search(before))
     )
@@ -65,7 +59,7 @@ def _match_survives(turn: Turn, sentence: str, category: str, negatable: bool, m
 
 def _pain_answer(turn: Turn, sentence: str) -> bool:
     """A short answer with one high number to the question how strong the pain is."""
-    numbers = _rx(r"\b(?:\d+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|point|oh)\b").findall(sentence)
+    numbers = _rx(P.SPOKEN_NUMBER).findall(sentence)
     short = turn.speaker == "Caller" and len(sentence.split()) <= 8 and len(numbers) == 1 and not sentence.endswith("?")
     return bool(
         short and _rx(P.PAIN_ASK).search(turn.recent_nurse) and _rx(rf"\b{P.HIGH_NUMBER}\b{P.NO_UNIT_AFTER}").search(sentence) and not _rx(P.HISTORICAL).search(sentence)

@@ -37,6 +37,7 @@ OBJECTS = {
     },
     "flag": {"category": "category", "turns": "integers", "quote": "text"},
 }
+# Required keys, members of arrays, allowed values and JSON types.
 REQUIRED = {
     "top": ("not_applicable", "identity", "assessment", "response", "education", "risk_flags"),
     "not_applicable": ("is_na", "reason"),
