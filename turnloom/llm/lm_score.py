@@ -3,7 +3,8 @@
 Words are lower-cased; a document is its words between a start and an end mark. Target and background
 share no document: every document is counted, with all its words, in exactly one of the two. Both are
 bigram models interpolated with unigrams and a uniform share over one vocabulary, of the same
-weights, which do not depend on how much was counted; both are proper distributions. A document's own
+weights, which do not depend on how much was counted; both sum to one within a hundredth,
+as the vocabulary's size is an estimate. A document's own
 counts are left out of the model that holds it. Its score is the mean over its words and its end of
 the target model's loss less the background model's: lower is more like the target.
 

@@ -31,10 +31,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens; a null text is empty, and the end id 0 closes every document."""
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), capacity=1024, end_id=0)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class; null texts and texts without words have the zero fingerprint."""
     classes = near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"), EXACT)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -48,6 +50,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; only labels whose document is not held out are learned from. Null and empty texts are scored too."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), crc32_mod(F.col("doc_id"), 3) != 1)
@@ -60,7 +63,9 @@ def preference_pairs(turns: DataFrame, spread: int = 64) -> DataFrame:
 
     The pair's lower id is the chosen one and names it; a conversation left over is chosen alone.
     Pairs are first made inside ``spread`` groups of ids and the groups' odd ones then meet, so that
-    a first turn which many conversations share is not gathered in one place.
+    a first turn which many conversations share is not gathered in one place. Ids are not null; null
+    roles and texts of a first turn count as absent, turns of equal number go by role and text; empty
+    conversations do not exist, repeated first turns count once, other columns are ignored.
     """
     first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("first"))
     keyed = first.select("conv_id", F.xxhash64("first.role", "first.text").alias("a"), F.md5(F.concat_ws("\x01", "first.role", "first.text")).alias("b"))
@@ -110,10 +115,12 @@ def capture_log(pages: DataFrame) -> DataFrame:
 
 
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the log derived from ``pages`` with the response it stands for; a null page counts as empty."""
     return resolve_revisits(capture_log(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; ``und`` without a letter. Only documents that are not held out are learned from."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     model = fit_language(docs, crc32_mod(F.col("doc_id"), 4) != 2)
@@ -121,6 +128,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of every document and benchmark item with a similarity of 0.8 or more; null and empty texts match nothing."""
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return benchmark_matches(docs, items).select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
 
@@ -132,6 +140,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its group that stays, the greatest id; null texts count as empty."""
     return content_sort_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
