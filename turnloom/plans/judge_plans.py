@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.operators.coverage import coverage
 from turnloom.operators.exports import final_flags, statuses
 from turnloom.operators.first_match import first_match
+from turnloom.operators.judge_scores import item_confusion, salvaged_object
 from turnloom.operators.judge_set import stratified_samples
 from turnloom.operators.matrix import METRICS, matrix
 from turnloom.operators.med_errors import error_table, medication_errors
@@ -177,3 +178,28 @@ def merged_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = lambda least: e.filter(F.col("value") > least).select("user_id", F.col("event_type").alias("category")).distinct().select("*", *none)
     calls = e.select("user_id", (F.col("user_id") % 7 == 0).alias("is_na")).distinct()
     return final_flags(over(150), over(90), calls, ["user_id"]).select("user_id", "category", "source")
+
+
+@query("""WITH u AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (WHERE event_id % 2 = 0 AND value > 60), []) AS said, coalesce(list(DISTINCT event_type) FILTER (WHERE event_id % 2 = 1 AND value > 60), []) AS truth FROM events GROUP BY user_id)
+SELECT user_id % 3 AS grp, sum(len(list_intersect(said, truth)))::BIGINT AS tp, sum(len(list_filter(said, lambda x: NOT list_contains(truth, x))))::BIGINT AS fp,
+  sum(len(list_filter(truth, lambda x: NOT list_contains(said, x))))::BIGINT AS fn, sum(5 - len(list_distinct(list_concat(said, truth))))::BIGINT AS tn FROM u GROUP BY 1""")
+def item_confusion_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's five event types as items: those of even events over 60 are said, those of odd ones true."""
+    e = table(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value").filter("value > 60")
+    number = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type")).cast("int")
+    of = lambda odd: F.collect_set(F.when(F.col("event_id") % 2 == odd, number))
+    sides = e.groupBy("user_id").agg(of(0).alias("said"), of(1).alias("truth"))
+    users = table(spark, sf_dir, "events", "user_id").distinct().join(sides, "user_id", "left")
+    return item_confusion(users.select((F.col("user_id") % 3).alias("grp"), "said", "truth", F.lit(5).alias("n")), ["grp"], "said", "truth", "n")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN props END AS object, CASE event_id % 5 WHEN 3 THEN 'no JSON object in the output' WHEN 4 THEN 'the JSON object cannot be read' END AS error FROM events""")
+def salvaged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's object out of five kinds of answers: bare, fenced, with words around, absent, broken."""
+    e = table(spark, sf_dir, "events", "event_id", "props")
+    k, props = F.col("event_id") % 5, F.col("props")
+    answer = (
+        F.when(k == 0, props).when(k == 1, F.concat(F.lit("Here:\n```json\n"), props, F.lit("\n```\ndone"))).when(k == 2, F.concat(F.lit("It is "), props, F.lit(" as asked.")))
+        .when(k == 3, F.lit("I cannot.")).otherwise(F.concat(F.lit("{"), props, F.lit("}")))
+    )
+    return e.select("event_id", salvaged_object(answer).alias("s")).select("event_id", "s.object", "s.error")
