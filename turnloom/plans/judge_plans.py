@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 from turnloom.operators.coverage import coverage
 from turnloom.operators.exports import final_flags, statuses
 from turnloom.operators.first_match import first_match
@@ -13,9 +14,10 @@ from turnloom.operators.judge_set import stratified_samples
 from turnloom.operators.matrix import METRICS, matrix
 from turnloom.operators.med_errors import error_table, medication_errors
 from turnloom.operators.patch import apply_patches
+from turnloom.operators.profile import NUMBER_WORDS, RATES, realism
 from turnloom.operators.top_pairs import top_pairs
 from turnloom.plans.registry import query
-from turnloom.sources.tables import table
+from turnloom.sources.tables import table, turns
 
 _DRAW = "('0x' || substr(md5('{seed}:' || {id}), 1, 15))::BIGINT"
 
@@ -203,3 +205,22 @@ def salvaged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, F.lit("I cannot.")).otherwise(F.concat(F.lit("{"), props, F.lit("}")))
     )
     return e.select("event_id", salvaged_object(answer).alias("s")).select("event_id", "s.object", "s.error")
+
+
+_IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_REALISM = f"""WITH t AS (SELECT conv_id % 3 AS grp, conv_id, turn, CASE role WHEN 'user' THEN 'Caller' WHEN 'assistant' THEN 'Nurse' ELSE role END AS speaker, text,
+  list_filter(regexp_extract_all(lower(text), '([a-z'']+|[0-9]+)', 1), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT *, lag(speaker) OVER (PARTITION BY conv_id ORDER BY turn) = speaker AS same,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS rep, len(list_filter(w, lambda x: x IN {_IN(T.FILLERS)})) AS fill, len(list_filter(w, lambda x: x IN {_IN(NUMBER_WORDS)})) AS num,
+  regexp_matches(lower(text), '\\b(and|to|the|a|of|for|that|but|or|with|my|her|his)\\.?\\s*$') AS dangles FROM t),
+s AS (SELECT grp, count(DISTINCT conv_id) AS calls, count(*) AS turns, sum(length(text)) AS chars, sum(len(w)) AS toks, count(*) FILTER (speaker = 'Caller') AS caller,
+  count(*) FILTER (speaker = 'Caller' AND len(w) <= 3) AS short, count(*) FILTER (speaker = 'Caller' AND dangles) AS dangling, count(*) FILTER (same) AS same, sum(fill) AS fill, sum(rep) AS rep, sum(num) AS num FROM p GROUP BY grp)
+SELECT grp, calls, round(chars / calls, 6) AS mean_chars, round(turns / calls, 6) AS mean_turns, round(short / greatest(caller, 1), 6) AS caller_short_turn_rate, round(dangling / greatest(caller, 1), 6) AS caller_dangling_fragment_rate,
+  round(same / turns, 6) AS same_speaker_consecutive_rate, round(1000.0 * fill / greatest(toks, 1), 6) AS fillers_per_1k, round(1000.0 * rep / greatest(toks, 1), 6) AS immediate_repeats_per_1k, round(1000.0 * num / greatest(toks, 1), 6) AS number_words_per_1k FROM s"""
+
+
+@query(_REALISM)
+def realism_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all conversations in three groups."""
+    t = turns(spark, sf_dir).withColumn("grp", F.col("conv_id") % 3)
+    return realism(t, ["grp"], "conv_id").select("grp", "calls", *(F.round(r, 6).alias(r) for r in RATES))
