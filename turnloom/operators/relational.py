@@ -72,6 +72,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Rows of one task where tables of any size are exchanged.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """``df`` dealt by ``keys`` to a fixed number of tasks: those of an exchange, more for a table of many ``rows``.
+
+    A fixed number is not merged by size, so that small rows with much work each keep all cores busy,
+    and it grows with the table, so that a task's rows and memory do not. It is one more than that of an
+    exchange: a union of parts dealt alike, of which only some are merged by size, would pass for dealt by key.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(n + 1, *keys)
+
+
 def gram_jaccard(a: DataFrame, b: DataFrame, a_id: str, b_id: str, grams: str, threshold: float) -> DataFrame:
     """(a_id, b_id, jaccard) of pairs at or above ``threshold``: an inverted index over distinct grams with a size filter.
 
