@@ -1,6 +1,7 @@
 """Work of matching and joining queries in proportion to their rows."""
 
 from turnloom.operators import greedy
+from turnloom.operators.relational import TASK_ROWS, spread
 
 
 def test_greedy_group_compares_values_once():
@@ -18,3 +19,8 @@ def test_greedy_group_compares_values_once():
             free.remove(hit)
         assert group.first(v, match) == (hit and hit[0])
     assert len(calls) == 2 * 6
+
+
+def test_tasks_grow_with_rows(spark):
+    df = spark.range(10)
+    assert spread(df, "id", rows=40 * TASK_ROWS).rdd.getNumPartitions() == 41 and spread(df, "id").rdd.getNumPartitions() == 9

@@ -56,12 +56,19 @@ def new_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_mktsegment, p_brand, count(*) AS items, count(DISTINCT o_orderkey) AS orders FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def bridge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and distinct orders by segment and brand; tasks grow in number with the tables, not in size."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     i = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_brand")
-    joined = i.join(o, i.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(p, i.l_partkey == p.p_partkey)
-    return joined.groupBy("c_mktsegment", "p_brand").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("o_orderkey").alias("orders"))
+    lines, heads = i.count(), o.count()
+    lines_of = lambda df, key: R.spread(df, key, rows=lines)
+    branded = lines_of(i, "l_partkey").join(lines_of(p, "p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
+    sold = R.spread(o, "o_custkey", rows=heads).join(R.spread(c, "c_custkey", rows=heads), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
+    joined = lines_of(branded, "l_orderkey").join(lines_of(sold, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # an order's lines stand together already, so its cells are counted where they are joined
+    cells = joined.groupBy("l_orderkey", "c_mktsegment", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy("c_mktsegment", "p_brand").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("orders"))
 
 
 @query("SELECT p_brand, count(*) AS total, count(*) FILTER (WHERE l_quantity = p_size) AS same_size, count(*) FILTER (WHERE l_extendedprice > p_retailprice) AS above FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
