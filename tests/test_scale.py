@@ -1,9 +1,28 @@
 """Work of matching and joining queries in proportion to their rows."""
 
+import random
+from difflib import SequenceMatcher
+
+from turnloom.functions.fuzzy import closest_spans
 from turnloom.operators import greedy
 from turnloom.operators.relational import TASK_ROWS, spread
 
 
+def test_closest_spans_compares_few(monkeypatch):
+    rnd = random.Random(3)
+    words = ["fever", "pain", "dose", "night", "morning", "nurse", "called", "tablet", "two", "was"]
+    spans = [" ".join(rnd.choices(words, k=rnd.randint(1, 60))) for _ in range(60)] + ["", "fever"]
+    quotes = [s[: max(1, len(s) - 6)] for s in spans] + [None, "zzz"]
+    calls = []
+    real = SequenceMatcher.ratio
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda m: calls.append(1) or real(m))
+    got = closest_spans(quotes, spans, spans, 0.6)
+    assert len(calls) < len(quotes) * len(spans) / 4
+    for q, found in zip(quotes, got, strict=True):
+        scores = [0.0 if q is None else real(SequenceMatcher(None, q, s)) for s in spans]
+        assert found == (spans[scores.index(max(scores))] if max(scores) >= 0.6 else None)
+
+
 def test_greedy_group_compares_values_once():
     """Rows of equal values wait in one queue."""
     group, calls = greedy._Group(), []

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.functions.fuzzy import repaired_quote
+from turnloom.functions.fuzzy import with_repaired_quotes
 from turnloom.functions.spoken import extract_dose_udf
 from turnloom.operators.medication import medication_findings, names_of
 from turnloom.operators.patch import APPEND, apply_patches
@@ -48,7 +48,7 @@ def repaired_summaries(summaries: DataFrame, turns: DataFrame) -> DataFrame:
     quoted = bullets(s).select(*KEYS, "section", "ord", "ids", "quote").unionByName(flags).filter("quote is not null")
     cited = F.filter("ids", lambda i: (i >= 1) & (i <= F.size("texts")))
     rows = quoted.join(calls, "call_id").withColumn("cited", cited).filter(F.size("cited") > 0).withColumn("said", texts_of(F.col("cited"), F.col("texts")))
-    new = rows.withColumn("new", repaired_quote(F.col("quote"), F.col("said"))).filter("new <> quote")
+    new = with_repaired_quotes(rows, "new", F.array("quote"), F.col("said")).withColumn("new", F.get("new", F.lit(0))).filter("new <> quote")
     patches = new.select(*KEYS, F.lit(0).alias("ord"), _where(F.col("section"), F.col("ord"), "quote").alias("path"), F.lit(None).cast("string").alias("after"), _json(F.col("new")).alias("value"))
     return apply_patches(summaries, patches, list(KEYS), "summary")
 
