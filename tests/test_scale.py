@@ -59,3 +59,14 @@ def test_greedy_group_compares_values_once():
 def test_tasks_grow_with_rows(spark):
     df = spark.range(10)
     assert spread(df, "id", rows=40 * TASK_ROWS).rdd.getNumPartitions() == 41 and spread(df, "id").rdd.getNumPartitions() == 9
+
+
+def test_equal_summaries_are_walked_once(spark):
+    """The walk stands above the grouping of equal texts in the plan, and copies count."""
+    from turnloom.operators.schema_check import key_order
+
+    text = '{"identity": {}, "not_applicable": {"reason": null, "is_na": false}}'
+    found = key_order(spark.createDataFrame([(text,)] * 30 + [("no object",), (None,)], "raw string"))
+    assert {r.kind: (r.violating, r.total) for r in found.collect()} == {"top": (30, 30), "identity": (0, 30), "not_applicable": (30, 30)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]

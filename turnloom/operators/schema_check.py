@@ -13,6 +13,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.operators.relational import spread
+
 # The keys of a summary in their order, with the kind of each value.
 OBJECTS = {
     "top": {
@@ -159,12 +161,13 @@ def key_order(summaries: DataFrame, raw: str = "raw") -> DataFrame:
     """kind, violating, total: objects whose keys do not stand in the schema's order, by kind, over all rows.
 
     An object with a key that the schema does not have violates the order too. Texts that are no
-    JSON objects count nowhere; a kind that occurs nowhere has no row.
+    JSON objects count nowhere; a kind that occurs nowhere has no row. Equal texts are walked once.
     """
     orders = _literal_map({k: _texts(tuple(v)) for k, v in (OBJECTS | {"plain field": OBJECTS["field"]}).items()})
     objects = F.filter("nodes", lambda n: n["kind"].isin(*OBJECTS) & (n["type"] == "object"))
     seen = F.transform(objects, lambda n: F.struct(n["kind"].alias("kind"), _keys(n).alias("keys")))
-    rows = summary_nodes(summaries.select(F.col(raw).alias("raw"))).select(F.explode(seen).alias("n")).select("n.*")
+    texts = summaries.groupBy(F.col(raw).alias("raw")).agg(F.count(F.lit(1)).alias("copies"))
+    rows = summary_nodes(spread(texts, "raw")).select("copies", F.explode(seen).alias("n")).select("copies", "n.*")
     wanted = F.filter(F.try_element_at(orders, F.col("kind")), lambda k: F.array_contains("keys", k))
     kind = F.coalesce(F.try_element_at(_literal_map({k: F.lit(v) for k, v in ORDER_KINDS.items()}), F.col("kind")), F.col("kind"))
-    return rows.groupBy(kind.alias("kind")).agg(F.count_if(wanted != F.col("keys")).alias("violating"), F.count(F.lit(1)).alias("total"))
+    return rows.groupBy(kind.alias("kind")).agg(F.sum(F.when(wanted != F.col("keys"), F.col("copies")).otherwise(0)).alias("violating"), F.sum("copies").alias("total"))
