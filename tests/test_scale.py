@@ -70,3 +70,13 @@ def test_equal_summaries_are_walked_once(spark):
     assert {r.kind: (r.violating, r.total) for r in found.collect()} == {"top": (30, 30), "identity": (0, 30), "not_applicable": (30, 30)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Generate") :]
+
+
+def test_scorecard_sends_no_side_to_the_driver(spark, tmp_path):
+    """Rows exploded from a table under the broadcast threshold are exchanged."""
+    rows = [(c, k, ["user", "assistant"][k % 2], f"I have a fever since day {k % 3}. My dose was low.") for c in range(3) for k in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = QUERIES["grounding_scorecard"](spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.role, r.name): (r.ok, r.total) for r in found.collect()} == {(x, y): (18, 18) for x in ("user", "assistant") for y in ("exact_in_cited", "found_elsewhere")}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -50,7 +50,8 @@ def grounding_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence as a quote of its own turn, and looked for in the conversation's other turns.
 
     Quotes of one conversation that are alike are looked for once. A quote meets the turns that have
-    its first three words (or all it has) in this order; the whole of it is checked on those.
+    its first three words (or all it has) in this order; the whole of it is checked on those. Rows made
+    of a small table are many: its size says nothing of theirs, so no side is sent to the driver.
     """
     t = turns(spark, sf_dir).select("conv_id", "turn_id", "role", T.normalize(F.col("text")).alias("words"), F.transform(T.sentences(F.col("text")), T.normalize).alias("quotes"))
     quotes = t.select("conv_id", "turn_id", "role", "words", F.explode("quotes").alias("quote"))
@@ -63,11 +64,11 @@ def grounding_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     split = t.select("conv_id", F.col("turn_id").alias("other_id"), F.explode(F.array(F.split("words", " "))).alias("w"))  # binds the words for the lambda
     keys = split.select("conv_id", "other_id", F.explode(F.array_distinct(starts(F.col("w")))).alias("key"))
-    met = asked.join(keys, ["conv_id", "key"]).filter("turn_id != other_id").select("conv_id", "turn_id", "quote", "other_id")
+    met = asked.join(keys.hint("merge"), ["conv_id", "key"]).filter("turn_id != other_id").select("conv_id", "turn_id", "quote", "other_id")
     other = t.select("conv_id", F.col("turn_id").alias("other_id"), F.col("words").alias("other"))
-    hit = met.join(other, ["conv_id", "other_id"]).filter(T.padded_contains(F.col("other"), F.col("quote")))
+    hit = met.join(other.hint("merge"), ["conv_id", "other_id"]).filter(T.padded_contains(F.col("other"), F.col("quote")))
     found = hit.select("conv_id", "turn_id", "quote").distinct().withColumn("hit", F.lit(True))
-    marked = counted.join(found, ["conv_id", "turn_id", "quote"], "left")
+    marked = counted.join(found.hint("merge"), ["conv_id", "turn_id", "quote"], "left")
     cells = F.array(
         F.struct(F.lit("exact_in_cited").alias("name"), F.col("cited").alias("ok")),
         F.struct(F.lit("found_elsewhere").alias("name"), F.coalesce("hit", F.lit(False)).alias("ok")),
