@@ -460,3 +460,24 @@ def test_decontamination_finds_pairs_near_the_threshold(spark):
             near.append((k, k))
     found = {(r.doc_id, r.item_id) for r in benchmark_matches(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(near) > 60 and found == set(near), (len(near), len(found & set(near)))
+
+
+def test_decontamination_makes_no_runtime_filters(spark, tmp_path):
+    """However large Spark takes the documents to be, no Bloom filter over items is carried in the plan."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    text = " ".join(rng.choices(words, k=60))
+    spark.createDataFrame([(1, text), (2, "other " * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(7, " ".join(text.split()[10:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark")
+    d, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("documents", "benchmark"))
+    large = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in large.items():
+        spark.conf.set(key, value)
+    try:
+        found = benchmark_matches(d, b)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert [(r.doc_id, r.item_id, r.start) for r in found.collect()] == [(1, 7, 10)]
+    finally:
+        for key in large:
+            spark.conf.unset(key)
+    assert "might_contain" not in plan

@@ -138,13 +138,16 @@ def benchmark_matches(
     sizes = {r.k: r.n for r in items.groupBy("k").agg(F.sum(F.size("item")).alias("n")).collect()}  # at most five rows
     out = None
     for k, rows in sorted(sizes.items()):
-        mine = items.filter(F.col("k") == k)
+        # worked out, without a filter: over a filtered scan Spark makes runtime filters for the joins below, whose megabytes
+        # go into the closures of all later stages, copied in the driver each time
+        mine = checkpointed(items.filter(F.col("k") == k))
         windows = checkpointed(_windows(docs, mine, rows, similarity, k, id_col, text_col))
         keys = ["id", "digest", "n_words", "start"]
         prints = _fingerprint(windows, keys, "window")
         item_prints = _fingerprint(mine.withColumn("hash", F.xxhash64("item")), ["item_id", "hash", "n_words"], "item").select(
             "item_id", "hash", "n_words", F.col("fp").alias("item_fp"), _blocks(radius).alias("cell")
         )
+        item_prints = checkpointed(item_prints)
         cells = prints.select(*keys, "fp", _blocks(radius).alias("cell"))
         near = cells.join(_small(item_prints, rows * (radius + 1)), ["n_words", "cell"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
         near = near.filter(F.col("distance") <= radius).select(*keys, "item_id", "hash").distinct()
