@@ -35,10 +35,20 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Shuffle files of a query go when it ends, not when the driver next happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage through the shared folder; the shuffle files that led to it are not needed again and go at once."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(FILE_CLEANUP)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan of its own, as the setting is read when a plan is made
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
 
 
 def tasks(spark: SparkSession) -> int:
