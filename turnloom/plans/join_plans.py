@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators import relational as R
+from turnloom.operators.gram_index import text_jaccard
 from turnloom.operators.top_pairs import top_pairs
 from turnloom.plans.registry import query
 from turnloom.plans.text_plans import sql_normalize
@@ -121,9 +122,8 @@ SELECT s.i AS {p}, s.j AS {q}, round(m / (na.n + nb.n - m), 9) AS jaccard FROM s
 
 @query(_JACCARD.format(a=_gram_sql("benchmark", "item_id"), b=_gram_sql("documents", "doc_id"), x="item_id", y="doc_id", p="item_id", q="doc_id", w="m / (na.n + nb.n - m) >= 0.2"))
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "benchmark").select("item_id", T.char_grams(T.normalize(F.col("text"))).alias("grams"))
-    b = table(spark, sf_dir, "documents").select("doc_id", T.char_grams(T.normalize(F.col("text"))).alias("grams"))
-    return R.gram_jaccard(a, b, "item_id", "doc_id", "grams", 0.2).withColumn("jaccard", F.round("jaccard", 9))
+    a, b = (table(spark, sf_dir, n).select(i, T.normalize(F.col("text")).alias("t")) for n, i in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return text_jaccard(a, b, "item_id", "doc_id", "t", 0.2).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(_JACCARD.format(a=_gram_sql("benchmark", "item_id"), b=_gram_sql("benchmark", "item_id"), x="item_id", y="item_id", p="a_id", q="b_id", w="s.i < s.j") + " ORDER BY jaccard DESC, a_id DESC, b_id DESC LIMIT 5")
