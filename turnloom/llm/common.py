@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -69,6 +72,11 @@ def private_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def listed(spark: SparkSession, schema: StructType, **columns: list) -> DataFrame:
+    """A short list as rows of the plan itself; a list of tuples would start Python workers on the executors to turn it into rows."""
+    return spark.createDataFrame(pa.table(columns, to_arrow_schema(schema)), schema)
+
+
 #: Parts that the rows of a heavy key are dealt to.
 PARTS = 32
 #: A key is heavy above this many rows and above a ten-thousandth of all rows, so at most 10,000 keys are heavy.
@@ -97,7 +105,7 @@ def spread_join(
     if not heavy:
         return rows.join(keyed, key, how)
     schema = keyed.select(key).withColumn("heavy", F.lit(True)).schema
-    mark = F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in heavy], schema))
+    mark = F.broadcast(listed(rows.sparkSession, schema, **{key: heavy, "heavy": [True] * len(heavy)}))
     dealt = rows.join(mark, key, "left").withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))).otherwise(0).cast("int"))
     copies = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = keyed.join(mark, key, "left").withColumn("part", F.explode(copies)).drop("heavy")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, private_names
+from .common import checkpointed, private_names, tasks
 
 GRAM_WORDS = 40
 SLACK = 11
@@ -57,8 +57,9 @@ def _grams(documents: DataFrame, gram_words: int, slack: int) -> DataFrame:
     reach = gram_words + slack - 1
     rows = documents.select("id", "digest", F.posexplode_outer("lines").alias("pos", "l"))
     rows = rows.select("id", "digest", "pos", "l.line", "l.h", "l.words").filter("pos is not null")
-    # one row of each line where a document is repeated; the windows below use the same exchange
-    lines = rows.repartition("id", "digest").groupBy("id", "digest", "pos").agg(*(F.first(c).alias(c) for c in ("line", "h", "words")))
+    # one row of each line where a document is repeated; the windows below use the same exchange. Line hashes are small when
+    # exchanged and large when sorted, so the number of tasks is given and not made from the exchanged bytes
+    lines = rows.repartition(tasks(documents.sparkSession), "id", "digest").groupBy("id", "digest", "pos").agg(*(F.first(c).alias(c) for c in ("line", "h", "words")))
     doc = Window.partitionBy("id", "digest")
     upto = F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = lines.withColumn("upto", upto).withColumn("at", F.col("upto") - F.col("words"))

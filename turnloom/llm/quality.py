@@ -13,6 +13,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import listed
 
 
 @dataclass(frozen=True)
@@ -108,7 +111,7 @@ def fit_quality(
                 picked[q].append(r.id)
                 held += r.n
     ids = sorted({*picked[0], *picked[1]})
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids or [None]], "id long")
+    wanted = listed(docs.sparkSession, StructType().add("id", "long"), id=ids)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), allowed.alias("allowed")).filter("allowed and text is not null")
     found = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     return _fitted(found, picked, dict_bytes)

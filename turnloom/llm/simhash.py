@@ -82,7 +82,7 @@ def shingle_hashes(text: bytes | None, size: int) -> list[int]:
     return [xxh64_intdigest(x, 42) for x in map(b" ".join, runs)]
 
 
-def fingerprint(hashes: list[int], words: int) -> list[int]:
+def fingerprint(hashes: Any, words: int) -> list[int]:
     """Signed 64-bit words; bit k is set if set in over half the hashes. No hash: zeros."""
     import numpy as np
 
@@ -120,12 +120,13 @@ def fingerprints(docs: DataFrame, profile: Profile, id_col: str = "doc_id", text
 
         counts = np.zeros(SKETCH, dtype=np.int64) if similar else None
         for b in batches:
-            shingles = [shingle_hashes(t.as_py(), profile.shingle) for t in b.column(2)]
-            if similar:  # of the sets that the verification compares
-                shingles = [list(set(h)) for h in shingles]
-                slots = [np.array(h, dtype=np.uint64) & np.uint64(SKETCH - 1) for h in shingles]
-                np.add.at(counts, np.concatenate(slots), 1)
-            prints = [fingerprint(h, profile.words) for h in shingles]
+            prints = []
+            for t in b.column(2):  # a batch's hashes would take many times its texts
+                h = np.array(shingle_hashes(t.as_py(), profile.shingle), dtype=np.uint64)
+                if similar:  # of the sets that the verification compares
+                    h = np.unique(h)
+                    np.add.at(counts, h & np.uint64(SKETCH - 1), 1)
+                prints.append(fingerprint(h, profile.words))
             words = [pa.array([p[k] for p in prints], pa.int64()) for k in range(profile.words)]
             none = [pa.nulls(b.num_rows, t) for t in types[-2:]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *words, *none], names)
@@ -314,7 +315,7 @@ def _prefixes(docs: DataFrame, counts: Any, profile: Profile, text_col: str) ->
                 prefix = h[np.lexsort((h, counts[h & np.uint64(SKETCH - 1)]))][: len(h) - ceil(len(h) * profile.similarity - 1e-9) + 1]
                 cells = np.bincount((h >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
                 parity = np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8").tolist()
-                out.append((key, len(h), prefix.view(np.int64) if len(h) else np.zeros(1, dtype=np.int64), *parity))
+                out.append((key, len(h), prefix.copy().view(np.int64) if len(h) else np.zeros(1, dtype=np.int64), *parity))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             types = (pa.binary(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "size", "prefix", *_PARITY])
